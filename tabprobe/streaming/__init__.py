@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analysed tool has no streaming input, watermark, window or state: it reads one
+file and analyses it as a whole. No streaming operator is built here. Every operator
+in this package is a plain DataFrame transformation, so a ``foreachBatch`` sink can
+call it on each micro-batch if a caller needs that.
+"""
