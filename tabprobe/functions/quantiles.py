@@ -47,31 +47,12 @@ def finite_stats(df: DataFrame, cols: list[str]) -> dict[str, dict]:
     return column_stats(df.select(*[col(c) for c in cols]))
 
 
-def order_statistics(
-    df: DataFrame,
-    ranks: dict[str, list[int]],
-    stats: dict[str, dict] | None = None,
-    buckets: int = BUCKETS,
-) -> dict[str, dict[int, float | None]]:
-    """Value at each 0-based rank among the non-null values of each column.
-
-    ``ranks`` maps a column name to the ranks wanted; values are compared as doubles
-    in Spark's order (-inf < finite < +inf < NaN). Ranks outside [0, n) give None.
-    """
-    cols = [c for c in ranks if ranks[c]]
-    out: dict[str, dict[int, float | None]] = {c: {} for c in ranks}
-    if not cols:
-        return out
-    keys = {c: f"_q{i}" for i, c in enumerate(cols)}
-    base = df.select(*[col(c).cast("double").alias(keys[c]) for c in cols])
-    if stats is None:
-        stats = finite_stats(df, cols)
-
+def _initial(ranks: dict[str, list[int]], stats: dict[str, dict], out: dict) -> list[list]:
     pending: list[list] = []  # [column, rank, lo, hi, rank within [lo, hi]]
-    for c in cols:
+    for c, wanted in ranks.items():
         s = stats[c]
         n = s["n"]
-        for k in sorted(set(ranks[c])):
+        for k in sorted(set(wanted)):
             if k < 0 or k >= n:
                 out[c][k] = None
             elif k < s["ninf"]:
@@ -82,8 +63,11 @@ def order_statistics(
                 out[c][k] = INF
             else:
                 pending.append([c, k, s["fmin"], s["fmax"], k - s["ninf"]])
+    return pending
+
 
-    spark = df.sparkSession
+def _refine(spark, pending: list[list], out: dict, level) -> None:
+    """Narrow every open range until it holds one distinct value."""
     while pending:
         open_ = []
         for p in pending:
@@ -95,13 +79,15 @@ def order_statistics(
             break
         ranges = sorted({(p[0], p[2], p[3]) for p in open_})
         rid = {r: i for i, r in enumerate(ranges)}
-        level = _bucket_counts(base, keys, ranges, buckets)
+        counted = level(ranges)
+        w = Window.partitionBy("rid").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        levels = counted.withColumn("before", F.sum("cnt").over(w) - F.col("cnt"))
         targets = spark.createDataFrame(
             [(rid[(p[0], p[2], p[3])], i, p[4]) for i, p in enumerate(open_)],
             "rid int, tid int, r long",
         )
         picked = (
-            level.join(F.broadcast(targets), "rid")
+            levels.join(F.broadcast(targets), "rid")
             .where((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("cnt")))
             .select("tid", "vmin", "vmax", "before")
             .collect()
@@ -110,15 +96,79 @@ def order_statistics(
             p = open_[row["tid"]]
             p[2], p[3], p[4] = row["vmin"], row["vmax"], p[4] - row["before"]
         pending = open_
+
+
+def _bucket(v, lo: float, hi: float, buckets: int):
+    """Monotone bucket number of ``v`` in [lo, hi]; lo and hi land in different buckets."""
+    span = hi * 0.5 - lo * 0.5
+    scale = buckets / span if span > 0 else INF
+    if math.isfinite(scale):
+        return F.least(F.floor((v * 0.5 - F.lit(lo * 0.5)) * F.lit(scale)), F.lit(buckets - 1))
+    return F.when(v > F.lit(lo), F.lit(buckets - 1)).otherwise(F.lit(0))  # span below double resolution
+
+
+def order_statistics(
+    df: DataFrame,
+    ranks: dict[str, list[int]],
+    stats: dict[str, dict] | None = None,
+    buckets: int = BUCKETS,
+) -> dict[str, dict[int, float | None]]:
+    """Value at each 0-based rank among the non-null values of each column of ``df``.
+
+    ``ranks`` maps a column name to the ranks wanted; values are compared as doubles
+    in Spark's order (-inf < finite < +inf < NaN). Ranks outside [0, n) give None.
+    """
+    cols = [c for c in ranks if ranks[c]]
+    out: dict[str, dict[int, float | None]] = {c: {} for c in ranks}
+    if not cols:
+        return out
+    keys = {c: f"_q{i}" for i, c in enumerate(cols)}
+    base = df.select(*[col(c).cast("double").alias(keys[c]) for c in cols])
+    if stats is None:
+        stats = finite_stats(df, cols)
+    pending = _initial({c: ranks[c] for c in cols}, stats, out)
+    _refine(df.sparkSession, pending, out, lambda ranges: _bucket_counts(base, keys, ranges, buckets))
+    return out
+
+
+def weighted_order_statistics(
+    counts: DataFrame,
+    ranks: dict[str, list[int]],
+    stats: dict[str, dict],
+    buckets: int = BUCKETS,
+) -> dict[str, dict[int, float | None]]:
+    """The same over a value-count table ``counts(column_name, v double, w long)``:
+    each distinct value once with its multiplicity, so a column with few distinct
+    values costs a few rows however long the table is."""
+    cols = [c for c in ranks if ranks[c]]
+    out: dict[str, dict[int, float | None]] = {c: {} for c in ranks}
+    if not cols:
+        return out
+    pending = _initial({c: ranks[c] for c in cols}, stats, out)
+
+    def level(ranges):
+        v, k = F.col("v"), F.col("column_name")
+        rid_expr = b_expr = keep = None
+        for i, (c, lo, hi) in enumerate(ranges):
+            inside = (k == F.lit(c)) & (v >= F.lit(lo)) & (v <= F.lit(hi))
+            keep = inside if keep is None else keep | inside
+            rid_expr = F.when(inside, F.lit(i)) if rid_expr is None else rid_expr.when(inside, F.lit(i))
+            is_i = F.col("rid") == F.lit(i)
+            b = _bucket(v, lo, hi, buckets)
+            b_expr = F.when(is_i, b) if b_expr is None else b_expr.when(is_i, b)
+        return (counts.where(keep).withColumn("rid", rid_expr).withColumn("b", b_expr.cast("int"))
+                .groupBy("rid", "b")
+                .agg(F.sum("w").alias("cnt"), F.min("v").alias("vmin"), F.max("v").alias("vmax")))
+
+    _refine(counts.sparkSession, pending, out, level)
     return out
 
 
 def _bucket_counts(base: DataFrame, keys: dict[str, str], ranges: list[tuple], buckets: int) -> DataFrame:
-    """(rid, b, cnt, vmin, vmax, before) for every non-empty bucket of every open range.
+    """(rid, b, cnt, vmin, vmax) for every non-empty bucket of every open range.
 
     Each input row computes one (bucket, value) pair per range of its own column
-    (null outside the range), the pairs are unpivoted, and the counts are aggregated
-    per (range, bucket).
+    (null outside the range); the pairs are unpivoted and counted per (range, bucket).
     """
     keep = None
     parts = []
@@ -127,19 +177,12 @@ def _bucket_counts(base: DataFrame, keys: dict[str, str], ranges: list[tuple], b
         inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
         # Per-column range filter first: it can reach the Parquet reader as row-group pruning.
         keep = inside if keep is None else keep | inside
-        span = hi * 0.5 - lo * 0.5
-        scale = buckets / span if span > 0 else INF
-        if math.isfinite(scale):
-            b = F.least(F.floor((v * 0.5 - F.lit(lo * 0.5)) * F.lit(scale)), F.lit(buckets - 1))
-        else:  # span below double resolution: split at lo
-            b = F.when(v > F.lit(lo), F.lit(buckets - 1)).otherwise(F.lit(0))
-        parts.append(F.struct(F.lit(i).alias("rid"), F.when(inside, b).cast("int").alias("b"), v.alias("v")))
-    counted = (
+        parts.append(F.struct(F.lit(i).alias("rid"), F.when(inside, _bucket(v, lo, hi, buckets)).cast("int").alias("b"),
+                              v.alias("v")))
+    return (
         base.where(keep)
         .select(F.inline(F.array(*parts)))
         .where(F.col("b").isNotNull())
         .groupBy("rid", "b")
         .agg(F.count(F.lit(1)).alias("cnt"), F.min("v").alias("vmin"), F.max("v").alias("vmax"))
     )
-    w = Window.partitionBy("rid").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counted.withColumn("before", F.sum("cnt").over(w) - F.col("cnt"))

@@ -14,20 +14,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprobe.functions.exprs import col
-from tabprobe.session import checkpoint_dir
+from tabprobe.session import materialize
 
 
 def average_ranks(df: DataFrame, cols: list[str], partitions: int | None = None) -> DataFrame:
-    """(column_name, value double, cnt, avg_rank) over the non-null values of ``cols``."""
+    """(column_name, value double, cnt, avg_rank) over the non-null values of ``cols``.
+
+    The written block table is kept on the result as ``.blocks`` for callers that
+    need the per-column distinct counts without another pass.
+    """
     spark = df.sparkSession
-    checkpoint_dir(spark)
     parts = [F.struct(F.lit(c).alias("column_name"), col(c).cast("double").alias("value")) for c in cols]
     vc = (df.select(F.inline(F.array(*parts))).where(F.col("value").isNotNull())
           .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt")))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = (vc.repartitionByRange(n, "column_name", "value")
-              .withColumn("pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    blocks = materialize(vc.repartitionByRange(n, "column_name", "value")
+                         .withColumn("pid", F.spark_partition_id()), "rank_blocks")
     local = Window.partitionBy("column_name", "pid").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = blocks.withColumn("local_before", F.sum("cnt").over(local) - F.col("cnt"))
     per_block = blocks.groupBy("column_name", "pid").agg(F.sum("cnt").alias("block_total"))
@@ -37,6 +39,8 @@ def average_ranks(df: DataFrame, cols: list[str], partitions: int | None = None)
             Window.partitionBy("column_name").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
     ).select("column_name", "pid", "offset")
     # One row per (column, partition): bounded by columns + partitions.
-    return (ranked.join(F.broadcast(offsets), ["column_name", "pid"])
+    out = (ranked.join(F.broadcast(offsets), ["column_name", "pid"])
             .select("column_name", "value", "cnt",
                     (F.col("offset") + F.col("local_before") + (F.col("cnt") + F.lit(1)) / F.lit(2.0)).alias("avg_rank")))
+    out.blocks = blocks
+    return out

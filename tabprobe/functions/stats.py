@@ -13,6 +13,8 @@ INF = float("inf")
 # Whole-stage codegen is dropped for an aggregate with more than 100 buffer fields
 # (spark.sql.codegen.maxFields); above this budget the long layout is used.
 WIDE_FIELD_BUDGET = 90
+# Up to this many wide aggregates (one scan each) before switching to the long layout.
+MAX_WIDE_JOBS = 3
 
 
 def _numeric_aggs(v: Column, fractional: bool, skew: bool = False) -> list[tuple[str, Column, int]]:
@@ -47,7 +49,8 @@ def column_stats(df: DataFrame, exact: bool = True, skew: bool = False) -> dict[
     wide ones unpivot and group by column id so the buffer stays a fixed size.
     Only one row per column reaches the driver.
     """
-    if exact and _fields(df) + (4 * len(df.columns) if skew else 0) <= WIDE_FIELD_BUDGET:
+    fields = _fields(df) + (4 * len(df.columns) if skew else 0)
+    if exact and fields <= WIDE_FIELD_BUDGET * MAX_WIDE_JOBS:
         out = _wide(df, skew)
     else:
         out = _long(df, exact, skew)
@@ -69,14 +72,23 @@ def _finish(r: dict, dt: T.DataType) -> dict:
 
 
 def _wide(df: DataFrame, skew: bool = False) -> dict[str, dict]:
-    exprs = [F.count(F.lit(1)).alias("n_rows")]
+    groups: list[list[Column]] = [[F.count(F.lit(1)).alias("n_rows")]]
+    used = 1
     for i, f in enumerate(df.schema.fields):
         c = col(f.name)
-        exprs.append(F.count_if(c.isNull()).alias(f"c{i}__nulls"))
+        exprs = [(F.count_if(c.isNull()).alias(f"c{i}__nulls"), 1)]
         if is_numeric(f.dataType):
-            for name, agg, _ in _numeric_aggs(c.cast("double"), is_fractional(f.dataType), skew):
-                exprs.append(agg.alias(f"c{i}__{name}"))
-    row = df.agg(*exprs).first().asDict()
+            exprs += [(agg.alias(f"c{i}__{name}"), width)
+                      for name, agg, width in _numeric_aggs(c.cast("double"), is_fractional(f.dataType), skew)]
+        width = sum(w for _, w in exprs)
+        if used + width > WIDE_FIELD_BUDGET:
+            groups.append([])
+            used = 0
+        groups[-1] += [e for e, _ in exprs]
+        used += width
+    row = {}
+    for g in groups:  # each group keeps whole-stage codegen
+        row.update(df.agg(*g).first().asDict())
     out = {}
     for i, f in enumerate(df.schema.fields):
         r = {"n_rows": row["n_rows"]}

@@ -17,6 +17,7 @@ from tabprobe.functions.exprs import col, is_numeric
 from tabprobe.functions.names import unique_names
 from tabprobe.functions.quantiles import median_ranks, order_statistics
 from tabprobe.functions.stats import agg_row
+from tabprobe.session import materialize
 
 ACTION_SCHEMA = "step int, action string, column string, detail string, rows_affected bigint"
 
@@ -259,7 +260,9 @@ def clean(
             actions.append(a)
     before = df.count() if drop_duplicates_ else None
     if drop_duplicates_:
-        df = _dedup(df)
+        # Written once to the checkpoint folder: the statistics passes below and the
+        # caller's own use read it instead of repeating the distinct shuffle.
+        df = materialize(_dedup(df), "deduplicated")
     # The missing-value aggregate also counts the deduplicated rows, so the
     # distinct shuffle is not run a second time just to count it.
     df, acts, after = _handle_missing(df, numeric_strategy, categorical_strategy)

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprobe.functions.exprs import col, fixed_width, is_fractional, is_numeric, safe_round, type_name
-from tabprobe.functions.quantiles import median_ranks, order_statistics
+from tabprobe.functions.quantiles import median_ranks, order_statistics, weighted_order_statistics
 from tabprobe.functions.stats import column_stats
-from tabprobe.functions.values import top_k, top_values_array
+from tabprobe.functions.values import top_k, top_values_array, value_counts
+from tabprobe.session import materialize
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("position", T.IntegerType()),
@@ -28,29 +29,35 @@ PROFILE_SCHEMA = T.StructType([
     T.StructField("std", T.DoubleType()),
     T.StructField("min", T.DoubleType()),
     T.StructField("max", T.DoubleType()),
-    T.StructField("approx_unique", T.LongType()),
+    T.StructField("unique_count", T.LongType()),
 ])
 
 
-def _long_values(df: DataFrame) -> DataFrame:
-    """(column_name, text, num): floats keyed by value, everything else by its text."""
+def value_count_table(df: DataFrame) -> DataFrame:
+    """(column_name, text, l, v, w): every distinct non-null value of every column
+    with its count. Integers are keyed as long, floats as double (typed keys hash
+    far faster than text), everything else as text (nested values as JSON).
+
+    One pass over the table: the columns are unpivoted and grouped with map-side
+    partial aggregation, so a repeated value leaves each task once.
+    """
     parts = []
-    for i, f in enumerate(df.schema.fields):
+    for f in df.schema.fields:
         c = col(f.name)
-        if is_fractional(f.dataType):
-            text, num = F.lit(None).cast("string"), c.cast("double")
+        text, lng, dbl = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("double")
+        if is_fractional(f.dataType) or isinstance(f.dataType, T.DecimalType):
+            dbl = c.cast("double")
+        elif is_numeric(f.dataType):
+            lng = c.cast("long")
         elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            text, num = F.to_json(c), F.lit(None).cast("double")
+            text = F.to_json(c)
         else:
-            text, num = c.cast("string"), F.lit(None).cast("double")
-        parts.append(F.struct(F.lit(f.name).alias("column_name"), text.alias("text"), num.alias("num")).alias(f"_v{i}"))
-    keys = [f"_v{i}" for i in range(len(parts))]
-    return (
-        df.select(*parts)
-        .unpivot([], keys, "_k", "s")
-        .select("s.column_name", "s.text", "s.num")
-        .where(F.col("text").isNotNull() | F.col("num").isNotNull())
-    )
+            text = c.cast("string")
+        parts.append(F.struct(F.lit(f.name).alias("column_name"), text.alias("text"), lng.alias("l"), dbl.alias("d")))
+    long = df.select(F.inline(F.array(*parts))).where(
+        F.col("text").isNotNull() | F.col("l").isNotNull() | F.col("d").isNotNull())
+    return (long.groupBy("column_name", "text", "l", "d").agg(F.count(F.lit(1)).alias("w"))
+            .select("column_name", "text", "l", F.coalesce(F.col("d"), F.col("l").cast("double")).alias("v"), "w"))
 
 
 def profile(df: DataFrame, top_n: int = 10, exact: bool = True) -> DataFrame:
@@ -59,51 +66,54 @@ def profile(df: DataFrame, top_n: int = 10, exact: bool = True) -> DataFrame:
 
     Numeric columns get the five statistics (rounded to 4 places); the others get
     their ``top_n`` most frequent non-null values as text. ``unique_count`` counts
-    null as one value. ``exact=False`` replaces exact unique counts with HyperLogLog.
+    null as one value.
+
+    Two passes over the input: the column statistics (one aggregate) and the value
+    counts, which are checkpointed; unique counts, exact medians (range refinement
+    weighted by the counts) and top values then read that much smaller table.
+    ``exact=False`` skips the value-count pass for numeric columns: HyperLogLog
+    unique counts and medians refined on the raw columns.
     """
     spark = df.sparkSession
     fields = df.schema.fields
     stats = column_stats(df, exact)
     num = [f.name for f in fields if is_numeric(f.dataType)]
-    medians = order_statistics(df, {c: list(median_ranks(stats[c]["n"])) for c in num}, stats=stats)
+    cat_cols = [f.name for f in fields if not is_numeric(f.dataType)]
+    med_ranks = {c: list(median_ranks(stats[c]["n"])) for c in num if stats[c]["n"] > 0}
+
+    if exact:
+        vc = materialize(value_count_table(df), "value_counts")
+        distinct = {r["column_name"]: r["n"] for r in
+                    vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+        medians = weighted_order_statistics(vc.where(F.col("v").isNotNull()).select("column_name", "v", "w"),
+                                            med_ranks, stats)
+        cat_vc = vc.where(F.col("text").isNotNull()).select("column_name", F.col("text").alias("value"),
+                                                            F.col("w").alias("count"))
+    else:
+        distinct = {c: stats[c]["approx_unique"] for c in stats}
+        medians = order_statistics(df, med_ranks, stats=stats)
+        cat_vc = value_counts(df, cat_cols)
 
     rows = []
     for i, f in enumerate(fields):
         s = stats[f.name]
         row = [i, f.name, type_name(f.dataType), s["nulls"], s["n_rows"], None, None, None, None, None,
-               s.get("approx_unique")]
-        if f.name in medians and s["n"] > 0:
-            lo, hi = median_ranks(s["n"])
+               int(distinct.get(f.name, 0) or 0) + (1 if s["nulls"] > 0 else 0)]
+        if f.name in med_ranks:
+            lo, hi = med_ranks[f.name]
             med = (medians[f.name][lo] + medians[f.name][hi]) / 2.0
             row[5:10] = [s["mean"], med, s["std"], s["min"], s["max"]]
         rows.append(row)
     base = spark.createDataFrame(rows, PROFILE_SCHEMA)
-
-    cat_cols = [f.name for f in fields if not is_numeric(f.dataType)]
-    if exact:
-        vc = _long_values(df).groupBy("column_name", "text", "num").agg(F.count(F.lit(1)).alias("count"))
-        uniq = vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
-        cat_vc = vc.where(F.col("column_name").isin(cat_cols)).select("column_name", F.col("text").alias("value"), "count")
-    else:
-        from tabprobe.functions.values import value_counts
-        uniq = None
-        cat_vc = value_counts(df, cat_cols)
     tops = top_values_array(top_k(cat_vc, top_n))
-
-    out = base.alias("b")
-    if uniq is not None:
-        out = out.join(uniq.alias("u"), F.col("b.name") == F.col("u.column_name"), "left")
-        distinct = F.coalesce(F.col("u.n_distinct"), F.lit(0))
-    else:
-        distinct = F.col("b.approx_unique")
-    out = out.join(tops.alias("t"), F.col("b.name") == F.col("t.column_name"), "left")
     top_type = "array<struct<value:string,count:bigint>>"
+    out = base.alias("b").join(F.broadcast(tops.alias("t")), F.col("b.name") == F.col("t.column_name"), "left")
     return out.select(
         F.col("b.name").alias("name"),
         F.col("b.dtype").alias("dtype"),
         F.col("b.null_count").alias("null_count"),
         F.round(F.coalesce(F.try_divide(F.col("b.null_count") * F.lit(100.0), F.col("b.n_rows")), F.lit(0.0)), 2).alias("null_pct"),
-        (distinct + F.when(F.col("b.null_count") > 0, 1).otherwise(0)).cast("long").alias("unique_count"),
+        F.col("b.unique_count").alias("unique_count"),
         safe_round(F.col("b.mean")).alias("mean"),
         safe_round(F.col("b.median")).alias("median"),
         safe_round(F.col("b.std")).alias("std"),

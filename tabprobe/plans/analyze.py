@@ -3,7 +3,7 @@
 load -> profile (raw table) -> clean -> EDA (cleaned table) -> query and chart
 instructions -> digest and quality flags. Each step is a lazy DataFrame; actions run
 only for the small statistics the next step needs. The cleaned table is
-checkpointed (to ``spark.checkpoint.dir``) before EDA, so its several passes read
+written to the checkpoint folder (``spark.checkpoint.dir``) before EDA, so its several passes read
 it back instead of repeating deduplication and fills, and a lost executor does not
 send the work back to the raw input.
 """
@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from tabprobe.operators import charts, clean as cleaning, digest as dg, eda, profile as prof, query
-from tabprobe.session import checkpoint_dir
+from tabprobe.session import materialize
 from tabprobe.sources import fingerprint, readers, store
 
 # Defaults of the analysed tool's options.
@@ -50,8 +50,7 @@ def analyze(df: DataFrame, name: str = "table", query_instructions: list | None
     profile = prof.profile(df)
     cleaned, actions = cleaning.clean(df, opts["drop_duplicates"], opts["normalize_columns"],
                                       opts["numeric_fill_strategy"], opts["categorical_fill_strategy"])
-    checkpoint_dir(df.sparkSession)
-    cleaned = cleaned.checkpoint(eager=True)
+    cleaned = materialize(cleaned, "cleaned")
     if dg.is_empty(cleaned):  # the gate tests the cleaned table
         out.tables.update(profile=profile, actions=actions)
         out.stopped = "no rows after cleaning"

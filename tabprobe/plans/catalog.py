@@ -284,7 +284,7 @@ def q_strong_correlations(spark, sf):
 def q_digest(spark, sf):
     li = table(spark, sf, "lineitem")
     p = prof.profile(li)
-    outl = eda.outliers(li)
+    outl = eda.outliers(li, moments=eda.numeric_moments(li))
     corr = eda.correlation(li)
     return dg.digest("lineitem", li.count(), len(li.columns), p, outl, corr)
 

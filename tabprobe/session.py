@@ -54,3 +54,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tabprobe-ckpt-"))
         return sc.getCheckpointDir()
     raise ValueError("spark.checkpoint.dir is not set; point it at a folder shared by the cluster")
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` as Parquet under the checkpoint folder and read it back.
+
+    This cuts the lineage like ``checkpoint()`` (a lost executor does not send the
+    work back to the raw input), and later passes read it columnar, reading only
+    the columns they use.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
