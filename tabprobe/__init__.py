@@ -4,6 +4,18 @@ Every operator takes a DataFrame and returns a DataFrame (cleaning also returns
 action table), so the work stays lazy and distributed until the caller acts.
 """
 
-from tabprobe.session import checkpoint_dir, local_session
+import sys as _sys
 
-__all__ = ["checkpoint_dir", "local_session"]
+from tabprobe.session import checkpoint_dir, local_session, materialize
+
+# The few functions that run in Python workers (workbook parsing, per-partition
+# running counts) are shipped by value, so executors need no installed copy of
+# this package.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle without the hook
+    pass
+
+__all__ = ["checkpoint_dir", "local_session", "materialize"]

@@ -157,8 +157,7 @@ def _with_ranks(data: DataFrame, cols: list[str], broadcast_rows: int = 2_000_00
     AQE splits if a value is hot.
     """
     ranks = average_ranks(data, cols)
-    sizes = {r["column_name"]: r["n"] for r in
-             ranks.blocks.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = ranks.sizes
     out = data
     for i, c in enumerate(cols):
         r = ranks.where(F.col("column_name") == F.lit(c)).select(
