@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprobe.functions.exprs import col
-from tabprobe.session import materialize
+from tabprobe.session import materialize, spread
 
 BLOCK_SCHEMA = "column_name string, value double, cnt long, pid int, local_before long"
 
@@ -53,7 +53,7 @@ def average_ranks(df: DataFrame, cols: list[str], partitions: int | None = None)
     """
     spark = df.sparkSession
     parts = [F.struct(F.lit(c).alias("column_name"), col(c).cast("double").alias("value")) for c in cols]
-    vc = (df.select(F.inline(F.array(*parts))).where(F.col("value").isNotNull())
+    vc = (spread(df).select(F.inline(F.array(*parts))).where(F.col("value").isNotNull())
           .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt")))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = materialize(

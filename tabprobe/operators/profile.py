@@ -16,7 +16,7 @@ from tabprobe.functions.exprs import col, fixed_width, is_fractional, is_numeric
 from tabprobe.functions.quantiles import median_ranks, order_statistics, weighted_order_statistics
 from tabprobe.functions.stats import column_stats
 from tabprobe.functions.values import top_k, top_values_array, value_counts
-from tabprobe.session import materialize
+from tabprobe.session import materialize, spread
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("position", T.IntegerType()),
@@ -82,7 +82,7 @@ def profile(df: DataFrame, top_n: int = 10, exact: bool = True) -> DataFrame:
     med_ranks = {c: list(median_ranks(stats[c]["n"])) for c in num if stats[c]["n"] > 0}
 
     if exact:
-        vc = materialize(value_count_table(df), "value_counts")
+        vc = materialize(value_count_table(spread(df)), "value_counts")
         distinct = {r["column_name"]: r["n"] for r in
                     vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
         medians = weighted_order_statistics(vc.where(F.col("v").isNotNull()).select("column_name", "v", "w"),

@@ -69,3 +69,17 @@ def materialize(df, name: str = "table"):
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df):
+    """Round-robin the rows over the cluster's cores when the input has fewer
+    splits than cores (one file with one Parquet row group reads in one task).
+
+    Used only before passes whose per-row work outweighs moving the row (the
+    unpivot-and-count passes). A large input already has many splits and is
+    returned unchanged, so this never adds a shuffle at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
