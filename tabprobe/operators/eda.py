@@ -149,7 +149,7 @@ def correlation(
     return spark.createDataFrame(rows, schema).select("col_a", "col_b", safe_round(F.col("r")).alias("r"))
 
 
-def _with_ranks(data: DataFrame, cols: list[str], broadcast_rows: int = 2_000_000) -> DataFrame:
+def _with_ranks(data: DataFrame, cols: list[str], broadcast_rows: int = 500_000) -> DataFrame:
     """Replace each column by the average rank of its value (null stays null).
 
     The rank table of a column is broadcast when its distinct-value count (known

@@ -7,7 +7,6 @@ sample have no oracle (row count only).
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -315,8 +314,6 @@ def _roundtrip(fmt):
 def q_workbook_directory(spark, sf):
     src = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice").repartition(4, "p_partkey")
     d = scratch_dir(spark, "xlsx")
-    local = d[len("file:"):] if d.startswith("file:") else d
-    os.makedirs(local, exist_ok=True)
     write_workbooks(src, d)
     return read_workbooks(spark, d)
 

@@ -170,8 +170,9 @@ def workbook_bytes(header: list[str], rows: list[list]) -> bytes:
 
 
 def write_workbooks(df: DataFrame, directory: str) -> None:
-    """One workbook per partition under ``directory`` (a shared folder), named by the
-    partition number so a retried task overwrites its own file."""
+    """One workbook per partition under ``directory`` (a shared folder or object-store
+    URI, written through pyarrow's filesystems), named by the partition number so a
+    retried task overwrites its own file."""
     header = list(df.columns)
 
     def write_part(batches):
@@ -183,8 +184,14 @@ def write_workbooks(df: DataFrame, directory: str) -> None:
         pid = TaskContext.get().partitionId()
         data = workbook_bytes(header, rows)
         target = directory.rstrip("/") + f"/part-{pid:05d}.xlsx"
-        local = target[len("file:"):] if target.startswith("file:") else target
-        with open(local, "wb") as fh:
+        from pyarrow import fs as pafs
+
+        if "://" in target:
+            filesystem, where = pafs.FileSystem.from_uri(target)
+        else:
+            filesystem, where = pafs.LocalFileSystem(), target[len("file:"):] if target.startswith("file:") else target
+        filesystem.create_dir(where.rsplit("/", 1)[0], recursive=True)
+        with filesystem.open_output_stream(where) as fh:
             fh.write(data)
         yield pd.DataFrame({"n": [len(rows)]})
 

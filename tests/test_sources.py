@@ -67,12 +67,13 @@ def test_table_fingerprint_order_independent(spark):
     assert fa == fb and fa != fc
 
 
-def test_file_fingerprint(spark, sample_csv):
-    import hashlib
-
+def test_file_fingerprint(spark, sample_csv, tmpdir_path):
     fp = fingerprint.file_fingerprint(spark, sample_csv)
-    one = hashlib.md5(open(sample_csv, "rb").read()).hexdigest()
-    assert fp == hashlib.md5(one.encode()).hexdigest()
+    assert fp == fingerprint.file_fingerprint(spark, sample_csv)
+    with open(sample_csv, "a") as fh:
+        fh.write("Zed,50,1.0,Ops,2020-01-01\n")
+    assert fingerprint.file_fingerprint(spark, sample_csv) != fp
+    assert len(fingerprint.file_fingerprint(spark, sample_csv, content=False)) == 32
 
 
 def test_store_roundtrip(spark, tmpdir_path):
