@@ -148,10 +148,23 @@ def _nonfinite_detail(df: DataFrame, cols: list[str], out: dict[str, dict]) -> N
             out[c][k] = row[f"c{i}__{k}"]
 
 
-def agg_row(df: DataFrame, exprs: list[Column], per_job: int = 40) -> dict:
+def agg_row(df: DataFrame, exprs: list[Column], per_job: int = 40, widths: list[int] | None = None) -> dict:
     """Collect the one-row result of many aggregates, split into groups small enough
-    to keep whole-stage codegen (each group is one job over the same input)."""
+    to keep whole-stage codegen (each group is one job over the same input).
+    ``widths`` gives each aggregate's buffer fields; then groups fill up to the
+    field budget instead of ``per_job`` aggregates."""
+    groups: list[list[Column]] = []
+    if widths is None:
+        groups = [exprs[i:i + per_job] for i in range(0, len(exprs), per_job)]
+    else:
+        used = WIDE_FIELD_BUDGET
+        for e, w in zip(exprs, widths):
+            if used + w > WIDE_FIELD_BUDGET:
+                groups.append([])
+                used = 0
+            groups[-1].append(e)
+            used += w
     out: dict = {}
-    for i in range(0, len(exprs), per_job):
-        out.update(df.agg(*exprs[i:i + per_job]).first().asDict())
+    for g in groups:
+        out.update(df.agg(*g).first().asDict())
     return out

@@ -251,14 +251,17 @@ def clean(
     normalize_columns_: bool = True,
     numeric_strategy: str = "median",
     categorical_strategy: str = "mode",
+    n_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """names -> duplicates -> missing values -> coercion; returns (cleaned, actions)."""
+    """names -> duplicates -> missing values -> coercion; returns (cleaned, actions).
+
+    ``n_rows``: the input's row count when the caller already knows it."""
     actions: list[Action] = []
     if normalize_columns_:
         df, a = normalize_columns(df)
         if a:
             actions.append(a)
-    before = df.count() if drop_duplicates_ else None
+    before = (n_rows if n_rows is not None else df.count()) if drop_duplicates_ else None
     if drop_duplicates_:
         # Written once to the checkpoint folder: the statistics passes below and the
         # caller's own use read it instead of repeating the distinct shuffle.

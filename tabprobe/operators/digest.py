@@ -101,7 +101,8 @@ def digest(name: str, n_rows: int, n_cols: int, prof: DataFrame, outl: DataFrame
     return out.where(F.col("n") > 0).select("line", "text")
 
 
-def quality_flags(prof: DataFrame, df: DataFrame | None = None, null_pct_threshold: float = 50.0) -> DataFrame:
+def quality_flags(prof: DataFrame, df: DataFrame | None = None, null_pct_threshold: float = 50.0,
+                  n_rows: int | None = None) -> DataFrame:
     """Rule-based flags from the profile table.
 
     high_nulls: null_pct >= threshold; constant: one value (null counts as one);
@@ -116,7 +117,7 @@ def quality_flags(prof: DataFrame, df: DataFrame | None = None, null_pct_thresho
             F.col("name").alias("column_name"), F.lit("constant").alias("flag"), F.lit("one distinct value").alias("detail")),
     ]
     if df is not None:
-        rows = df.count()
+        rows = n_rows if n_rows is not None else df.count()
         flags.append(prof.where((F.col("unique_count") == F.lit(rows)) & F.lit(rows > 1)).select(
             F.col("name").alias("column_name"), F.lit("key_like").alias("flag"), F.lit("every value distinct").alias("detail")))
         strings = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]

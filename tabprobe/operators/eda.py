@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprobe.functions.exprs import col, is_numeric, safe_round
-from tabprobe.functions.quantiles import median_ranks, nearest_rank, order_statistics
+from tabprobe.functions.quantiles import median_ranks, nearest_rank, order_statistics, weighted_order_statistics
 from tabprobe.functions.ranks import average_ranks
 from tabprobe.functions.stats import agg_row, column_stats
 from tabprobe.functions.values import distinct_counts, top_k, value_counts
@@ -38,18 +38,30 @@ def _numeric_cols(df: DataFrame, cols: list[str] | None) -> list[str]:
     return [c for c in names if cols is None or c in cols]
 
 
-def numeric_moments(df: DataFrame, cols: list[str] | None = None) -> dict[str, dict]:
-    """Collected per-column statistics plus exact median and nearest-rank quartiles."""
+def numeric_moments(df: DataFrame, cols: list[str] | None = None, stats: dict | None = None,
+                    counts: DataFrame | None = None) -> dict[str, dict]:
+    """Collected per-column statistics plus exact median and nearest-rank quartiles.
+
+    ``stats`` may carry ``column_stats(df, skew=True)`` already computed by the
+    caller; ``counts`` a value-count table of ``df`` (the profile's
+    ``.value_counts``), from which the order statistics are then refined.
+    """
     cols = _numeric_cols(df, cols)
     if not cols:
         return {}
     sub = df.select(*[col(c) for c in cols])
-    stats = column_stats(sub, skew=True)
+    if stats is None or any("skewness" not in stats.get(c, {}) for c in cols):
+        stats = column_stats(sub, skew=True)
+    stats = {c: dict(stats[c]) for c in cols}
     ranks = {}
     for c in cols:
         n = stats[c]["n"]
         ranks[c] = sorted({*median_ranks(n), *(nearest_rank(n, q) for q in (0.25, 0.5, 0.75))}) if n else []
-    values = order_statistics(sub, ranks, stats=stats)
+    if counts is not None:
+        values = weighted_order_statistics(counts.where(F.col("v").isNotNull()).select("column_name", "v", "w"),
+                                           ranks, stats)
+    else:
+        values = order_statistics(sub, ranks, stats=stats)
     for c in cols:
         s, n = stats[c], stats[c]["n"]
         if n == 0:
@@ -98,16 +110,6 @@ def categorical_summary(df: DataFrame, top_n: int = 10) -> tuple[DataFrame, Data
     return uniq, top_k(vc, top_n).select("column_name", "rank", "value", "count")
 
 
-def _pair_exprs(a: Column, b: Column, tag: str, nulls: str) -> list[Column]:
-    if nulls == "pairwise":
-        a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return [
-        F.covar_pop(a, b).alias(f"{tag}_cov"),
-        F.stddev_pop(a).alias(f"{tag}_sa"),
-        F.stddev_pop(b).alias(f"{tag}_sb"),
-    ]
-
-
 def correlation(
     df: DataFrame,
     cols: list[str] | None = None,
@@ -119,8 +121,11 @@ def correlation(
 
     r = covar_pop / (stddev_pop * stddev_pop); a constant column gives null (``corr``
     would raise a division error under ANSI mode). ``nulls="propagate"``: a column
-    with any null gives null in its whole row and column; ``"pairwise"``: rows where
-    either side is null are skipped. ``method="spearman"`` correlates average ranks.
+    with any null gives null in its whole row and column, so each column's stddev
+    is shared by all its pairs; ``"pairwise"``: rows where either side is null are
+    skipped, so the stddevs are taken per pair. ``method="spearman"`` correlates
+    average ranks. All aggregates are algebraic (partial aggregation), grouped so
+    each job keeps whole-stage codegen.
     """
     cols = _numeric_cols(df, cols)
     spark = df.sparkSession
@@ -130,22 +135,43 @@ def correlation(
     data = df.select(*[col(c) for c in cols])
     if method == "spearman":
         data = _with_ranks(data, cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    x = {i: col(c).cast("double") for i, c in enumerate(cols)}
     exprs = [F.count(F.lit(1)).alias("rows")] + [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(cols)]
-    for i, j in pairs:
-        exprs += _pair_exprs(col(cols[i]).cast("double"), col(cols[j]).cast("double"), f"p{i}_{j}", nulls)
-    row = agg_row(data, exprs, per_job=30)
+    widths = [1] * len(exprs)
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    if nulls == "pairwise":
+        for i, j in pairs:
+            a, b = F.when(x[j].isNotNull(), x[i]), F.when(x[i].isNotNull(), x[j])
+            exprs += [F.covar_pop(a, b).alias(f"c{i}_{j}"), F.stddev_pop(a).alias(f"s{i}_{j}"),
+                      F.stddev_pop(b).alias(f"s{j}_{i}")]
+            widths += [4, 3, 3]
+        for i in range(len(cols)):
+            exprs.append(F.stddev_pop(x[i]).alias(f"s{i}"))
+            widths.append(3)
+    else:
+        for i in range(len(cols)):
+            exprs.append(F.stddev_pop(x[i]).alias(f"s{i}"))
+            widths.append(3)
+        for i, j in pairs:
+            exprs.append(F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}"))
+            widths.append(4)
+    row = agg_row(data, exprs, widths=widths)
     rows = []
+    for i in range(len(cols)):
+        full = row[f"n{i}"] == row["rows"]
+        sd = row[f"s{i}"]
+        ok = sd is not None and sd > 0 and (full or nulls == "pairwise")
+        rows.append((cols[i], cols[i], 1.0 if ok else None))
     for i, j in pairs:
-        cov, sa, sb = row[f"p{i}_{j}_cov"], row[f"p{i}_{j}_sa"], row[f"p{i}_{j}_sb"]
-        r = None
-        if cov is not None and sa and sb:
-            r = cov / (sa * sb)
+        if nulls == "pairwise":
+            sa, sb = row[f"s{i}_{j}"], row[f"s{j}_{i}"]
+        else:
+            sa, sb = row[f"s{i}"], row[f"s{j}"]
+        cov = row[f"c{i}_{j}"]
+        r = cov / (sa * sb) if cov is not None and sa and sb else None
         if nulls == "propagate" and (row[f"n{i}"] < row["rows"] or row[f"n{j}"] < row["rows"]):
             r = None
-        rows.append((cols[i], cols[j], r))
-        if i != j:
-            rows.append((cols[j], cols[i], r))
+        rows += [(cols[i], cols[j], r), (cols[j], cols[i], r)]
     return spark.createDataFrame(rows, schema).select("col_a", "col_b", safe_round(F.col("r")).alias("r"))
 
 

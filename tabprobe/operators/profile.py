@@ -60,7 +60,7 @@ def value_count_table(df: DataFrame) -> DataFrame:
             .select("column_name", "text", "l", F.coalesce(F.col("d"), F.col("l").cast("double")).alias("v"), "w"))
 
 
-def profile(df: DataFrame, top_n: int = 10, exact: bool = True) -> DataFrame:
+def profile(df: DataFrame, top_n: int = 10, exact: bool = True, stats: dict | None = None) -> DataFrame:
     """One row per column: name, dtype, null_count, null_pct, unique_count, mean,
     median, std, min, max, top_values, position.
 
@@ -72,11 +72,14 @@ def profile(df: DataFrame, top_n: int = 10, exact: bool = True) -> DataFrame:
     counts, which are checkpointed; unique counts, exact medians (range refinement
     weighted by the counts) and top values then read that much smaller table.
     ``exact=False`` skips the value-count pass for numeric columns: HyperLogLog
-    unique counts and medians refined on the raw columns.
+    unique counts and medians refined on the raw columns. ``stats`` takes the
+    result of ``column_stats`` when the caller already has it; the collected
+    statistics are kept on the result as ``.stats``.
     """
     spark = df.sparkSession
     fields = df.schema.fields
-    stats = column_stats(df, exact)
+    if stats is None or not exact:
+        stats = column_stats(df, exact)
     num = [f.name for f in fields if is_numeric(f.dataType)]
     cat_cols = [f.name for f in fields if not is_numeric(f.dataType)]
     med_ranks = {c: list(median_ranks(stats[c]["n"])) for c in num if stats[c]["n"] > 0}
@@ -108,7 +111,7 @@ def profile(df: DataFrame, top_n: int = 10, exact: bool = True) -> DataFrame:
     tops = top_values_array(top_k(cat_vc, top_n))
     top_type = "array<struct<value:string,count:bigint>>"
     out = base.alias("b").join(F.broadcast(tops.alias("t")), F.col("b.name") == F.col("t.column_name"), "left")
-    return out.select(
+    result = out.select(
         F.col("b.name").alias("name"),
         F.col("b.dtype").alias("dtype"),
         F.col("b.null_count").alias("null_count"),
@@ -123,6 +126,9 @@ def profile(df: DataFrame, top_n: int = 10, exact: bool = True) -> DataFrame:
         .alias("top_values"),
         F.col("b.position").alias("position"),
     )
+    result.stats = stats
+    result.value_counts = vc if exact else None
+    return result
 
 
 def memory_estimate(df: DataFrame) -> DataFrame:

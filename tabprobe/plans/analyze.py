@@ -44,12 +44,14 @@ def analyze(df: DataFrame, name: str = "table", query_instructions: list | None
     """R1 on a DataFrame."""
     opts = {**DEFAULTS, **options}
     out = Analysis()
-    if dg.is_empty(df):  # D6
+    profile = prof.profile(df)
+    n_rows = next(iter(profile.stats.values()))["n_rows"] if profile.stats else 0
+    if n_rows == 0:  # D6
+        out.tables.update(profile=profile)
         out.stopped = "no rows"
         return out
-    profile = prof.profile(df)
     cleaned, actions = cleaning.clean(df, opts["drop_duplicates"], opts["normalize_columns"],
-                                      opts["numeric_fill_strategy"], opts["categorical_fill_strategy"])
+                                      opts["numeric_fill_strategy"], opts["categorical_fill_strategy"], n_rows=n_rows)
     cleaned = materialize(cleaned, "cleaned")
     if dg.is_empty(cleaned):  # the gate tests the cleaned table
         out.tables.update(profile=profile, actions=actions)
@@ -60,9 +62,8 @@ def analyze(df: DataFrame, name: str = "table", query_instructions: list | None
     cat_unique, cat_top = eda.categorical_summary(cleaned)
     corr = eda.correlation(cleaned, method=opts["correlation_method"])
     outl = eda.outliers(cleaned, method=opts["outlier_method"], threshold=opts["outlier_threshold"], moments=moments)
-    n_rows = df.count()
     text = dg.digest(name, n_rows, len(df.columns), profile, outl, corr, actions)
-    flags = dg.quality_flags(profile, df)
+    flags = dg.quality_flags(profile, df, n_rows=n_rows)
     out.tables.update(profile=profile, actions=actions, cleaned=cleaned, numeric_summary=summary,
                       categorical_unique=cat_unique, categorical_top=cat_top, correlation=corr,
                       outliers=outl, digest=text, quality_flags=flags)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabprobe.functions.exprs import col
+from tabprobe.functions.stats import column_stats
 from tabprobe.operators import charts, clean as cleaning, digest as dg, eda, profile as prof, query
 from tabprobe.plans import oracle as O
 from tabprobe.session import checkpoint_dir
@@ -282,15 +283,18 @@ def q_strong_correlations(spark, sf):
 
 def q_digest(spark, sf):
     li = table(spark, sf, "lineitem")
-    p = prof.profile(li)
-    outl = eda.outliers(li, moments=eda.numeric_moments(li))
+    stats = column_stats(li, skew=True)  # shared by the profile and the outlier quartiles
+    p = prof.profile(li, stats=stats)
+    outl = eda.outliers(li, moments=eda.numeric_moments(li, stats=stats, counts=p.value_counts))
     corr = eda.correlation(li)
-    return dg.digest("lineitem", li.count(), len(li.columns), p, outl, corr)
+    n_rows = next(iter(stats.values()))["n_rows"]
+    return dg.digest("lineitem", n_rows, len(li.columns), p, outl, corr)
 
 
 def q_quality_flags(spark, sf):
     df = doc_labels(spark, sf)
-    return dg.quality_flags(prof.profile(df), df)
+    p = prof.profile(df)
+    return dg.quality_flags(p, df, n_rows=next(iter(p.stats.values()))["n_rows"])
 
 
 # ----------------------------------------------------------------------------- sources, store
