@@ -355,6 +355,38 @@ def q_analyze(spark, sf):
     return analyze(table(spark, sf, "orders"), name="orders").tables["numeric_summary"]
 
 
+def q_profile_events(spark, sf):
+    return prof.profile(table(spark, sf, "events")).select(*PROFILE_COLS)
+
+
+def q_profile_top_events(spark, sf):
+    p = prof.profile(table(spark, sf, "events"))
+    return (p.where(F.col("top_values").isNotNull())
+            .select(F.col("name").alias("column_name"), F.posexplode("top_values").alias("pos", "tv"))
+            .select("column_name", (F.col("pos") + 1).cast("int").alias("rank"), F.col("tv.value").alias("value"),
+                    F.col("tv.count").alias("count")))
+
+
+def q_eda_numeric_nulls(spark, sf):
+    return eda.numeric_summary(doc_labels(spark, sf))
+
+
+def q_eda_outliers_nulls(spark, sf):
+    return eda.outliers(doc_labels(spark, sf))
+
+
+def _doclabel_clean(strategy):
+    def q(spark, sf):
+        df = doc_labels(spark, sf).select("doc_id", "lang", "quality", "toxic")
+        out, _ = cleaning.handle_missing(df, numeric_strategy=strategy)
+        return out
+    return q
+
+
+def q_chart_histogram_int(spark, sf):
+    return charts.histogram(table(spark, sf, "part"), "p_size")
+
+
 QUERIES = {
     "profile_lineitem": q_profile_lineitem,
     "profile_with_nulls": q_profile_with_nulls,
@@ -410,6 +442,13 @@ QUERIES = {
     "fingerprint": q_fingerprint,
     "cache_reload": q_cache_reload,
     "analyze": q_analyze,
+    "profile_events": q_profile_events,
+    "profile_top_events": q_profile_top_events,
+    "eda_numeric_nulls": q_eda_numeric_nulls,
+    "eda_outliers_nulls": q_eda_outliers_nulls,
+    "clean_nulls_median": _doclabel_clean("median"),
+    "clean_nulls_drop": _doclabel_clean("drop"),
+    "chart_histogram_int": q_chart_histogram_int,
 }
 
 
@@ -547,4 +586,24 @@ ORACLE = {
     "cache_reload": O.numeric_summary_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"]),
     "analyze": O.numeric_summary_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"]),
 }
+_EVENTS_TYPES = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string",
+                 "value": "double", "props": "string"}
+_DL_NUM = ["doc_id", "n_chars", "quality", "toxic"]
+_DL4 = f"(SELECT doc_id, lang, quality, toxic FROM {O.DOCLABEL})"
+ORACLE.update({
+    "profile_events": O.profile_sql("events", _EVENTS_TYPES),
+    "profile_top_events": O.top_values_sql("events", ["ts", "event_type", "props"]),
+    "eda_numeric_nulls": O.numeric_summary_sql(O.DOCLABEL, _DL_NUM),
+    "eda_outliers_nulls": O.outliers_iqr_sql(O.DOCLABEL, _DL_NUM),
+    "clean_nulls_median": (f"SELECT doc_id, lang, coalesce(CAST(quality AS DOUBLE), (SELECT median(quality) FROM {_DL4})) AS quality, "
+                           f"coalesce(CAST(toxic AS DOUBLE), (SELECT median(toxic) FROM {_DL4})) AS toxic FROM {_DL4}"),
+    "clean_nulls_drop": f"SELECT * FROM {_DL4} WHERE quality IS NOT NULL AND toxic IS NOT NULL",
+    "chart_histogram_int": (
+        "WITH b AS (SELECT CAST(min(p_size) AS DOUBLE) AS lo, CAST(max(p_size) AS DOUBLE) AS hi FROM part), "
+        "c AS (SELECT CAST(least(floor((p_size - lo) / (hi - lo) * 30), 29) AS INTEGER) AS bin, count(*) AS count "
+        "FROM part, b GROUP BY 1) "
+        "SELECT r.bin, round(lo + r.bin * ((hi - lo) / 30), 4) AS lower, round(lo + (r.bin + 1) * ((hi - lo) / 30), 4) AS upper, "
+        "coalesce(c.count, 0) AS count FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(30)) r CROSS JOIN b "
+        "LEFT JOIN c ON r.bin = c.bin"),
+})
 ORACLE = {k: _q(v) for k, v in ORACLE.items()}
