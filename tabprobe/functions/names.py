@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import re
 
+# Fixed values (as the analysed tool normalises names): characters kept, the run
+# that collapses, the name for an empty result.
 _NOT_WORD = re.compile(r"[^a-z0-9_]")
 _RUNS = re.compile(r"_+")
+EMPTY_NAME = "column"
 
 
 def snake_name(name: str) -> str:
     """strip, lower, every char outside [a-z0-9_] -> '_', runs of '_' -> one, trim '_';
     an empty result becomes 'column'."""
     s = _RUNS.sub("_", _NOT_WORD.sub("_", name.strip().lower())).strip("_")
-    return s or "column"
+    return s or EMPTY_NAME
 
 
 def unique_names(names: list[str]) -> list[str]:

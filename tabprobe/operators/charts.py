@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tabprobe.functions.exprs import col
 
-# Fixed sizes of the charts and the export (values of the analysed tool).
+# Fixed values (as the analysed tool uses them): histogram bins, bars shown, scatter and export caps.
 HIST_BINS = 30
 BAR_TOP = 15
 SCATTER_CAP = 5000

@@ -21,6 +21,18 @@ from tabprobe.session import materialize
 
 ACTION_SCHEMA = "step int, action string, column string, detail string, rows_affected bigint"
 
+# The action log's texts and the constant fill, as the analysed tool
+# writes them ({...} are filled in per action).
+TEXT_NORMALIZED = "Normalized {renamed} column names to snake_case"
+TEXT_DEDUP = "Removed {dropped:,} duplicate rows"
+TEXT_DROPPED = "Dropped {n} rows with null '{c}'"
+TEXT_FILLED_NUMBER = "Filled {n} nulls in '{c}' with {s} ({v:.2f})"
+TEXT_FILLED_VALUE = "Filled {n} nulls in '{c}' with '{v}'"
+TEXT_CAST = "Cast '{c}' from String → Float64"
+UNKNOWN = "Unknown"
+# Our own addition (the analysed tool has no such case).
+TEXT_SKIPPED = "Left {n} nulls in '{c}': '{u}' does not fit {t}"
+
 # A number as text: optional sign, digits with an optional point (or a point and
 # digits), optional exponent. Leading/trailing spaces, "inf", "nan" and suffixes
 # such as "1d" are not numbers here (Spark's cast alone would accept some of them).
@@ -52,7 +64,7 @@ def normalize_columns(df: DataFrame) -> tuple[DataFrame, Action | None]:
     if renamed == 0:
         return df, None
     out = df.select(*[col(o).alias(n) for o, n in zip(df.columns, new)])
-    return out, Action("normalize_columns", None, f"Normalized {renamed} column names to snake_case", 0)
+    return out, Action("normalize_columns", None, TEXT_NORMALIZED.format(renamed=renamed), 0)
 
 
 # ---------------------------------------------------------------- C3
@@ -76,7 +88,7 @@ def drop_duplicates(df: DataFrame) -> tuple[DataFrame, Action | None]:
     dropped = before - out.count()
     if dropped == 0:
         return out, None
-    return out, Action("drop_duplicates", None, f"Removed {dropped:,} duplicate rows", dropped)
+    return out, Action("drop_duplicates", None, TEXT_DEDUP.format(dropped=dropped), dropped)
 
 
 # ---------------------------------------------------------------- C4-C11
@@ -181,17 +193,17 @@ def _handle_missing(df: DataFrame, numeric_strategy: str, categorical_strategy:
         s = strategy(c)
         if s == "drop":
             drop_cols.append(c)
-            actions.append(Action("drop_null_rows", c, f"Dropped {n} rows with null '{c}'", n))
+            actions.append(Action("drop_null_rows", c, TEXT_DROPPED.format(n=n, c=c), n))
         elif c in num:
             if s in ("mean", "median"):
                 v = fill.get(c)
                 if v is None:
                     continue
                 exprs_out[c] = F.coalesce(col(c).cast("double"), F.lit(float(v)))
-                actions.append(Action(f"fill_null_{s}", c, f"Filled {n} nulls in '{c}' with {s} ({v:.2f})", n))
+                actions.append(Action(f"fill_null_{s}", c, TEXT_FILLED_NUMBER.format(n=n, c=c, s=s, v=v), n))
             elif s == "zero":
                 exprs_out[c] = F.coalesce(col(c), F.lit(0).cast(f.dataType))
-                actions.append(Action("fill_null_zero", c, f"Filled {n} nulls in '{c}' with zero (0.00)", n))
+                actions.append(Action("fill_null_zero", c, TEXT_FILLED_NUMBER.format(n=n, c=c, s="zero", v=0.0), n))
         else:
             if s not in ("mode", "unknown"):
                 continue
@@ -203,12 +215,12 @@ def _handle_missing(df: DataFrame, numeric_strategy: str, categorical_strategy:
                 else:
                     value, lit = m[0], F.lit(m[0]).cast(m[1])
             elif is_text:
-                value, lit = "Unknown", F.lit("Unknown")
+                value, lit = UNKNOWN, F.lit(UNKNOWN)
             else:
-                actions.append(Action("skipped", c, f"Left {n} nulls in '{c}': 'Unknown' does not fit {f.dataType.simpleString()}", 0))
+                actions.append(Action("skipped", c, TEXT_SKIPPED.format(n=n, c=c, u=UNKNOWN, t=f.dataType.simpleString()), 0))
                 continue
             exprs_out[c] = F.coalesce(col(c), lit)
-            actions.append(Action(f"fill_null_{s}", c, f"Filled {n} nulls in '{c}' with '{value}'", n))
+            actions.append(Action(f"fill_null_{s}", c, TEXT_FILLED_VALUE.format(n=n, c=c, v=value), n))
 
     out = df
     if drop_cols:
@@ -239,7 +251,7 @@ def coerce_types(df: DataFrame) -> tuple[DataFrame, list[Action]]:
     if not cast:
         return df, []
     out = df.select(*[col(c).cast("double").alias(c) if c in cast else col(c) for c in df.columns])
-    return out, [Action("type_coercion", c, f"Cast '{c}' from String → Float64", 0) for c in cast]
+    return out, [Action("type_coercion", c, TEXT_CAST.format(c=c), 0) for c in cast]
 
 
 # ---------------------------------------------------------------- C14
@@ -271,7 +283,7 @@ def clean(
     df, acts, after = _handle_missing(df, numeric_strategy, categorical_strategy)
     if drop_duplicates_ and before - after > 0:
         dropped = before - after
-        actions.append(Action("drop_duplicates", None, f"Removed {dropped:,} duplicate rows", dropped))
+        actions.append(Action("drop_duplicates", None, TEXT_DEDUP.format(dropped=dropped), dropped))
     actions += acts
     df, acts = coerce_types(df)
     actions += acts

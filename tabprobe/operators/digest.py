@@ -14,6 +14,17 @@ from tabprobe.operators.clean import NUMBER_TEXT
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
+# The digest's line formats, as the analysed tool writes them
+# (the outlier item format is our own).
+LINE_DATASET = "Dataset: {name} ({rows}×{cols})"
+LINE_NUMERIC = "Numeric: "
+LINE_CATEGORICAL = "Categorical: "
+LINE_OUTLIERS = "Outliers: "
+LINE_CORRELATIONS = "Correlations: "
+LINE_CLEANING = "Cleaning: "
+PAIR_ARROW = "↔"
+MEAN_MARK = "[μ="
+
 
 def is_numeric_type(dtype: Column) -> Column:
     return dtype.isin(*NUMERIC_TYPES) | dtype.startswith("decimal")
@@ -32,7 +43,7 @@ def column_lines(prof: DataFrame) -> tuple[DataFrame, DataFrame]:
                     F.when(F.col("null_count") > 0, F.concat(F.lit(","), F.col("null_count").cast("string"), F.lit("n")))
                     .otherwise(F.lit("")), F.lit(")"))
     num_text = F.concat(base, F.when(F.col("mean").isNotNull(),
-                                     F.concat(F.lit("[μ="), F.format_string("%.1f", F.round(F.col("mean"), 1)), F.lit("]")))
+                                     F.concat(F.lit(MEAN_MARK), F.format_string("%.1f", F.round(F.col("mean"), 1)), F.lit("]")))
                         .otherwise(F.lit("")))
     numeric = _join(prof.where(is_numeric_type(F.col("dtype"))), [F.col("position")], num_text)
     other = _join(prof.where(~is_numeric_type(F.col("dtype"))), [F.col("position")], base)
@@ -65,7 +76,7 @@ def strong_correlations(corr: DataFrame, positions: DataFrame, threshold: float
 
 
 def correlation_line(strong: DataFrame, order: str = "column") -> DataFrame:
-    text = F.concat(F.col("col_a"), F.lit("↔"), F.col("col_b"), F.lit("("), F.format_string("%.2f", F.col("r")), F.lit(")"))
+    text = F.concat(F.col("col_a"), F.lit(PAIR_ARROW), F.col("col_b"), F.lit("("), F.format_string("%.2f", F.col("r")), F.lit(")"))
     keys = [F.col("pos_a"), F.col("pos_b")] if order == "column" else [-F.abs(F.col("r")), F.col("pos_a"), F.col("pos_b")]
     return _join(strong, keys, text)
 
@@ -82,19 +93,19 @@ def digest(name: str, n_rows: int, n_cols: int, prof: DataFrame, outl: DataFrame
            corr_order: str = "column") -> DataFrame:
     """(line, text), one row per digest line, in order."""
     spark = prof.sparkSession
-    lines = [spark.createDataFrame([(0, f"Dataset: {name} ({n_rows}×{n_cols})", 1)], "line int, text string, n long")]
+    lines = [spark.createDataFrame([(0, LINE_DATASET.format(name=name, rows=n_rows, cols=n_cols), 1)], "line int, text string, n long")]
     numeric, other = column_lines(prof)
-    lines.append(numeric.select(F.lit(1).alias("line"), F.concat(F.lit("Numeric: "), "text").alias("text"), "n"))
-    lines.append(other.select(F.lit(2).alias("line"), F.concat(F.lit("Categorical: "), "text").alias("text"), "n"))
+    lines.append(numeric.select(F.lit(1).alias("line"), F.concat(F.lit(LINE_NUMERIC), "text").alias("text"), "n"))
+    lines.append(other.select(F.lit(2).alias("line"), F.concat(F.lit(LINE_CATEGORICAL), "text").alias("text"), "n"))
     if outl is not None:
-        lines.append(outlier_line(outl).select(F.lit(3).alias("line"), F.concat(F.lit("Outliers: "), "text").alias("text"), "n"))
+        lines.append(outlier_line(outl).select(F.lit(3).alias("line"), F.concat(F.lit(LINE_OUTLIERS), "text").alias("text"), "n"))
     if corr is not None:
         pos = prof.select(F.col("name").alias("column_name"), "position")
         strong = strong_correlations(corr, pos, order=corr_order)
         lines.append(correlation_line(strong, corr_order).select(F.lit(4).alias("line"),
-                                                                 F.concat(F.lit("Correlations: "), "text").alias("text"), "n"))
+                                                                 F.concat(F.lit(LINE_CORRELATIONS), "text").alias("text"), "n"))
     if actions is not None:
-        lines.append(cleaning_line(actions).select(F.lit(5).alias("line"), F.concat(F.lit("Cleaning: "), "text").alias("text"), "n"))
+        lines.append(cleaning_line(actions).select(F.lit(5).alias("line"), F.concat(F.lit(LINE_CLEANING), "text").alias("text"), "n"))
     out = lines[0]
     for x in lines[1:]:
         out = out.unionByName(x)

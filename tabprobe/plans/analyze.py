@@ -18,7 +18,7 @@ from tabprobe.operators import charts, clean as cleaning, digest as dg, eda, pro
 from tabprobe.session import materialize
 from tabprobe.sources import fingerprint, readers, store
 
-# Defaults of the analysed tool's options.
+# The analysed tool's default options.
 DEFAULTS = {
     "drop_duplicates": True,
     "normalize_columns": True,

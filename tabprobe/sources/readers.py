@@ -8,7 +8,7 @@ from urllib.parse import urlparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Supported input formats (fixed list, in the order they are reported).
+# The supported input formats, in the order the error message lists them
 FORMATS = ("csv", "xlsx", "json", "parquet")
 
 

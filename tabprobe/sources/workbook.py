@@ -25,6 +25,8 @@ _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _CELL = re.compile(r"([A-Z]+)([0-9]+)")
 
 CELL_SCHEMA = "path string, row long, col int, value string, is_num boolean"
+# Fixed value: the name of a column whose header cell is empty (i = column number).
+EMPTY_HEADER = "column_{i}"
 
 
 def _col_index(letters: str) -> int:
@@ -98,7 +100,7 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     spark_cols = sorted({r["col"] for r in cells.select("col").distinct().collect()})
     if not spark_cols:
         return spark.createDataFrame([], "_empty string").select()
-    names = [header.get(i, f"column_{i}") for i in range(max(spark_cols) + 1)]
+    names = [header.get(i, EMPTY_HEADER.format(i=i)) for i in range(max(spark_cols) + 1)]
     body = cells.where(F.col("row") > 0)
     wide = (body.groupBy("path", "row").pivot("col", list(range(len(names))))
             .agg(F.first(F.struct("value", "is_num"))))
