@@ -98,13 +98,19 @@ def _refine(spark, pending: list[list], out: dict, level) -> None:
         pending = open_
 
 
-def _bucket(v, lo: float, hi: float, buckets: int):
-    """Monotone bucket number of ``v`` in [lo, hi]; lo and hi land in different buckets."""
+def _scale(lo: float, hi: float, buckets: int) -> float | None:
+    """Buckets per unit of the halved value; None when the span is below double resolution."""
     span = hi * 0.5 - lo * 0.5
     scale = buckets / span if span > 0 else INF
-    if math.isfinite(scale):
+    return scale if math.isfinite(scale) else None
+
+
+def _bucket(v, lo: float, hi: float, buckets: int):
+    """Monotone bucket number of ``v`` in [lo, hi]; lo and hi land in different buckets."""
+    scale = _scale(lo, hi, buckets)
+    if scale is not None:
         return F.least(F.floor((v * 0.5 - F.lit(lo * 0.5)) * F.lit(scale)), F.lit(buckets - 1))
-    return F.when(v > F.lit(lo), F.lit(buckets - 1)).otherwise(F.lit(0))  # span below double resolution
+    return F.when(v > F.lit(lo), F.lit(buckets - 1)).otherwise(F.lit(0))  # split at lo
 
 
 def order_statistics(
@@ -146,17 +152,21 @@ def weighted_order_statistics(
         return out
     pending = _initial({c: ranks[c] for c in cols}, stats, out)
 
+    spark = counts.sparkSession
+
     def level(ranges):
-        v, k = F.col("v"), F.col("column_name")
-        rid_expr = b_expr = keep = None
-        for i, (c, lo, hi) in enumerate(ranges):
-            inside = (k == F.lit(c)) & (v >= F.lit(lo)) & (v <= F.lit(hi))
-            keep = inside if keep is None else keep | inside
-            rid_expr = F.when(inside, F.lit(i)) if rid_expr is None else rid_expr.when(inside, F.lit(i))
-            is_i = F.col("rid") == F.lit(i)
-            b = _bucket(v, lo, hi, buckets)
-            b_expr = F.when(is_i, b) if b_expr is None else b_expr.when(is_i, b)
-        return (counts.where(keep).withColumn("rid", rid_expr).withColumn("b", b_expr.cast("int"))
+        # One row per open range (bounded by columns x wanted ranks), broadcast; each
+        # value row meets only the ranges of its own column.
+        table = spark.createDataFrame(
+            [(i, c, lo, hi, lo * 0.5, _scale(lo, hi, buckets)) for i, (c, lo, hi) in enumerate(ranges)],
+            "rid int, column_name string, lo double, hi double, lo_half double, scale double")
+        v = F.col("v")
+        finite = F.least(F.floor((v * 0.5 - F.col("lo_half")) * F.col("scale")), F.lit(buckets - 1))
+        split = F.when(v > F.col("lo"), F.lit(buckets - 1)).otherwise(F.lit(0))
+        b = F.when(F.col("scale").isNotNull(), finite).otherwise(split)
+        return (counts.join(F.broadcast(table), "column_name")
+                .where((v >= F.col("lo")) & (v <= F.col("hi")))
+                .select("rid", b.cast("int").alias("b"), "v", "w")
                 .groupBy("rid", "b")
                 .agg(F.sum("w").alias("cnt"), F.min("v").alias("vmin"), F.max("v").alias("vmax")))
 
@@ -167,22 +177,30 @@ def weighted_order_statistics(
 def _bucket_counts(base: DataFrame, keys: dict[str, str], ranges: list[tuple], buckets: int) -> DataFrame:
     """(rid, b, cnt, vmin, vmax) for every non-empty bucket of every open range.
 
-    Each input row computes one (bucket, value) pair per range of its own column
-    (null outside the range); the pairs are unpivoted and counted per (range, bucket).
+    Each input row emits one (range, bucket, value) triple per column that has open
+    ranges, choosing among that column's ranges only (at most the number of wanted
+    ranks); the triples are counted per (range, bucket).
     """
+    by_col: dict[str, list[tuple[int, float, float]]] = {}
+    for i, (c, lo, hi) in enumerate(ranges):
+        by_col.setdefault(c, []).append((i, lo, hi))
     keep = None
     parts = []
-    for i, (c, lo, hi) in enumerate(ranges):
+    for c, rs in by_col.items():
         v = F.col(keys[c])
-        inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
-        # Per-column range filter first: it can reach the Parquet reader as row-group pruning.
-        keep = inside if keep is None else keep | inside
-        parts.append(F.struct(F.lit(i).alias("rid"), F.when(inside, _bucket(v, lo, hi, buckets)).cast("int").alias("b"),
-                              v.alias("v")))
+        rid = b = None
+        for i, lo, hi in rs:
+            inside = (v >= F.lit(lo)) & (v <= F.lit(hi))
+            # Per-column range filter first: it can reach the Parquet reader as row-group pruning.
+            keep = inside if keep is None else keep | inside
+            rid = F.when(inside, F.lit(i)) if rid is None else rid.when(inside, F.lit(i))
+            bi = _bucket(v, lo, hi, buckets)
+            b = F.when(inside, bi) if b is None else b.when(inside, bi)
+        parts.append(F.struct(rid.alias("rid"), b.cast("int").alias("b"), v.alias("v")))
     return (
         base.where(keep)
         .select(F.inline(F.array(*parts)))
-        .where(F.col("b").isNotNull())
+        .where(F.col("rid").isNotNull())
         .groupBy("rid", "b")
         .agg(F.count(F.lit(1)).alias("cnt"), F.min("v").alias("vmin"), F.max("v").alias("vmax"))
     )

@@ -31,3 +31,17 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "a double, b string")
     rows = {r["name"]: r for r in P.profile(df).collect()}
     assert rows["a"]["null_pct"] == 0.0 and rows["a"]["mean"] is None
+
+
+def test_wide_table_medians(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    data = rng.integers(-1000, 1000, size=(301, 60)).astype(float)
+    data[::7, 3] = np.nan  # NaN values in one column
+    cols = [f"c{i}" for i in range(60)]
+    df = spark.createDataFrame([tuple(float(x) for x in row) for row in data], ", ".join(f"{c} double" for c in cols))
+    rows = {r["name"]: r for r in P.profile(df).collect()}
+    for i in (0, 17, 59):
+        assert rows[f"c{i}"]["median"] == round(float(np.median(data[:, i])), 4)
+    assert rows["c3"]["max"] == float(np.nanmax(data[:, 3]))
