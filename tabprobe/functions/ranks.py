@@ -55,9 +55,12 @@ def average_ranks(df: DataFrame, cols: list[str], partitions: int | None = None)
     parts = [F.struct(F.lit(c).alias("column_name"), col(c).cast("double").alias("value")) for c in cols]
     vc = (spread(df).select(F.inline(F.array(*parts))).where(F.col("value").isNotNull())
           .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt")))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Without an explicit count AQE may coalesce the range partitions; coalesced
+    # partitions are contiguous ranges, so partition numbers still follow value order.
+    ranged = (vc.repartitionByRange(partitions, "column_name", "value") if partitions
+              else vc.repartitionByRange("column_name", "value"))
     blocks = materialize(
-        vc.repartitionByRange(n, "column_name", "value").sortWithinPartitions("column_name", "value")
+        ranged.sortWithinPartitions("column_name", "value")
         .mapInPandas(_local_running_counts, BLOCK_SCHEMA),
         "rank_blocks")
     per_block = blocks.groupBy("column_name", "pid").agg(F.sum("cnt").alias("block_total"),
