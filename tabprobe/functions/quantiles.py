@@ -8,8 +8,9 @@ each pass is an ordinary distributed aggregate instead:
    counts per column (the profile's wide aggregate already computes them);
 2. each pass cuts every open range [lo, hi] into ``buckets`` equal-width buckets,
    counts rows per bucket (partial aggregation: at most ``buckets`` rows per range
-   leave a map task), takes running counts over the buckets of one range (a window
-   over at most ``buckets`` rows), and keeps the bucket holding the wanted rank;
+   leave a map task), takes running counts over the buckets of one range (on the
+   driver while ranges x buckets is small, else a window over at most ``buckets``
+   rows per range), and keeps the bucket holding the wanted rank;
 3. a range whose min equals its max is solved.
 
 Bucketing is monotone in the value and the lowest and highest value of a range land
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from tabprobe.functions.exprs import col
 
 BUCKETS = 1 << 11
+# Largest bucket-count table (open ranges x buckets) picked on the driver.
+DRIVER_BUCKET_ROWS = 1 << 18
 INF = float("inf")
 
 
@@ -66,8 +69,46 @@ def _initial(ranks: dict[str, list[int]], stats: dict[str, dict], out: dict) ->
     return pending
 
 
-def _refine(spark, pending: list[list], out: dict, level) -> None:
-    """Narrow every open range until it holds one distinct value."""
+def _pick_local(counted: DataFrame, open_: list[list], rid: dict) -> list[dict]:
+    """The bucket holding each wanted rank, from bucket counts collected to the driver."""
+    by_rid: dict[int, list] = {}
+    for row in counted.collect():
+        by_rid.setdefault(row["rid"], []).append(row)
+    picked = []
+    for tid, p in enumerate(open_):
+        before = 0
+        for row in sorted(by_rid.get(rid[(p[0], p[2], p[3])], []), key=lambda r: r["b"]):
+            if before <= p[4] < before + row["cnt"]:
+                picked.append({"tid": tid, "vmin": row["vmin"], "vmax": row["vmax"], "before": before})
+                break
+            before += row["cnt"]
+    return picked
+
+
+def _pick_distributed(spark, counted: DataFrame, open_: list[list], rid: dict) -> list:
+    """The same with running counts taken by a window over each range's buckets."""
+    w = Window.partitionBy("rid").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    levels = counted.withColumn("before", F.sum("cnt").over(w) - F.col("cnt"))
+    targets = spark.createDataFrame(
+        [(rid[(p[0], p[2], p[3])], i, p[4]) for i, p in enumerate(open_)],
+        "rid int, tid int, r long",
+    )
+    return (
+        levels.join(F.broadcast(targets), "rid")
+        .where((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("cnt")))
+        .select("tid", "vmin", "vmax", "before")
+        .collect()
+    )
+
+
+def _refine(spark, pending: list[list], out: dict, level, buckets: int) -> None:
+    """Narrow every open range until it holds one distinct value.
+
+    A pass yields at most ``buckets`` rows per open range whatever the table size.
+    When that bound is at most ``DRIVER_BUCKET_ROWS`` the counts are collected and the
+    wanted buckets picked on the driver (no extra shuffle per pass); above it (very
+    wide tables) the running counts are a window over each range's buckets.
+    """
     while pending:
         open_ = []
         for p in pending:
@@ -80,18 +121,10 @@ def _refine(spark, pending: list[list], out: dict, level) -> None:
         ranges = sorted({(p[0], p[2], p[3]) for p in open_})
         rid = {r: i for i, r in enumerate(ranges)}
         counted = level(ranges)
-        w = Window.partitionBy("rid").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        levels = counted.withColumn("before", F.sum("cnt").over(w) - F.col("cnt"))
-        targets = spark.createDataFrame(
-            [(rid[(p[0], p[2], p[3])], i, p[4]) for i, p in enumerate(open_)],
-            "rid int, tid int, r long",
-        )
-        picked = (
-            levels.join(F.broadcast(targets), "rid")
-            .where((F.col("r") >= F.col("before")) & (F.col("r") < F.col("before") + F.col("cnt")))
-            .select("tid", "vmin", "vmax", "before")
-            .collect()
-        )
+        if len(ranges) * buckets <= DRIVER_BUCKET_ROWS:
+            picked = _pick_local(counted, open_, rid)
+        else:
+            picked = _pick_distributed(spark, counted, open_, rid)
         for row in picked:
             p = open_[row["tid"]]
             p[2], p[3], p[4] = row["vmin"], row["vmax"], p[4] - row["before"]
@@ -133,7 +166,7 @@ def order_statistics(
     if stats is None:
         stats = finite_stats(df, cols)
     pending = _initial({c: ranks[c] for c in cols}, stats, out)
-    _refine(df.sparkSession, pending, out, lambda ranges: _bucket_counts(base, keys, ranges, buckets))
+    _refine(df.sparkSession, pending, out, lambda ranges: _bucket_counts(base, keys, ranges, buckets), buckets)
     return out
 
 
@@ -170,7 +203,7 @@ def weighted_order_statistics(
                 .groupBy("rid", "b")
                 .agg(F.sum("w").alias("cnt"), F.min("v").alias("vmin"), F.max("v").alias("vmax")))
 
-    _refine(counts.sparkSession, pending, out, level)
+    _refine(counts.sparkSession, pending, out, level, buckets)
     return out
 
 

@@ -209,7 +209,12 @@ def outliers(
     """
     cols = _numeric_cols(df, cols)
     spark = df.sparkSession
-    m = moments if moments is not None else numeric_moments(df, cols)
+    if moments is not None:
+        m = moments
+    elif method == "iqr":
+        m = numeric_moments(df, cols)
+    else:  # the z-score needs only n, mean and std: no order-statistic passes
+        m = column_stats(df.select(*[col(c) for c in cols])) if cols else {}
     bounds = {}
     for c in cols:
         s = m.get(c)

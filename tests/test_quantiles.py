@@ -32,3 +32,26 @@ def test_matches_sorting(spark, vals):
     for k in ranks:
         a, b = got[k], s[k]
         assert (math.isnan(a) and math.isnan(b)) or a == b, (k, a, b)
+
+
+def test_driver_and_window_pick_agree(spark, monkeypatch):
+    import tabprobe.functions.quantiles as Q
+    from tabprobe.functions.quantiles import weighted_order_statistics
+    from tabprobe.functions.stats import column_stats
+
+    rng = np.random.default_rng(7)
+    a = [float(x) for x in rng.integers(0, 40, size=900)]
+    b = [float(x) for x in rng.exponential(size=900)]
+    df = spark.createDataFrame(list(zip(a, b)), "a double, b double")
+    ranks = {"a": [0, 224, 449, 450, 899], "b": [3, 450, 898]}
+    local = order_statistics(df, ranks, buckets=16)
+    wc = (spark.createDataFrame([("a", v) for v in a] + [("b", v) for v in b], "column_name string, v double")
+          .groupBy("column_name", "v").count().withColumnRenamed("count", "w"))
+    weighted_local = weighted_order_statistics(wc, ranks, column_stats(df), buckets=16)
+    monkeypatch.setattr(Q, "DRIVER_BUCKET_ROWS", 0)  # force the window path
+    windowed = order_statistics(df, ranks, buckets=16)
+    weighted_windowed = weighted_order_statistics(wc, ranks, column_stats(df), buckets=16)
+    for c, vals in (("a", a), ("b", b)):
+        s = sorted(vals)
+        for k in ranks[c]:
+            assert local[c][k] == windowed[c][k] == weighted_local[c][k] == weighted_windowed[c][k] == s[k]
