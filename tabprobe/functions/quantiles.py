@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tabprobe.functions.exprs import col
 
 BUCKETS = 1 << 11
+QUARTILES = (0.25, 0.5, 0.75)
 # Largest bucket-count table (open ranges x buckets) picked on the driver.
 DRIVER_BUCKET_ROWS = 1 << 18
 INF = float("inf")

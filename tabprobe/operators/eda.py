@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprobe.functions.exprs import col, is_numeric, safe_round
-from tabprobe.functions.quantiles import median_ranks, nearest_rank, order_statistics, weighted_order_statistics
+from tabprobe.functions.quantiles import QUARTILES, median_ranks, nearest_rank, order_statistics, weighted_order_statistics
 from tabprobe.functions.ranks import average_ranks
 from tabprobe.functions.stats import agg_row, column_stats
 from tabprobe.functions.values import distinct_counts, top_k, value_counts
@@ -39,12 +39,14 @@ def _numeric_cols(df: DataFrame, cols: list[str] | None) -> list[str]:
 
 
 def numeric_moments(df: DataFrame, cols: list[str] | None = None, stats: dict | None = None,
-                    counts: DataFrame | None = None) -> dict[str, dict]:
+                    counts: DataFrame | None = None, order_stats: dict | None = None) -> dict[str, dict]:
     """Collected per-column statistics plus exact median and nearest-rank quartiles.
 
     ``stats`` may carry ``column_stats(df, skew=True)`` already computed by the
     caller; ``counts`` a value-count table of ``df`` (the profile's
-    ``.value_counts``), from which the order statistics are then refined.
+    ``.value_counts``), from which the order statistics are then refined;
+    ``order_stats`` values already refined at the wanted ranks (the profile's
+    ``.order_stats`` with ``quartiles=True``), which skips the refinement.
     """
     cols = _numeric_cols(df, cols)
     if not cols:
@@ -56,8 +58,10 @@ def numeric_moments(df: DataFrame, cols: list[str] | None = None, stats: dict |
     ranks = {}
     for c in cols:
         n = stats[c]["n"]
-        ranks[c] = sorted({*median_ranks(n), *(nearest_rank(n, q) for q in (0.25, 0.5, 0.75))}) if n else []
-    if counts is not None:
+        ranks[c] = sorted({*median_ranks(n), *(nearest_rank(n, q) for q in QUARTILES)}) if n else []
+    if order_stats is not None and all(set(ranks[c]) <= set(order_stats.get(c, {})) for c in cols):
+        values = order_stats
+    elif counts is not None:
         values = weighted_order_statistics(counts.where(F.col("v").isNotNull()).select("column_name", "v", "w"),
                                            ranks, stats)
     else:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprobe.functions.exprs import col, fixed_width, is_fractional, is_numeric, safe_round, type_name
-from tabprobe.functions.quantiles import median_ranks, order_statistics, weighted_order_statistics
+from tabprobe.functions.quantiles import QUARTILES, median_ranks, nearest_rank, order_statistics, weighted_order_statistics
 from tabprobe.functions.stats import column_stats
 from tabprobe.functions.values import top_k, top_values_array, value_counts
 from tabprobe.session import materialize, spread
@@ -60,7 +60,8 @@ def value_count_table(df: DataFrame) -> DataFrame:
             .select("column_name", "text", "l", F.coalesce(F.col("d"), F.col("l").cast("double")).alias("v"), "w"))
 
 
-def profile(df: DataFrame, top_n: int = 10, exact: bool = True, stats: dict | None = None) -> DataFrame:
+def profile(df: DataFrame, top_n: int = 10, exact: bool = True, stats: dict | None = None,
+            quartiles: bool = False) -> DataFrame:
     """One row per column: name, dtype, null_count, null_pct, unique_count, mean,
     median, std, min, max, top_values, position.
 
@@ -74,7 +75,9 @@ def profile(df: DataFrame, top_n: int = 10, exact: bool = True, stats: dict | No
     ``exact=False`` skips the value-count pass for numeric columns: HyperLogLog
     unique counts and medians refined on the raw columns. ``stats`` takes the
     result of ``column_stats`` when the caller already has it; the collected
-    statistics are kept on the result as ``.stats``.
+    statistics are kept on the result as ``.stats``. ``quartiles=True`` refines the
+    nearest-rank quartile ranks in the same passes as the medians; every refined
+    rank is kept on the result as ``.order_stats`` for ``eda.numeric_moments``.
     """
     spark = df.sparkSession
     fields = df.schema.fields
@@ -83,18 +86,20 @@ def profile(df: DataFrame, top_n: int = 10, exact: bool = True, stats: dict | No
     num = [f.name for f in fields if is_numeric(f.dataType)]
     cat_cols = [f.name for f in fields if not is_numeric(f.dataType)]
     med_ranks = {c: list(median_ranks(stats[c]["n"])) for c in num if stats[c]["n"] > 0}
+    wanted = {c: sorted({*r, *(nearest_rank(stats[c]["n"], q) for q in QUARTILES)}) if quartiles else r
+              for c, r in med_ranks.items()}
 
     if exact:
         vc = materialize(value_count_table(spread(df)), "value_counts")
         distinct = {r["column_name"]: r["n"] for r in
                     vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
         medians = weighted_order_statistics(vc.where(F.col("v").isNotNull()).select("column_name", "v", "w"),
-                                            med_ranks, stats)
+                                            wanted, stats)
         cat_vc = vc.where(F.col("text").isNotNull()).select("column_name", F.col("text").alias("value"),
                                                             F.col("w").alias("count"))
     else:
         distinct = {c: stats[c]["approx_unique"] for c in stats}
-        medians = order_statistics(df, med_ranks, stats=stats)
+        medians = order_statistics(df, wanted, stats=stats)
         cat_vc = value_counts(df, cat_cols)
 
     rows = []
@@ -128,6 +133,7 @@ def profile(df: DataFrame, top_n: int = 10, exact: bool = True, stats: dict | No
     )
     result.stats = stats
     result.value_counts = vc if exact else None
+    result.order_stats = medians
     return result
 
 

@@ -284,8 +284,8 @@ def q_strong_correlations(spark, sf):
 def q_digest(spark, sf):
     li = table(spark, sf, "lineitem")
     stats = column_stats(li, skew=True)  # shared by the profile and the outlier quartiles
-    p = prof.profile(li, stats=stats)
-    outl = eda.outliers(li, moments=eda.numeric_moments(li, stats=stats, counts=p.value_counts))
+    p = prof.profile(li, stats=stats, quartiles=True)  # medians and quartiles in the same passes
+    outl = eda.outliers(li, moments=eda.numeric_moments(li, stats=stats, counts=p.value_counts, order_stats=p.order_stats))
     corr = eda.correlation(li)
     n_rows = next(iter(stats.values()))["n_rows"]
     return dg.digest("lineitem", n_rows, len(li.columns), p, outl, corr)

@@ -60,3 +60,18 @@ def test_categorical(spark):
     uniq, top = E.categorical_summary(df)
     assert {r["column_name"]: r["unique_count"] for r in uniq.collect()} == {"color": 3}
     assert [(r["value"], r["count"]) for r in top.orderBy("rank").collect()] == [("red", 3), ("blue", 2), ("green", 1)]
+
+
+def test_moments_from_profile_order_stats_match(spark):
+    from tabprobe.functions.stats import column_stats
+    from tabprobe.operators.profile import profile
+
+    rows = [(float(i % 17), i * 3, None if i % 5 == 0 else float(i) ** 0.5) for i in range(203)]
+    df = spark.createDataFrame(rows, "a double, b bigint, c double")
+    stats = column_stats(df, skew=True)
+    p = profile(df, stats=stats, quartiles=True)
+    shared = E.numeric_moments(df, stats=stats, counts=p.value_counts, order_stats=p.order_stats)
+    fresh = E.numeric_moments(df)
+    for c in ("a", "b", "c"):
+        for k in ("median", "q25", "q50", "q75", "skew"):
+            assert shared[c][k] == fresh[c][k], (c, k)
