@@ -75,3 +75,13 @@ def test_moments_from_profile_order_stats_match(spark):
     for c in ("a", "b", "c"):
         for k in ("median", "q25", "q50", "q75", "skew"):
             assert shared[c][k] == fresh[c][k], (c, k)
+
+
+def test_zscore_outliers_without_order_statistics(spark):
+    rows = [(float(i), None if i % 9 == 0 else float(i * i % 37), 5.0) for i in range(60)] + [(500.0, 400.0, 5.0)]
+    df = spark.createDataFrame(rows, "a double, b double, flat double")
+    quick = {r["column_name"]: r.asDict() for r in E.outliers(df, method="zscore", threshold=2.0).collect()}
+    full = {r["column_name"]: r.asDict() for r in
+            E.outliers(df, method="zscore", threshold=2.0, moments=E.numeric_moments(df)).collect()}
+    assert quick == full
+    assert quick["a"]["count"] == 1 and quick["flat"]["count"] == 0 and quick["flat"]["lower"] is None
