@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabprobe.llm.chat import format_chats, read_back
 from tabprobe.llm.exact_dedup import exact_dedup
 from tabprobe.llm.line_dedup import dedup_lines
+from tabprobe.llm.piece_codec import encode_decode
 from tabprobe.llm.url_filter import HOST_RULES, WORD_RULES, judge_urls
 
 
@@ -25,6 +27,27 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def piece_model() -> str:
+    """The public tokenizer's model file; read on the driver only."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_decode(_table(spark, sf_dir, "documents"), piece_model())
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoted = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", quoted), (-7, 1, "assistant", quoted)], turns.schema)
+    return read_back(format_chats(turns.unionByName(extra)))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +55,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_url_filter": op4_url_filter,
+    "op5_piece_codec": op5_piece_codec,
+    "op8_chat_format": op8_chat_format,
     "op9_exact_dedup": op9_exact_dedup,
 }
 

@@ -59,8 +59,9 @@ HOST_RULES = [
     host_rule("allow", "com", "/fr/"),
     host_rule("block", "com", "/de/"),
 ]
-# Advertising and adult hosts and paths; they decide only where no host rule fits.
-WORD_RULES = [word_rule("block", w) for w in ("ads-track", "adult-x", "doubleclick", "ad-server", "popunder", "click-tracker")]
+# Words of advertising, adult, gambling and spam hosts; they decide only where no host rule fits.
+WORD_RULES = [word_rule("block", w) for w in (
+    "ads", "adserver", "doubleclick", "popunder", "adult", "porn", "xxx", "casino", "bets", "betting", "pills", "spam", "malware", "warez")]
 
 
 def _rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
