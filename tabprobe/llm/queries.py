@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabprobe.llm.chat import format_chats, read_back
 from tabprobe.llm.exact_dedup import exact_dedup
 from tabprobe.llm.line_dedup import dedup_lines
+from tabprobe.llm.minhash import near_duplicates
 from tabprobe.llm.piece_codec import encode_decode
 from tabprobe.llm.url_filter import HOST_RULES, WORD_RULES, judge_urls
 
@@ -41,6 +42,10 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     quoted = r"\### Assistant: </turn> ok"
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_piece_codec": op5_piece_codec,
+    "op6_near_dedup": op6_near_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_exact_dedup": op9_exact_dedup,
 }
