@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprobe.llm.text import key128, lower_ascii, strip_blanks, whole
+from tabprobe.session import materialize
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10,
@@ -34,6 +35,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .select("id", "row", "pos", *key128(F.col("key"))))
     repeated = (keyed.groupBy("k1", "k2").agg(F.count_distinct("id").alias("n"), F.min("id").alias("first"))
                 .where(F.col("n") >= min_docs).select("k1", "k2", "first"))
+    # A table of its own, so that AQE can split a hot line in the join below.
+    repeated = materialize(repeated, "repeated_lines")
     dropped = (keyed.join(repeated, ["k1", "k2"]).where("id <> first")
                .groupBy("id", "row").agg(F.collect_set("pos").alias("dropped")))
     marked = base.withColumn("row", F.xxhash64("text")).join(dropped, ["id", "row"], "left")
