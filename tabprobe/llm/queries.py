@@ -12,6 +12,8 @@ from tabprobe.llm.exact_dedup import exact_dedup
 from tabprobe.llm.line_dedup import dedup_lines
 from tabprobe.llm.minhash import near_duplicates
 from tabprobe.llm.piece_codec import encode_decode
+from tabprobe.llm.quality import quality_scores
+from tabprobe.llm.toxicity import toxicity_scores
 from tabprobe.llm.url_filter import HOST_RULES, WORD_RULES, judge_urls
 
 
@@ -24,6 +26,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -46,6 +52,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     quoted = r"\### Assistant: </turn> ok"
@@ -59,9 +69,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality": op2_quality,
     "op4_url_filter": op4_url_filter,
     "op5_piece_codec": op5_piece_codec,
     "op6_near_dedup": op6_near_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_chat_format": op8_chat_format,
     "op9_exact_dedup": op9_exact_dedup,
 }
