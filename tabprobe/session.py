@@ -83,3 +83,13 @@ def spread(df):
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
+
+def free_shuffles(df):
+    """Let Spark delete the shuffle files of finished phases, which stay until the driver happens
+    to collect its garbage: call it between phases, with the stored table that ended one."""
+    import gc
+
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
