@@ -14,6 +14,7 @@ from tabprobe.llm.line_dedup import dedup_lines
 from tabprobe.llm.minhash import near_duplicates
 from tabprobe.llm.piece_codec import encode_decode
 from tabprobe.llm.quality import quality_scores
+from tabprobe.llm.suffix_dedup import dedup_passages
 from tabprobe.llm.toxicity import toxicity_scores
 from tabprobe.llm.url_filter import HOST_RULES, WORD_RULES, judge_urls
 
@@ -31,6 +32,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_passages(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["stop"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -75,6 +83,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_piece_codec": op5_piece_codec,
     "op6_near_dedup": op6_near_dedup,

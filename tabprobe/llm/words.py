@@ -20,8 +20,8 @@ CLASSES[BLANK] = 0
 CLASSES[48:58] = CLASSES[65:91] = CLASSES[97:123] = CLASSES[128:] = 1
 WORDS = np.where(BLANK, 0, 1).astype(np.uint8)
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(BASE, -1, 1 << 64)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -30,7 +30,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if size not in _POWERS:
         _POWERS.clear()
         made = []
-        for base in (_BASE, _INVERSE):
+        for base in (BASE, _INVERSE):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
             made.append(np.cumprod(steps))  # wraps mod 2^64
