@@ -5,9 +5,10 @@
 2. Equal sets become one node (its smallest id) by map-side aggregation.
 3. Each bucket (band key) links its nodes to two hubs, never to each other. Links whose signatures
    agree enough are confirmed on full sets, the best per node first; large-star/small-star joins them.
-4. Buckets that still hold several components pair nodes across components only (a crowd of copies
-   is one component by now). Buckets with more than ``CROWD`` components are first split by
-   their nodes' other bands. Those pairs pass the same checks, and components are taken again.
+4. Buckets that still hold several components pair nodes across components only. A crowd of copies
+   is one cluster of agreeing signatures; in it, only nodes pair that share an uncommon shingle or
+   whose common parts suffice. Buckets with more than ``CROWD`` clusters are first split by their
+   nodes' other bands. Those pairs pass the same checks, and components are taken again.
 
 A link of similarity s shares no band with probability (1 - s^ROWS)^BANDS: 1e-5 at 0.8.
 """
@@ -26,7 +27,7 @@ from tabprobe.session import materialize
 BANDS, ROWS = 38, 6
 # Signature agreement may fall this many standard deviations short of the threshold.
 SLACK = 4.5
-CROWD = 64
+CROWD = 8
 SEED = 20_231
 
 
@@ -163,18 +164,89 @@ def _hub_links(rows: DataFrame) -> DataFrame:
     return near.select(F.col("id").alias("u"), F.explode(F.array("low", "any")).alias("v")).where("u <> v").distinct()
 
 
-def _across(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of one bucket in different components whose sizes allow the similarity."""
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of buckets with two components or more, and how many."""
     n_comps = materialize(rows.groupBy("key").agg(F.count_distinct("comp").alias("n_comps")).where("n_comps > 1"), "mixed")
-    mixed = rows.join(n_comps, "key")
-    crowded = (mixed.where(F.col("n_comps") > CROWD).select("key", "id", "comp", "n").join(nodes.select("id", "bands"), "id")
-               .select(F.explode("bands").alias("other"), "key", "id", "comp", "n").where("other <> key")
-               .select(F.xxhash64("key", "other").alias("key"), "id", "comp", "n"))
-    part = mixed.where(F.col("n_comps") <= CROWD).select("key", "id", "comp", "n").unionByName(crowded)
-    a, b = (part.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "n")]) for s in "ab")
-    fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    return (a.join(b, "key").where((F.col("id_a") < F.col("id_b")) & (F.col("comp_a") != F.col("comp_b")) & fits)
-            .select(F.col("id_a").alias("u"), F.col("id_b").alias("v")).distinct())
+    return rows.join(n_comps, "key")
+
+
+def _fits(percent: int, most) :
+    """Whether sizes n_a and n_b allow the similarity when the intersection is ``most`` at the most."""
+    return most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent
+
+
+def _sides(rows: DataFrame, on: list[str], *more: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(rows.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "n", *more)]) for s in "ab")
+
+
+
+
+def _across_clusters(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of one bucket in different clusters (so in different components)."""
+    counts = materialize(rows.groupBy("key").agg(F.count_distinct("cluster").alias("n_clusters")).where("n_clusters > 1"), "cluster_counts")
+    mixed = rows.join(counts, "key")
+    columns = ["key", "id", "comp", "n", "cluster"]
+    crowded = (mixed.where(F.col("n_clusters") > CROWD).select(*columns).join(nodes.select("id", "bands"), "id")
+               .select(F.explode("bands").alias("other"), *columns).where("other <> key")
+               .select(F.xxhash64("key", "other").alias("key"), *columns[1:]))
+    a, b = _sides(mixed.where(F.col("n_clusters") <= CROWD).select(*columns).unionByName(crowded), ["key"], "cluster")
+    return a.join(b, "key").where(F.expr("id_a < id_b and comp_a <> comp_b and cluster_a <> cluster_b") & _fits(percent, F.least("n_a", "n_b"))).select("id_a", "id_b")
+
+
+def _within_clusters(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of one cluster in different components.
+
+    Small clusters pair all. In a large one (a crowd of copies, each edited a little), shingles that
+    most of its nodes have are its common text. Two nodes that share no other shingle have at most
+    the smaller of their common parts in common; that bound, or a shared uncommon shingle, makes a
+    pair. So pairs grow with the edits that copies share, not with the square of the cluster.
+    """
+    members = rows.select("cluster", "id", "comp", "n").distinct()
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.count_distinct("comp").alias("comps")).where("comps > 1")
+    members = materialize(members.join(materialize(sizes, "cluster_sizes"), "cluster"), "cluster_members")
+    a, b = _sides(members.where(F.col("size") <= CROWD), ["cluster"])
+    small = a.join(b, "cluster").where(F.expr("id_a < id_b and comp_a <> comp_b") & _fits(percent, F.least("n_a", "n_b"))).select("id_a", "id_b")
+
+    large = members.where(F.col("size") > CROWD)
+    each = sets.join(large.select("id"), "id", "left_semi").mapInArrow(_explode_set, "h bigint, id bigint")
+    each = materialize(each.join(large.select("id", "cluster", "size"), "id"), "cluster_shingles")
+    counts = materialize(each.groupBy("cluster", "h").agg(F.count("*").alias("c"), F.first("size").alias("size")).where("c > 1"), "shared_shingles")
+    common = counts.where("2 * c > size").select("cluster", "h")
+    part = each.join(common, ["cluster", "h"]).groupBy("id").agg(F.count("*").alias("common"))
+    large = materialize(large.join(part, "id", "left").withColumn("common", F.coalesce("common", F.lit(0)))
+                        .select("cluster", "id", "comp", "n", "common"), "common_parts")
+    a, b = _sides(large.where(F.col("common") * 100 >= F.col("n") * percent), ["cluster"], "common")
+    bound = a.join(b, "cluster").where(F.expr("id_a < id_b and comp_a <> comp_b") & _fits(percent, F.least("common_a", "common_b"))).select("id_a", "id_b")
+    uncommon = counts.where("2 * c <= size").select("cluster", "h")
+    edits = each.select("cluster", "h", "id").join(uncommon, ["cluster", "h"]).join(large.select("id", "comp", "n"), "id")
+    a, b = _sides(materialize(edits, "edits"), ["cluster", "h"])
+    shared = a.join(b, ["cluster", "h"]).where(F.expr("id_a < id_b and comp_a <> comp_b") & _fits(percent, F.least("n_a", "n_b"))).select("id_a", "id_b")
+    return small.unionByName(bound).unionByName(shared)
+
+
+def _across(rows: DataFrame, close: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of one bucket in different components that can still be similar.
+
+    Clusters are the components of hub links whose signatures agree: a crowd of copies is one
+    cluster, though the copies edited most may be components of their own.
+    """
+    clusters = connected_components(close).select(F.col("u").alias("id"), F.col("root").alias("cluster"))
+    rows = _mixed(rows).select("key", "id", "comp", "n").join(clusters, "id", "left")
+    rows = materialize(rows.withColumn("cluster", F.coalesce("cluster", "id")), "open_buckets")
+    pairs = _across_clusters(rows, nodes, percent).unionByName(_within_clusters(rows, sets, percent))
+    return pairs.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")).distinct()
+
+
+def _explode_set(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            sets = part.column("shingles").to_pylist()
+            sizes = [len(x) // 8 for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(sets), np.int64)),
+                                              pa.array(np.repeat(part.column("id").to_numpy(zero_copy_only=False), sizes))], names=["h", "id"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -192,6 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = features.select("id", "n_shingles", "digest")
     classes = (members.where("id is not null and digest is not null").groupBy("digest")
                .agg(F.min("id").alias("class_id"), F.count("*").alias("copies")).where("copies > 1").select("digest", "class_id"))
+    classes = materialize(classes, "classes")  # a table of its own, so that AQE can split a hot digest in the join
     members = materialize(members.join(classes, "digest", "left")
                           .select("id", "n_shingles", F.coalesce("class_id", "id").alias("node"), F.col("digest").isNull().alias("empty")), "members")
     chosen = members.where("node = id and not empty").select("id").distinct()
@@ -216,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = (rows.join(first.select(F.col("u").alias("id"), "root"), "id", "left")
                 .select("key", "id", "n", F.coalesce("root", "id").alias("comp")))
     labelled = materialize(labelled, "labelled")
-    across = materialize(_across(labelled, nodes, percent), "across")
+    across = materialize(_across(labelled, close.select("u", "v"), nodes, sets, percent), "across")
     more = _confirmed(_agreeing(across, nodes, threshold), sets, percent)
     roots = connected_components(links.unionByName(more))
 
