@@ -32,14 +32,30 @@ def _literal(text: str):
         return low == "true"
     if low == "null":
         return None
-    try:
+    if re.fullmatch(r"[+-]?[0-9]+", t):
         return int(t)
-    except ValueError:
-        pass
-    try:
+    if re.fullmatch(r"[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?", t):
         return float(t)
-    except ValueError:
-        return t
+    if re.search(r"\s", t):
+        raise ValueError(f"unquoted text with spaces: {t!r}; quote the literal, or join conditions with AND")
+    return t
+
+
+def split_conditions(text: str) -> list[str]:
+    """The conditions that AND joins outside quotes and parentheses."""
+    parts, start, depth, quote = [], 0, 0, ""
+    for m in re.finditer(r"['\"`()]|\band\b", text, re.IGNORECASE):
+        t = m.group()
+        if quote:
+            quote = "" if t == quote else quote
+        elif t in "'\"`":
+            quote = t
+        elif t in "()":
+            depth += 1 if t == "(" else -1
+        elif depth == 0:
+            parts.append(text[start:m.start()])
+            start = m.end()
+    return [p.strip() for p in [*parts, text[start:]]]
 
 
 def parse_condition(text: str) -> tuple[str, str, object]:

@@ -10,34 +10,17 @@ from tabprobe.functions.exprs import col, is_fractional, is_numeric
 
 INF = float("inf")
 
-# Whole-stage codegen is dropped for an aggregate with more than 100 buffer fields
-# (spark.sql.codegen.maxFields); above this budget the long layout is used.
-WIDE_FIELD_BUDGET = 90
-# Up to this many wide aggregates (one scan each) before switching to the long layout.
-MAX_WIDE_JOBS = 3
-
-
-def _numeric_aggs(v: Column, fractional: bool, skew: bool = False) -> list[tuple[str, Column, int]]:
-    """(name, aggregate, buffer fields) for one numeric value column."""
-    out = [("skewness", F.skewness(v), 4)] if skew else []
-    out += [
-        ("mean", F.avg(v), 2),
-        ("std", F.stddev_samp(v), 3),
-        ("min", F.min(v), 1),
-        ("max", F.max(F.when(F.isnan(v), F.lit(None)).otherwise(v)) if fractional else F.max(v), 1),
-    ]
-    if fractional:
-        out.append(("nonfinite", F.count_if(F.isnan(v) | (F.abs(v) == F.lit(INF))), 1))
-    return out
 
-
-def _fields(df: DataFrame) -> int:
-    n = 1
-    for f in df.schema.fields:
-        n += 1
-        if is_numeric(f.dataType):
-            n += 8 if is_fractional(f.dataType) else 7
-    return n
+def _numeric_aggs(v: Column, skew: bool = False) -> list[tuple[str, Column]]:
+    """(name, aggregate) for a numeric value column."""
+    out = [("skewness", F.skewness(v))] if skew else []
+    return out + [
+        ("mean", F.avg(v)),
+        ("std", F.stddev_samp(v)),
+        ("min", F.min(v)),
+        ("max", F.max(F.when(F.isnan(v), F.lit(None)).otherwise(v))),
+        ("nonfinite", F.count_if(F.isnan(v) | (F.abs(v) == F.lit(INF)))),
+    ]
 
 
 def column_stats(df: DataFrame, exact: bool = True, skew: bool = False) -> dict[str, dict]:
@@ -45,15 +28,11 @@ def column_stats(df: DataFrame, exact: bool = True, skew: bool = False) -> dict[
 
     Keys per column: n_rows, nulls, n (non-null), mean, std, min, max, and for the
     order statistics nan, ninf, pinf, fmin, fmax (finite min/max); plus
-    approx_unique when ``exact`` is False. Narrow tables use one wide aggregate;
-    wide ones unpivot and group by column id so the buffer stays a fixed size.
-    Only one row per column reaches the driver.
+    approx_unique when ``exact`` is False. The columns are unpivoted and grouped by
+    column number with map-side aggregation, so one pass and a buffer of fixed size
+    serve a table of any width. Only one row per column reaches the driver.
     """
-    fields = _fields(df) + (4 * len(df.columns) if skew else 0)
-    if exact and fields <= WIDE_FIELD_BUDGET * MAX_WIDE_JOBS:
-        out = _wide(df, skew)
-    else:
-        out = _long(df, exact, skew)
+    out = _long(df, exact, skew)
     fractional = [f.name for f in df.schema.fields if is_fractional(f.dataType) and out[f.name].get("nonfinite")]
     if fractional:
         _nonfinite_detail(df, fractional, out)
@@ -71,34 +50,6 @@ def _finish(r: dict, dt: T.DataType) -> dict:
     return r
 
 
-def _wide(df: DataFrame, skew: bool = False) -> dict[str, dict]:
-    groups: list[list[Column]] = [[F.count(F.lit(1)).alias("n_rows")]]
-    used = 1
-    for i, f in enumerate(df.schema.fields):
-        c = col(f.name)
-        exprs = [(F.count_if(c.isNull()).alias(f"c{i}__nulls"), 1)]
-        if is_numeric(f.dataType):
-            exprs += [(agg.alias(f"c{i}__{name}"), width)
-                      for name, agg, width in _numeric_aggs(c.cast("double"), is_fractional(f.dataType), skew)]
-        width = sum(w for _, w in exprs)
-        if used + width > WIDE_FIELD_BUDGET:
-            groups.append([])
-            used = 0
-        groups[-1] += [e for e, _ in exprs]
-        used += width
-    row = {}
-    for g in groups:  # each group keeps whole-stage codegen
-        row.update(df.agg(*g).first().asDict())
-    out = {}
-    for i, f in enumerate(df.schema.fields):
-        r = {"n_rows": row["n_rows"]}
-        for k, v in row.items():
-            if k.startswith(f"c{i}__"):
-                r[k[len(f"c{i}__"):]] = v
-        out[f.name] = _finish(r, f.dataType)
-    return out
-
-
 def _long(df: DataFrame, exact: bool, skew: bool = False) -> dict[str, dict]:
     fields = df.schema.fields
     parts = []
@@ -112,7 +63,7 @@ def _long(df: DataFrame, exact: bool, skew: bool = False) -> dict[str, dict]:
     long = df.select(F.inline(F.array(*parts)))
     v = F.col("v")
     aggs = [F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("isnull")).alias("nulls")]
-    aggs += [agg.alias(name) for name, agg, _ in _numeric_aggs(v, True, skew)]
+    aggs += [agg.alias(name) for name, agg in _numeric_aggs(v, skew)]
     if not exact:
         aggs.append(F.approx_count_distinct(F.when(~F.col("isnull"), F.col("h"))).alias("approx_unique"))
     rows = {r["k"]: r.asDict() for r in long.groupBy("k").agg(*aggs).collect()}
@@ -148,23 +99,6 @@ def _nonfinite_detail(df: DataFrame, cols: list[str], out: dict[str, dict]) -> N
             out[c][k] = row[f"c{i}__{k}"]
 
 
-def agg_row(df: DataFrame, exprs: list[Column], per_job: int = 40, widths: list[int] | None = None) -> dict:
-    """Collect the one-row result of many aggregates, split into groups small enough
-    to keep whole-stage codegen (each group is one job over the same input).
-    ``widths`` gives each aggregate's buffer fields; then groups fill up to the
-    field budget instead of ``per_job`` aggregates."""
-    groups: list[list[Column]] = []
-    if widths is None:
-        groups = [exprs[i:i + per_job] for i in range(0, len(exprs), per_job)]
-    else:
-        used = WIDE_FIELD_BUDGET
-        for e, w in zip(exprs, widths):
-            if used + w > WIDE_FIELD_BUDGET:
-                groups.append([])
-                used = 0
-            groups[-1].append(e)
-            used += w
-    out: dict = {}
-    for g in groups:
-        out.update(df.agg(*g).first().asDict())
-    return out
+def agg_row(df: DataFrame, exprs: list[Column]) -> dict:
+    """Collect the one-row result of many aggregates: one job, one scan."""
+    return df.agg(*exprs).first().asDict()

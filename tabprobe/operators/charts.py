@@ -1,20 +1,20 @@
-"""Chart-ready tables (V1-V6) and the capped export sample.
+"""Chart-ready tables (V1-V6) and the export.
 
 Drawing is left to the caller; these are the numbers behind each chart.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabprobe.functions.exprs import col
+from tabprobe.functions.exprs import as_text, col, is_numeric
 
-# Fixed values (as the analysed tool uses them): histogram bins, bars shown, scatter and export caps.
+# Fixed values (as the analysed tool uses them): histogram bins, bars shown, and the sizes at which it
+# samples. Nothing here samples by itself: a caller who wants one states its size.
 HIST_BINS = 30
 BAR_TOP = 15
 SCATTER_CAP = 5000
@@ -36,14 +36,17 @@ class ChartInstruction:
 
 def histogram(df: DataFrame, x: str, bins: int = HIST_BINS) -> DataFrame:
     """V1: (bin, lower, upper, count) for ``bins`` equal-width bins over [min, max]
-    of the non-null values; the last bin is closed. lo = hi widens to +-0.5.
+    of the finite values (a column that is not numeric raises ValueError); the last bin is closed. lo = hi widens to +-0.5.
 
     Pass 1 is a one-row min/max aggregate (two numbers to the driver); pass 2 is a
     group-by on the bin number, joined to the full list of bins so empty bins show 0.
     """
     spark = df.sparkSession
+    if not is_numeric(df.schema[x].dataType):
+        raise ValueError(f"histogram of {x!r}: {df.schema[x].dataType.simpleString()} is not numeric")
     v = col(x).cast("double")
-    lohi = df.where(col(x).isNotNull() & ~F.isnan(v)).agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
+    finite = col(x).isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
+    lohi = df.where(finite).agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
     schema = "bin int, lower double, upper double, count bigint"
     if lohi["lo"] is None:
         return spark.createDataFrame([], schema)
@@ -51,7 +54,7 @@ def histogram(df: DataFrame, x: str, bins: int = HIST_BINS) -> DataFrame:
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
     b = F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)), F.lit(bins - 1)).cast("int")
-    counts = df.where(col(x).isNotNull() & ~F.isnan(v)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = df.where(finite).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     edges = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     width = F.lit(hi - lo) / F.lit(bins)
     return (edges.join(counts, "bin", "left")
@@ -76,50 +79,49 @@ def bar_count(df: DataFrame, x: str, top: int = BAR_TOP) -> DataFrame:
             .orderBy(F.desc("value"), F.asc("label")).limit(top))
 
 
-def random_rows(df: DataFrame, cap: int, seed: int = 42) -> DataFrame:
-    """Up to ``cap`` rows drawn uniformly at random (all rows when there are fewer).
+def sample_rows(df: DataFrame, size: int, keys: list[str] | None = None) -> DataFrame:
+    """The ``size`` rows with the smallest md5 of their ``keys`` (all columns by default) as text, the
+    other columns breaking ties: a sample that depends on the rows alone, not on their order or
+    partitioning. Each task keeps ``size`` rows, so that many per task meet in the merge."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    order = keys or df.columns
+    text = F.concat_ws("|", *[F.coalesce(as_text(col(c), types[c]), F.lit("")) for c in order])
+    return df.orderBy(F.md5(text), *[as_text(col(c), types[c]) for c in df.columns if c not in order]).limit(size)
 
-    A plain ``orderBy(rand).limit(cap)`` makes every task keep ``cap`` rows and one
-    task merge them all. When the table is larger than the cap, a Bernoulli sample
-    with a generous margin cuts the rows first, so the final merge sees about
-    ``cap`` rows; if the sample fell short (probability below 1e-9) the unsampled
-    table is used instead, so the result always has ``cap`` rows.
-    """
-    n = df.count()
-    if n <= cap:
-        return df
-    frac = min(1.0, (cap + 8.0 * math.sqrt(cap) + 64.0) / n)
-    pre = df.sample(withReplacement=False, fraction=frac, seed=seed)
-    if frac < 1.0 and pre.count() < cap:
-        pre = df
-    return pre.orderBy(F.rand(seed)).limit(cap)
-
-
-def scatter(df: DataFrame, x: str, y: str, cap: int = SCATTER_CAP, seed: int = 42) -> DataFrame:
-    """V4: (x, y) non-null pairs, at most ``cap`` chosen at random."""
-    pairs = df.select(col(x).alias("x"), col(y).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return random_rows(pairs, cap, seed)
-
-
-def chart_data(df: DataFrame, instructions: list) -> dict[str, DataFrame]:
-    """V5: {title: table} for each valid instruction. histogram and bar need x in the
-    table, scatter needs x and y; other types are ignored. bar without a usable y
-    counts x."""
-    out: dict[str, DataFrame] = {}
-    for d in instructions:
-        inst = d if isinstance(d, ChartInstruction) else ChartInstruction.from_dict(d)
-        if inst.type == "histogram" and inst.x in df.columns:
-            out[inst.title] = histogram(df, inst.x)
-        elif inst.type == "bar" and inst.x in df.columns:
-            out[inst.title] = bar_mean(df, inst.x, inst.y) if inst.y and inst.y in df.columns else bar_count(df, inst.x)
-        elif inst.type == "scatter" and inst.x in df.columns and inst.y in df.columns:
-            out[inst.title] = scatter(df, inst.x, inst.y)
-    return out
 
+def scatter(df: DataFrame, x: str, y: str, size: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """V4: (x, y) non-null pairs: all, or a sample of ``size`` rows by ``keys`` (``sample_rows``)."""
+    rows = df.where(col(x).isNotNull() & col(y).isNotNull())
+    if size is not None:
+        rows = sample_rows(rows.select(*dict.fromkeys([*(keys or []), x, y])), size, keys)
+    return rows.select(col(x).alias("x"), col(y).alias("y"))
 
-def export_sample(df: DataFrame, cap: int = EXPORT_CAP, seed: int = 42) -> DataFrame:
-    """All rows when there are at most ``cap``, else ``cap`` random rows."""
-    return random_rows(df, cap, seed)
+
+def chart_data(df: DataFrame, instructions: list, scatter_size: int | None = None) -> tuple[dict[str, DataFrame], list[str]]:
+    """V5: {title: table} for each valid instruction, and warnings for the others. histogram and
+    bar need x in the table, scatter needs x and y. bar without a usable y counts x."""
+    out: dict[str, DataFrame] = {}
+    warnings: list[str] = []
+    for i, d in enumerate(instructions):
+        try:
+            inst = d if isinstance(d, ChartInstruction) else ChartInstruction.from_dict(d)
+            if inst.type == "histogram" and inst.x in df.columns:
+                out[inst.title] = histogram(df, inst.x)
+            elif inst.type == "bar" and inst.x in df.columns:
+                numeric = inst.y and inst.y in df.columns and is_numeric(df.schema[inst.y].dataType)
+                out[inst.title] = bar_mean(df, inst.x, inst.y) if numeric else bar_count(df, inst.x)
+            elif inst.type == "scatter" and inst.x in df.columns and inst.y in df.columns:
+                out[inst.title] = scatter(df, inst.x, inst.y, scatter_size)
+            else:
+                warnings.append(f"chart {i}: type {inst.type!r} with x {inst.x!r}, y {inst.y!r} skipped")
+        except (ValueError, TypeError, AttributeError) as e:
+            warnings.append(f"chart {i}: {e}")
+    return out, warnings
+
+
+def export_sample(df: DataFrame, size: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """All rows, or a sample of ``size`` rows by ``keys`` (``sample_rows``)."""
+    return df if size is None else sample_rows(df, size, keys)
 
 
 def render_text(df: DataFrame) -> DataFrame:
@@ -133,7 +135,7 @@ def render_text(df: DataFrame) -> DataFrame:
 
 
 def chart_series(sample: DataFrame, inst: ChartInstruction | dict) -> DataFrame | None:
-    """V6: the raw x (and y) columns of the export sample behind one chart."""
+    """V6: the raw x (and y) columns of the exported rows behind one chart."""
     if isinstance(inst, dict):
         inst = ChartInstruction.from_dict(inst)
     if inst.type not in ("histogram", "bar", "scatter") or not inst.x or inst.x not in sample.columns:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabprobe.functions.exprs import col, is_numeric
+from tabprobe.functions.exprs import as_text, col, is_numeric
 from tabprobe.functions.names import unique_names
 from tabprobe.functions.quantiles import median_ranks, order_statistics
 from tabprobe.functions.stats import agg_row
@@ -82,9 +82,10 @@ def _dedup(df: DataFrame) -> DataFrame:
 
 
 def drop_duplicates(df: DataFrame) -> tuple[DataFrame, Action | None]:
-    """Whole-row distinct (partial aggregation removes repeats before the shuffle)."""
+    """Whole-row distinct (partial aggregation removes repeats before the shuffle), run once: the
+    result is stored in the checkpoint folder."""
     before = df.count()
-    out = _dedup(df)
+    out = materialize(_dedup(df), "deduplicated")
     dropped = before - out.count()
     if dropped == 0:
         return out, None
@@ -103,7 +104,7 @@ def _mode_values(df: DataFrame, cols: list[str], keep: dict[str, Column]) -> dic
     if not cols:
         return {}
     types = {f.name: f.dataType for f in df.schema.fields}
-    parts = [F.struct(F.lit(i).alias("k"), F.when(keep[c], col(c)).cast("string").alias("value"))
+    parts = [F.struct(F.lit(i).alias("k"), F.when(keep[c], as_text(col(c), types[c])).alias("value"))
              for i, c in enumerate(cols)]
     vc = (df.select(F.inline(F.array(*parts))).where(F.col("value").isNotNull())
           .groupBy("k", "value").agg(F.count(F.lit(1)).alias("cnt")))
@@ -213,7 +214,8 @@ def _handle_missing(df: DataFrame, numeric_strategy: str, categorical_strategy:
                 if is_text:
                     value, lit = m, F.lit(m)
                 else:
-                    value, lit = m[0], F.lit(m[0]).cast(m[1])
+                    nested = isinstance(m[1], (T.ArrayType, T.MapType, T.StructType))
+                    value, lit = m[0], F.from_json(F.lit(m[0]), m[1]) if nested else F.lit(m[0]).cast(m[1])
             elif is_text:
                 value, lit = UNKNOWN, F.lit(UNKNOWN)
             else:

@@ -57,9 +57,9 @@ def outlier_line(outl: DataFrame) -> DataFrame:
     return _join(outl, [F.col("position")], text)
 
 
-def strong_correlations(corr: DataFrame, positions: DataFrame, threshold: float = 0.3, top: int = 5,
+def strong_correlations(corr: DataFrame, positions: DataFrame, threshold: float = 0.3, top: int | None = None,
                         order: str = "column") -> DataFrame:
-    """D3: pairs with col_a < col_b (by name) and |r| > threshold, the first ``top``.
+    """D3: every pair with col_a < col_b (by name) and |r| > threshold; the first ``top`` if asked for.
 
     ``order="column"`` keeps matrix order (row column, then column position);
     ``"strength"`` takes the strongest first.
@@ -72,7 +72,8 @@ def strong_correlations(corr: DataFrame, positions: DataFrame, threshold: float
         ordered = pairs.orderBy(F.desc(F.abs(F.col("r"))), "pos_a", "pos_b")
     else:
         ordered = pairs.orderBy("pos_a", "pos_b")
-    return ordered.limit(top).select("col_a", "col_b", "r", "pos_a", "pos_b")
+    ordered = ordered if top is None else ordered.limit(top)
+    return ordered.select("col_a", "col_b", "r", "pos_a", "pos_b")
 
 
 def correlation_line(strong: DataFrame, order: str = "column") -> DataFrame:
@@ -81,9 +82,9 @@ def correlation_line(strong: DataFrame, order: str = "column") -> DataFrame:
     return _join(strong, keys, text)
 
 
-def cleaning_line(actions: DataFrame, top: int = 5) -> DataFrame:
-    """The first ``top`` cleaning actions as action(column)."""
-    first = actions.where(F.col("step") < top)
+def cleaning_line(actions: DataFrame, top: int | None = None) -> DataFrame:
+    """The cleaning actions as action(column); the first ``top`` if asked for."""
+    first = actions if top is None else actions.where(F.col("step") < top)
     text = F.concat(F.col("action"), F.lit("("), F.coalesce(F.col("column"), F.lit("None")), F.lit(")"))
     return _join(first, [F.col("step")], text)
 

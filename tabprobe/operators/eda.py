@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprobe.functions.exprs import col, is_numeric, safe_round
-from tabprobe.functions.quantiles import QUARTILES, median_ranks, nearest_rank, order_statistics, weighted_order_statistics
+from tabprobe.functions.quantiles import QUARTILES, median_ranks, nearest_rank, order_statistics
 from tabprobe.functions.ranks import average_ranks
 from tabprobe.functions.stats import agg_row, column_stats
 from tabprobe.functions.values import distinct_counts, top_k, value_counts
+from tabprobe.session import materialize
 
 SUMMARY_SCHEMA = T.StructType([
     T.StructField("column_name", T.StringType()),
@@ -39,13 +40,11 @@ def _numeric_cols(df: DataFrame, cols: list[str] | None) -> list[str]:
 
 
 def numeric_moments(df: DataFrame, cols: list[str] | None = None, stats: dict | None = None,
-                    counts: DataFrame | None = None, order_stats: dict | None = None) -> dict[str, dict]:
+                    order_stats: dict | None = None) -> dict[str, dict]:
     """Collected per-column statistics plus exact median and nearest-rank quartiles.
 
     ``stats`` may carry ``column_stats(df, skew=True)`` already computed by the
-    caller; ``counts`` a value-count table of ``df`` (the profile's
-    ``.value_counts``), from which the order statistics are then refined;
-    ``order_stats`` values already refined at the wanted ranks (the profile's
+    caller; ``order_stats`` values already refined at the wanted ranks (the profile's
     ``.order_stats`` with ``quartiles=True``), which skips the refinement.
     """
     cols = _numeric_cols(df, cols)
@@ -61,9 +60,6 @@ def numeric_moments(df: DataFrame, cols: list[str] | None = None, stats: dict |
         ranks[c] = sorted({*median_ranks(n), *(nearest_rank(n, q) for q in QUARTILES)}) if n else []
     if order_stats is not None and all(set(ranks[c]) <= set(order_stats.get(c, {})) for c in cols):
         values = order_stats
-    elif counts is not None:
-        values = weighted_order_statistics(counts.where(F.col("v").isNotNull()).select("column_name", "v", "w"),
-                                           ranks, stats)
     else:
         values = order_statistics(sub, ranks, stats=stats)
     for c in cols:
@@ -114,6 +110,37 @@ def categorical_summary(df: DataFrame, top_n: int = 10) -> tuple[DataFrame, Data
     return uniq, top_k(vc, top_n).select("column_name", "rank", "value", "count")
 
 
+def _cross_sums(data: DataFrame, cols: list[str], shift: list[float]) -> list[list[list[float]]]:
+    """Four k x k matrices over the rows where both columns are present, of values less ``shift``:
+    rows, sums of the first column, sums of its squares, sums of products.
+
+    One pass: each task adds up its batches as matrix products and emits the matrices once, and
+    they are summed cell by cell with map-side aggregation. 4 k^2 numbers reach the driver.
+    """
+    k = len(cols)
+    values = data.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros((4, k, k))
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(k)], axis=1)
+                present = np.stack([~np.asarray(batch.column(i).is_null()) for i in range(k)], axis=1)
+                x = np.where(present, x - shift, 0.0)
+                w = present.astype(float)
+                total += np.stack([w.T @ w, x.T @ w, (x * x).T @ w, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array(range(4 * k * k), pa.int32()), pa.array(total.ravel())], names=["cell", "v"])
+
+    sums = values.mapInArrow(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
+    flat = [0.0] * (4 * k * k)
+    for r in sums:
+        flat[r["cell"]] = r["v"]
+    return [[flat[(m * k + i) * k:(m * k + i + 1) * k] for i in range(k)] for m in range(4)]
+
+
 def correlation(
     df: DataFrame,
     cols: list[str] | None = None,
@@ -123,79 +150,59 @@ def correlation(
     """(col_a, col_b, r) for every ordered pair of numeric columns, diagonal
     included, rounded to 4 places; empty with fewer than two numeric columns.
 
-    r = covar_pop / (stddev_pop * stddev_pop); a constant column gives null (``corr``
-    would raise a division error under ANSI mode). ``nulls="propagate"``: a column
-    with any null gives null in its whole row and column, so each column's stddev
-    is shared by all its pairs; ``"pairwise"``: rows where either side is null are
-    skipped, so the stddevs are taken per pair. ``method="spearman"`` correlates
-    average ranks. All aggregates are algebraic (partial aggregation), grouped so
-    each job keeps whole-stage codegen.
+    A constant column gives null. ``nulls="propagate"``: a column
+    with any null gives null in its whole row and column; ``"pairwise"``: rows where either side is null are
+    skipped for that pair. ``method="spearman"`` correlates average ranks; ranks of a pair's complete rows
+    differ from pair to pair, so spearman with pairwise nulls is refused. One statistics pass and one pass
+    for the cross sums, whatever the number of columns.
     """
     cols = _numeric_cols(df, cols)
     spark = df.sparkSession
     schema = "col_a string, col_b string, r double"
+    if method == "spearman" and nulls == "pairwise":
+        raise ValueError("spearman ranks whole columns; pairwise nulls are not supported with it")
     if len(cols) < 2:
         return spark.createDataFrame([], schema)
     data = df.select(*[col(c) for c in cols])
-    if method == "spearman":
-        data = _with_ranks(data, cols)
-    x = {i: col(c).cast("double") for i, c in enumerate(cols)}
-    exprs = [F.count(F.lit(1)).alias("rows")] + [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(cols)]
-    widths = [1] * len(exprs)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    if nulls == "pairwise":
-        for i, j in pairs:
-            a, b = F.when(x[j].isNotNull(), x[i]), F.when(x[i].isNotNull(), x[j])
-            exprs += [F.covar_pop(a, b).alias(f"c{i}_{j}"), F.stddev_pop(a).alias(f"s{i}_{j}"),
-                      F.stddev_pop(b).alias(f"s{j}_{i}")]
-            widths += [4, 3, 3]
-        for i in range(len(cols)):
-            exprs.append(F.stddev_pop(x[i]).alias(f"s{i}"))
-            widths.append(3)
-    else:
-        for i in range(len(cols)):
-            exprs.append(F.stddev_pop(x[i]).alias(f"s{i}"))
-            widths.append(3)
-        for i, j in pairs:
-            exprs.append(F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}"))
-            widths.append(4)
-    row = agg_row(data, exprs, widths=widths)
-    rows = []
-    for i in range(len(cols)):
-        full = row[f"n{i}"] == row["rows"]
-        sd = row[f"s{i}"]
-        ok = sd is not None and sd > 0 and (full or nulls == "pairwise")
-        rows.append((cols[i], cols[i], 1.0 if ok else None))
-    for i, j in pairs:
-        if nulls == "pairwise":
-            sa, sb = row[f"s{i}_{j}"], row[f"s{j}_{i}"]
+    stats = column_stats(data)
+    usable = [c for c in cols if stats[c]["n"] > 0 and stats[c]["min"] != stats[c]["max"]
+              and (nulls == "pairwise" or stats[c]["nulls"] == 0)]
+    rs: dict[tuple[str, str], float | None] = {}
+    if usable:
+        if method == "spearman":
+            data = _with_ranks(data, usable)
+            shift = [(stats[c]["n"] + 1) / 2.0 for c in usable]
         else:
-            sa, sb = row[f"s{i}"], row[f"s{j}"]
-        cov = row[f"c{i}_{j}"]
-        r = cov / (sa * sb) if cov is not None and sa and sb else None
-        if nulls == "propagate" and (row[f"n{i}"] < row["rows"] or row[f"n{j}"] < row["rows"]):
-            r = None
-        rows += [(cols[i], cols[j], r), (cols[j], cols[i], r)]
+            shift = [m if m is not None and abs(m) < float("inf") else 0.0 for m in (stats[c]["mean"] for c in usable)]
+        n, s, ss, xy = _cross_sums(data, usable, shift)
+        for i, a in enumerate(usable):
+            rs[a, a] = 1.0
+            for j in range(i + 1, len(usable)):
+                m = n[i][j]
+                va, vb = (ss[p][q] / m - (s[p][q] / m) ** 2 if m else 0.0 for p, q in ((i, j), (j, i)))
+                cov = xy[i][j] / m - s[i][j] / m * s[j][i] / m if m else 0.0
+                # A column may be constant on the rows of a pair: no more than rounding is left.
+                flat = any(not v > 1e-13 * (ss[p][q] / m if m else 0.0) for v, p, q in ((va, i, j), (vb, j, i)))
+                rs[a, usable[j]] = rs[usable[j], a] = None if flat else max(-1.0, min(1.0, cov / (va * vb) ** 0.5))
+    rows = [(a, b, rs.get((a, b))) for a in cols for b in cols]
     return spark.createDataFrame(rows, schema).select("col_a", "col_b", safe_round(F.col("r")).alias("r"))
 
 
-def _with_ranks(data: DataFrame, cols: list[str], broadcast_rows: int = 500_000) -> DataFrame:
-    """Replace each column by the average rank of its value (null stays null).
+def _with_ranks(data: DataFrame, cols: list[str]) -> DataFrame:
+    """Each column's values replaced by their average ranks (columns without nulls).
 
-    The rank table of a column is broadcast when its distinct-value count (known
-    exactly) is at most ``broadcast_rows``; otherwise it is a shuffle join, which
-    AQE splits if a value is hot.
+    The rows get a number and are stored once; one long table (column, value, row) meets the rank
+    table in one join, whose hot values AQE splits, and one regrouping by row puts the ranks side by
+    side: two narrow shuffles for any number of columns.
     """
     ranks = average_ranks(data, cols)
-    sizes = ranks.sizes
-    out = data
-    for i, c in enumerate(cols):
-        r = ranks.where(F.col("column_name") == F.lit(c)).select(
-            F.col("value").alias(f"__v{i}"), F.col("avg_rank").alias(f"__r{i}"))
-        if sizes.get(c, 0) <= broadcast_rows:
-            r = F.broadcast(r)
-        out = out.join(r, col(c).cast("double") == F.col(f"__v{i}"), "left")
-    return out.select(*[F.col(f"__r{i}").alias(c) for i, c in enumerate(cols)])
+    numbered = materialize(data.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+                           .withColumn("row", F.monotonically_increasing_id()), "numbered")
+    cells = numbered.select("row", F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"v{i}").alias("value"))
+                                                      for i, c in enumerate(cols)])))
+    met = cells.join(ranks.select("column_name", "value", "avg_rank"), ["column_name", "value"])
+    side = met.groupBy("row").agg(*[F.max(F.when(F.col("column_name") == c, F.col("avg_rank"))).alias(c) for c in cols])
+    return side.select(*[col(c) for c in cols])
 
 
 def outliers(

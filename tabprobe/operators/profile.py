@@ -1,9 +1,10 @@
 """Column profiling.
 
-Cost on an n-row, m-column table: one wide aggregate (all columns in one pass, partial
-aggregation, one row out), one value-count shuffle over the unpivoted values
-(map-side combined), two or three small range passes for exact medians. Only the
-one-row statistics reach the driver; unique counts and top values stay lazy.
+Cost on an n-row, m-column table: one statistics pass, one distinct count over the unpivoted
+values as fixed-width keys (map-side combined; nothing is written), a few passes over the raw
+numeric columns for exact medians, and one value count of the other columns when the top
+values are read. Each small answer runs only the parts it shows. Only one row per column
+reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,11 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabprobe.functions.exprs import col, fixed_width, is_fractional, is_numeric, safe_round, type_name
-from tabprobe.functions.quantiles import QUARTILES, median_ranks, nearest_rank, order_statistics, weighted_order_statistics
+from tabprobe.functions.exprs import as_text, col, fixed_width, is_fractional, is_numeric, safe_round, type_name
+from tabprobe.functions.quantiles import QUARTILES, median_ranks, nearest_rank, order_statistics
 from tabprobe.functions.stats import column_stats
 from tabprobe.functions.values import top_k, top_values_array, value_counts
-from tabprobe.session import materialize, spread
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("position", T.IntegerType()),
@@ -33,35 +33,39 @@ PROFILE_SCHEMA = T.StructType([
 ])
 
 
-def value_count_table(df: DataFrame) -> DataFrame:
-    """(column_name, text, l, v, w): every distinct non-null value of every column
-    with its count. Integers are keyed as long, floats as double (typed keys hash
-    far faster than text), everything else as text (nested values as JSON).
+def distinct_keys(df: DataFrame) -> DataFrame:
+    """(position, k1, k2, d): the distinct non-null values of every column as fixed-width keys.
 
-    One pass over the table: the columns are unpivoted and grouped with map-side
-    partial aggregation, so a repeated value leaves each task once.
+    Integers and instants are their own 64 bits, floats a double; text, decimals and nested values
+    (as JSON) are two 64-bit hashes. One pass with map-side aggregation, so a repeated value
+    leaves each task once and no row carries a whole cell.
     """
     parts = []
-    for f in df.schema.fields:
-        c = col(f.name)
-        text, lng, dbl = F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(None).cast("double")
-        if is_fractional(f.dataType) or isinstance(f.dataType, T.DecimalType):
-            dbl = c.cast("double")
-        elif is_numeric(f.dataType):
-            lng = c.cast("long")
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            text = F.to_json(c)
+    for i, f in enumerate(df.schema.fields):
+        c, k1, k2, d = col(f.name), F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.lit(None).cast("double")
+        if is_fractional(f.dataType):
+            d = c.cast("double")
+        elif is_numeric(f.dataType) and not isinstance(f.dataType, T.DecimalType):
+            k1 = c.cast("bigint")
+        elif isinstance(f.dataType, T.TimestampType):
+            k1 = F.unix_micros(c)
         else:
-            text = c.cast("string")
-        parts.append(F.struct(F.lit(f.name).alias("column_name"), text.alias("text"), lng.alias("l"), dbl.alias("d")))
-    long = df.select(F.inline(F.array(*parts))).where(
-        F.col("text").isNotNull() | F.col("l").isNotNull() | F.col("d").isNotNull())
-    return (long.groupBy("column_name", "text", "l", "d").agg(F.count(F.lit(1)).alias("w"))
-            .select("column_name", "text", "l", F.coalesce(F.col("d"), F.col("l").cast("double")).alias("v"), "w"))
+            key = c if isinstance(f.dataType, T.BinaryType) else as_text(c, f.dataType)
+            k1, k2 = F.xxhash64(key), F.xxhash64(F.lit(7), key)
+        parts.append(F.struct(F.when(c.isNotNull(), F.lit(i)).alias("position"), k1.alias("k1"), k2.alias("k2"), d.alias("d")))
+    return df.select(F.inline(F.array(*parts))).where("position is not null").select("position", "k1", "k2", "d").distinct()
+
+
+def distinct_counts(df: DataFrame) -> dict[str, int]:
+    """Distinct non-null values of every column."""
+    if not df.columns:
+        return {}
+    found = distinct_keys(df).groupBy("position").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {df.columns[r["position"]]: r["n"] for r in found}
 
 
 def profile(df: DataFrame, top_n: int = 10, exact: bool = True, stats: dict | None = None,
-            quartiles: bool = False) -> DataFrame:
+            quartiles: bool = False, medians: bool = True, tops: bool = True) -> DataFrame:
     """One row per column: name, dtype, null_count, null_pct, unique_count, mean,
     median, std, min, max, top_values, position.
 
@@ -69,12 +73,9 @@ def profile(df: DataFrame, top_n: int = 10, exact: bool = True, stats: dict | No
     their ``top_n`` most frequent non-null values as text. ``unique_count`` counts
     null as one value.
 
-    Two passes over the input: the column statistics (one aggregate) and the value
-    counts, which are checkpointed; unique counts, exact medians (range refinement
-    weighted by the counts) and top values then read that much smaller table.
-    ``exact=False`` skips the value-count pass for numeric columns: HyperLogLog
-    unique counts and medians refined on the raw columns. ``stats`` takes the
-    result of ``column_stats`` when the caller already has it; the collected
+    ``exact=False`` counts distinct values with HyperLogLog in the statistics pass.
+    ``medians=False`` and ``tops=False`` leave those columns null and skip their passes.
+    ``stats`` takes the result of ``column_stats`` when the caller already has it; the collected
     statistics are kept on the result as ``.stats``. ``quartiles=True`` refines the
     nearest-rank quartile ranks in the same passes as the medians; every refined
     rank is kept on the result as ``.order_stats`` for ``eda.numeric_moments``.
@@ -87,20 +88,9 @@ def profile(df: DataFrame, top_n: int = 10, exact: bool = True, stats: dict | No
     cat_cols = [f.name for f in fields if not is_numeric(f.dataType)]
     med_ranks = {c: list(median_ranks(stats[c]["n"])) for c in num if stats[c]["n"] > 0}
     wanted = {c: sorted({*r, *(nearest_rank(stats[c]["n"], q) for q in QUARTILES)}) if quartiles else r
-              for c, r in med_ranks.items()}
-
-    if exact:
-        vc = materialize(value_count_table(spread(df)), "value_counts")
-        distinct = {r["column_name"]: r["n"] for r in
-                    vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
-        medians = weighted_order_statistics(vc.where(F.col("v").isNotNull()).select("column_name", "v", "w"),
-                                            wanted, stats)
-        cat_vc = vc.where(F.col("text").isNotNull()).select("column_name", F.col("text").alias("value"),
-                                                            F.col("w").alias("count"))
-    else:
-        distinct = {c: stats[c]["approx_unique"] for c in stats}
-        medians = order_statistics(df, wanted, stats=stats)
-        cat_vc = value_counts(df, cat_cols)
+              for c, r in med_ranks.items()} if medians else {}
+    found = order_statistics(df, wanted, stats=stats)
+    distinct = distinct_counts(df) if exact else {c: stats[c]["approx_unique"] for c in stats}
 
     rows = []
     for i, f in enumerate(fields):
@@ -109,13 +99,18 @@ def profile(df: DataFrame, top_n: int = 10, exact: bool = True, stats: dict | No
                int(distinct.get(f.name, 0) or 0) + (1 if s["nulls"] > 0 else 0)]
         if f.name in med_ranks:
             lo, hi = med_ranks[f.name]
-            med = (medians[f.name][lo] + medians[f.name][hi]) / 2.0
+            med = (found[f.name][lo] + found[f.name][hi]) / 2.0 if medians else None
             row[5:10] = [s["mean"], med, s["std"], s["min"], s["max"]]
         rows.append(row)
     base = spark.createDataFrame(rows, PROFILE_SCHEMA)
-    tops = top_values_array(top_k(cat_vc, top_n))
     top_type = "array<struct<value:string,count:bigint>>"
-    out = base.alias("b").join(F.broadcast(tops.alias("t")), F.col("b.name") == F.col("t.column_name"), "left")
+    if tops and cat_cols:
+        listed = top_values_array(top_k(value_counts(df, cat_cols), top_n))
+        out = base.alias("b").join(listed.alias("t"), F.col("b.name") == F.col("t.column_name"), "left")
+    else:
+        out = base.withColumn("top_values", F.lit(None).cast(top_type)).alias("b")
+    listed = F.when(F.col("b.name").isin(cat_cols), F.coalesce(F.col("top_values"), F.array().cast(top_type))) if tops \
+        else F.col("top_values")
     result = out.select(
         F.col("b.name").alias("name"),
         F.col("b.dtype").alias("dtype"),
@@ -127,13 +122,11 @@ def profile(df: DataFrame, top_n: int = 10, exact: bool = True, stats: dict | No
         safe_round(F.col("b.std")).alias("std"),
         safe_round(F.col("b.min")).alias("min"),
         safe_round(F.col("b.max")).alias("max"),
-        F.when(F.col("b.name").isin(cat_cols), F.coalesce(F.col("t.top_values"), F.array().cast(top_type)))
-        .alias("top_values"),
+        listed.alias("top_values"),
         F.col("b.position").alias("position"),
     )
     result.stats = stats
-    result.value_counts = vc if exact else None
-    result.order_stats = medians
+    result.order_stats = found
     return result
 
 
@@ -155,17 +148,20 @@ def memory_estimate(df: DataFrame) -> DataFrame:
     return df.agg(total.cast("long").alias("estimated_bytes"))
 
 
-def column_split(prof: DataFrame) -> DataFrame:
-    """How many numeric and how many other columns, from the profile table."""
-    num = F.col("dtype").isin("tinyint", "smallint", "int", "bigint", "float", "double") | F.col("dtype").startswith("decimal")
-    return prof.agg(F.count_if(num).alias("n_numeric"), F.count_if(~num).alias("n_categorical"))
+def column_split(df: DataFrame) -> DataFrame:
+    """How many numeric and how many other columns; the schema alone tells."""
+    n = sum(is_numeric(f.dataType) for f in df.schema.fields)
+    return df.sparkSession.createDataFrame([(n, len(df.columns) - n)], "n_numeric bigint, n_categorical bigint")
 
 
-def quick_profile(prof: DataFrame) -> DataFrame:
-    """The printed table of the quick profile command."""
-    return prof.select("name", "dtype", "null_count", "unique_count", "mean", "min", "max")
+def quick_profile(df: DataFrame) -> DataFrame:
+    """The printed table of the quick profile command: statistics and unique counts only."""
+    return profile(df, medians=False, tops=False).select("name", "dtype", "null_count", "unique_count", "mean", "min", "max")
 
 
-def cardinality(prof: DataFrame) -> DataFrame:
-    """Unique count per field, the data behind the cardinality bar chart."""
-    return prof.select("name", "unique_count")
+def cardinality(df: DataFrame) -> DataFrame:
+    """Unique count per field (null counts as one), the data behind the cardinality bar chart."""
+    distinct = distinct_counts(df)
+    nulls = df.agg(*[F.coalesce(F.max(col(c).isNull().cast("int")), F.lit(0)).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
+    return df.sparkSession.createDataFrame([(c, distinct.get(c, 0) + nulls[i]) for i, c in enumerate(df.columns)],
+                                           "name string, unique_count bigint")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.functions.conditions import condition_column
+from tabprobe.functions.conditions import condition_column, split_conditions
 from tabprobe.functions.exprs import col
 
 AGG_OPS = ("mean", "sum", "count", "min", "max")
@@ -32,7 +32,8 @@ def filter_rows(df: DataFrame, conditions: list) -> DataFrame:
     into the Parquet scan."""
     out = df
     for cond in conditions:
-        out = out.where(condition_column(cond, df.columns))
+        for part in split_conditions(cond) if isinstance(cond, str) else [cond]:
+            out = out.where(condition_column(part, df.columns))
     return out
 
 
@@ -89,10 +90,14 @@ def run_instruction(df: DataFrame, inst: QueryInstruction | dict) -> tuple[DataF
 
 def run_batch(df: DataFrame, instructions: list) -> tuple[list[DataFrame | None], list[str]]:
     """Q8: each instruction on the same input, independently (lazy plans sharing
-    one scan definition; the caller may persist ``df`` when several run)."""
+    one scan definition; the caller may persist ``df`` when several run). An instruction
+    that cannot be read gives None and a warning; the others still run."""
     results, warnings = [], []
     for i, inst in enumerate(instructions):
-        out, w = run_instruction(df, inst)
+        try:
+            out, w = run_instruction(df, inst)
+        except (ValueError, TypeError, AttributeError) as e:
+            out, w = None, [str(e)]
         results.append(out)
         warnings += [f"instruction {i}: {x}" for x in w]
     return results, warnings

@@ -15,7 +15,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from tabprobe.operators import charts, clean as cleaning, digest as dg, eda, profile as prof, query
-from tabprobe.session import materialize
 from tabprobe.sources import fingerprint, readers, store
 
 # The analysed tool's default options.
@@ -52,7 +51,6 @@ def analyze(df: DataFrame, name: str = "table", query_instructions: list | None
         return out
     cleaned, actions = cleaning.clean(df, opts["drop_duplicates"], opts["normalize_columns"],
                                       opts["numeric_fill_strategy"], opts["categorical_fill_strategy"], n_rows=n_rows)
-    cleaned = materialize(cleaned, "cleaned")
     if dg.is_empty(cleaned):  # the gate tests the cleaned table
         out.tables.update(profile=profile, actions=actions)
         out.stopped = "no rows after cleaning"
@@ -70,22 +68,43 @@ def analyze(df: DataFrame, name: str = "table", query_instructions: list | None
     if query_instructions:
         out.query_results, out.warnings = query.run_batch(cleaned, query_instructions)
     if chart_instructions:
-        out.charts = charts.chart_data(cleaned, chart_instructions)
+        out.charts, warnings = charts.chart_data(cleaned, chart_instructions)
+        out.warnings = out.warnings + warnings
     return out
 
 
-def analyze_path(spark: SparkSession, path: str, cache_root: str | None = None, stage: str = "eda", **options) -> Analysis:
+def analyze_path(spark: SparkSession, path: str, cache_root: str | None = None, stage: str = "eda", by_content: bool = False,
+                 reader_options: dict | None = None, **options) -> Analysis:
     """R1 from a file or directory, with R2: when ``cache_root`` holds a complete
-    entry for this input (fingerprint), stage and options, it is read back instead."""
-    df = readers.load(spark, path)
+    entry for this input, stage and options (instructions and reader options too), all its parts are
+    read back instead. The input is known by its listing (path, length, modification time), or with
+    ``by_content`` by a fingerprint of its rows."""
+    df = readers.load(spark, path, **(reader_options or {}))
+    name = path.rstrip("/").rsplit("/", 1)[-1]
     if cache_root is None:
-        return analyze(df, name=path.rstrip("/").rsplit("/", 1)[-1], **options)
-    fp = fingerprint.table_fingerprint(df).first()["fingerprint"]
-    key = store.cache_key(fp, stage, {**DEFAULTS, **options})
+        return analyze(df, name=name, **options)
+    fp = fingerprint.table_fingerprint(df).first()["fingerprint"] if by_content else fingerprint.file_fingerprint(spark, path)
+    key = store.cache_key(fp, stage, {**DEFAULTS, **options, "reader_options": reader_options or {}})
     cached = store.load(spark, cache_root, key)
     if cached is not None:
-        return Analysis(tables=cached)
-    result = analyze(df, name=path.rstrip("/").rsplit("/", 1)[-1], **options)
+        return _unpack(*cached)
+    result = analyze(df, name=name, **options)
     if result.stopped is None:
-        store.save(cache_root, key, result.tables)
+        store.save(cache_root, key, *_pack(result))
     return result
+
+
+def _pack(result: Analysis) -> tuple[dict[str, DataFrame], dict]:
+    tables = {f"table:{n}": t for n, t in result.tables.items()}
+    tables |= {f"query:{i}": q for i, q in enumerate(result.query_results) if q is not None}
+    tables |= {f"chart:{n}": c for n, c in result.charts.items()}
+    return tables, {"queries": len(result.query_results), "warnings": result.warnings}
+
+
+def _unpack(tables: dict[str, DataFrame], notes: dict) -> Analysis:
+    def part(kind):
+        return {n.split(":", 1)[1]: t for n, t in tables.items() if n.startswith(f"{kind}:")}
+
+    queries = part("query")
+    return Analysis(tables=part("table"), query_results=[queries.get(str(i)) for i in range(notes["queries"])],
+                    charts=part("chart"), warnings=notes["warnings"])

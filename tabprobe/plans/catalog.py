@@ -1,8 +1,7 @@
 """The driver's query catalogue: every operator as a query over the given tables.
 
 ``QUERIES[name](spark, sf_dir)`` returns a DataFrame; ``ORACLE[name]`` is DuckDB SQL
-over the same tables that must give the same rows. Queries whose result is a random
-sample have no oracle (row count only).
+over the same tables that must give the same rows.
 """
 
 from __future__ import annotations
@@ -31,17 +30,13 @@ def doc_labels(spark, sf):
 
 def masked_lineitem(spark, sf):
     li = table(spark, sf, "lineitem")
-    return li.select("l_orderkey", "l_linenumber",
-                     F.when(F.col("l_orderkey") % 7 == 0, F.lit(None)).otherwise(F.col("l_discount")).alias("l_discount"),
-                     "l_quantity")
+    return li.withColumn("l_discount", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_discount")))
 
 
 def masked_orders(spark, sf):
     o = table(spark, sf, "orders")
-    return o.select("o_orderkey",
-                    F.when(F.col("o_orderkey") % 7 == 0, F.lit(None)).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
-                    F.when(F.col("o_orderkey") % 5 == 0, F.lit(None)).otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
-                    "o_totalprice")
+    return o.withColumns({"o_orderpriority": F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")),
+                          "o_orderstatus": F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus"))})
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -77,15 +72,15 @@ def q_profile_memory(spark, sf):
 
 def q_profile_quick(spark, sf):
     df = readers.load(spark, f"{sf.rstrip('/')}/part.parquet")
-    return prof.quick_profile(prof.profile(df))
+    return prof.quick_profile(df)
 
 
 def q_cardinality(spark, sf):
-    return prof.cardinality(prof.profile(table(spark, sf, "part")))
+    return prof.cardinality(table(spark, sf, "part"))
 
 
 def q_column_split(spark, sf):
-    return prof.column_split(prof.profile(table(spark, sf, "lineitem")))
+    return prof.column_split(table(spark, sf, "lineitem"))
 
 
 # ----------------------------------------------------------------------------- cleaning
@@ -101,8 +96,9 @@ def q_clean_names(spark, sf):
 
 
 def q_clean_dedup(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
-    out, _ = cleaning.drop_duplicates(li)
+    # Whole rows, every one of them twice.
+    li = table(spark, sf, "lineitem")
+    out, _ = cleaning.drop_duplicates(li.unionByName(li))
     return out
 
 
@@ -114,7 +110,7 @@ def q_clean_drop_nulls(spark, sf):
 def _fill(strategy):
     def q(spark, sf):
         out, _ = cleaning.handle_missing(masked_lineitem(spark, sf), numeric_strategy=strategy)
-        return out.select("l_orderkey", "l_linenumber", F.round("l_discount", 6).alias("l_discount"), "l_quantity")
+        return out.withColumn("l_discount", F.round("l_discount", 6))
     return q
 
 
@@ -126,8 +122,7 @@ def _fill_cat(strategy):
 
 
 def q_clean_coerce(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("string").alias("qty_text"),
-                                             "l_returnflag")
+    li = table(spark, sf, "lineitem").withColumn("l_quantity", F.col("l_quantity").cast("string"))
     out, _ = cleaning.coerce_types(li)
     return out
 
@@ -174,11 +169,31 @@ def q_eda_pearson(spark, sf):
     return eda.correlation(table(spark, sf, "lineitem"))
 
 
-SPEARMAN_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_partkey"]
+def q_eda_spearman(spark, sf):
+    return eda.correlation(table(spark, sf, "lineitem"), method="spearman")
 
 
-def q_eda_spearman(spark, sf):
-    return eda.correlation(table(spark, sf, "lineitem"), SPEARMAN_COLS, method="spearman")
+def q_eda_spearman_nulls(spark, sf):
+    # quality and toxic have nulls; toxic_or_0 has one hot value
+    df = doc_labels(spark, sf).withColumn("toxic_or_0", F.coalesce("toxic", F.lit(0)))
+    return eda.correlation(df, method="spearman")
+
+
+def q_eda_pearson_pairwise(spark, sf):
+    return eda.correlation(doc_labels(spark, sf), nulls="pairwise")
+
+
+def q_eda_outliers_guards(spark, sf):
+    # A constant column and one with fewer than four values: no bounds, count 0.
+    n = table(spark, sf, "nation").select("n_nationkey", F.lit(7).alias("same"), F.when(F.col("n_nationkey") < 3, F.col("n_nationkey")).alias("few"))
+    return eda.outliers(n, method="zscore", threshold=1.5)
+
+
+def q_profile_decimals(spark, sf):
+    # 20 digits: more than a double holds
+    c = table(spark, sf, "customer").select(
+        "c_custkey", (F.lit("12345678901234567890").cast("decimal(20,0)") + F.col("c_nationkey").cast("decimal(20,0)")).cast("decimal(21,0)").alias("big"))
+    return prof.profile(c).select("name", "dtype", "null_count", "unique_count")
 
 
 def q_eda_pearson_nulls(spark, sf):
@@ -259,11 +274,11 @@ def q_chart_bar_count(spark, sf):
 
 
 def q_chart_scatter(spark, sf):
-    return charts.scatter(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
+    return charts.scatter(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", size=charts.SCATTER_CAP, keys=["l_orderkey", "l_linenumber"])
 
 
 def q_export_sample(spark, sf):
-    return charts.render_text(charts.export_sample(table(spark, sf, "lineitem")))
+    return charts.render_text(charts.export_sample(table(spark, sf, "orders"), size=10_000, keys=["o_orderkey"]).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
 
 
 def q_chart_series(spark, sf):
@@ -285,7 +300,7 @@ def q_digest(spark, sf):
     li = table(spark, sf, "lineitem")
     stats = column_stats(li, skew=True)  # shared by the profile and the outlier quartiles
     p = prof.profile(li, stats=stats, quartiles=True)  # medians and quartiles in the same passes
-    outl = eda.outliers(li, moments=eda.numeric_moments(li, stats=stats, counts=p.value_counts, order_stats=p.order_stats))
+    outl = eda.outliers(li, moments=eda.numeric_moments(li, stats=stats, order_stats=p.order_stats))
     corr = eda.correlation(li)
     n_rows = next(iter(stats.values()))["n_rows"]
     return dg.digest("lineitem", n_rows, len(li.columns), p, outl, corr)
@@ -293,7 +308,7 @@ def q_digest(spark, sf):
 
 def q_quality_flags(spark, sf):
     df = doc_labels(spark, sf)
-    p = prof.profile(df)
+    p = prof.profile(df, medians=False, tops=False)
     return dg.quality_flags(p, df, n_rows=next(iter(p.stats.values()))["n_rows"])
 
 
@@ -336,7 +351,74 @@ def q_profile_record(spark, sf):
 
 
 def q_fingerprint(spark, sf):
-    return fingerprint.table_fingerprint(table(spark, sf, "orders"))
+    return fingerprint.table_fingerprint(table(spark, sf, "documents"))
+
+
+def q_chart_data(spark, sf):
+    """All charts of one instruction list, bad ones left out, as (title, label, value)."""
+    got, _ = charts.chart_data(table(spark, sf, "part"), [
+        {"type": "bar", "x": "p_brand", "y": "p_retailprice", "title": "price"}, {"type": "bar", "x": "p_brand", "title": "count"},
+        {"type": "histogram", "x": "p_name", "title": "bad"}, {"type": "pie", "x": "p_brand"},
+        {"type": "histogram", "x": "p_size", "title": "size"}])
+    parts = [got[t].select(F.lit(t).alias("title"), F.col("label"), F.col("value").cast("double").alias("value")) for t in ("price", "count")]
+    parts.append(got["size"].select(F.lit("size").alias("title"), F.col("bin").cast("string").alias("label"), F.col("count").cast("double").alias("value")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def q_clean_all_null(spark, sf):
+    # C11: a text column without values falls back to the constant, a number column stays null.
+    c = table(spark, sf, "customer").withColumns({"note": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
+    out, _ = cleaning.handle_missing(c, numeric_strategy="median", categorical_strategy="mode")
+    return out
+
+
+def q_cleaning_line(spark, sf):
+    _, actions = cleaning.clean(masked_orders(spark, sf))
+    return dg.cleaning_line(actions).select("text")
+
+
+def q_strong_correlations_pages(spark, sf):
+    # order keys, quantities and prices of lineitem: price follows quantity
+    li = table(spark, sf, "lineitem").select("l_quantity", (F.col("l_quantity") * 2 + F.col("l_linenumber")).alias("l_double"), "l_extendedprice",
+                                             (-F.col("l_quantity")).alias("l_minus"))
+    pos = spark.createDataFrame([(c, i) for i, c in enumerate(li.columns)], "column_name string, position int")
+    return dg.strong_correlations(eda.correlation(li), pos).select("col_a", "col_b", "r")
+
+
+def q_outlier_columns_skewed(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return eda.outlier_columns(eda.outliers(d))
+
+
+def q_gate_after_clean(spark, sf):
+    """D6 on a table that cleaning empties (every row has a null) and on one it does not."""
+    c = table(spark, sf, "customer")
+    emptied, _ = cleaning.handle_missing(c.withColumn("c_acctbal", F.lit(None).cast("double")), numeric_strategy="drop")
+    return spark.createDataFrame([("customer", dg.is_empty(c)), ("emptied", dg.is_empty(emptied))], "name string, empty boolean")
+
+
+def q_documents_csv(spark, sf):
+    """Documents through quoted CSV: cells with line ends, quotes doubled."""
+    path = scratch_dir(spark, "documents-csv") + "/documents"
+    table(spark, sf, "documents").write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return readers.load(spark, path, fmt="csv").select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def q_documents_json(spark, sf):
+    """Documents through JSON lines in a directory without extension."""
+    path = scratch_dir(spark, "documents-json") + "/documents"
+    table(spark, sf, "documents").write.json(path)
+    return readers.load(spark, path, columns=["doc_id", "text", "lang", "source", "n_chars"])
+
+
+def q_analyze_parts(spark, sf):
+    """Profile, outliers, flags and digest lines of one analysis, as (part, name, value)."""
+    from tabprobe.plans.analyze import analyze
+
+    t = analyze(table(spark, sf, "part"), name="part").tables
+    out = t["profile"].select(F.lit("unique").alias("part"), "name", F.col("unique_count").cast("string").alias("value"))
+    out = out.unionByName(t["outliers"].select(F.lit("outliers").alias("part"), F.col("column_name").alias("name"), F.col("count").cast("string").alias("value")))
+    return out.unionByName(t["digest"].where("line = 0").select(F.lit("digest").alias("part"), F.lit("part").alias("name"), F.col("text").alias("value")))
 
 
 def q_cache_reload(spark, sf):
@@ -412,6 +494,19 @@ QUERIES = {
     "eda_pearson": q_eda_pearson,
     "eda_pearson_nulls": q_eda_pearson_nulls,
     "eda_spearman": q_eda_spearman,
+    "eda_spearman_nulls": q_eda_spearman_nulls,
+    "eda_pearson_pairwise": q_eda_pearson_pairwise,
+    "eda_outliers_guards": q_eda_outliers_guards,
+    "eda_outlier_columns_skewed": q_outlier_columns_skewed,
+    "profile_decimals": q_profile_decimals,
+    "chart_data": q_chart_data,
+    "clean_all_null": q_clean_all_null,
+    "cleaning_line": q_cleaning_line,
+    "strong_correlations_derived": q_strong_correlations_pages,
+    "empty_gate_cleaned": q_gate_after_clean,
+    "documents_csv": q_documents_csv,
+    "documents_json": q_documents_json,
+    "analyze_parts": q_analyze_parts,
     "eda_outliers_iqr": q_eda_outliers_iqr,
     "eda_outliers_zscore": q_eda_outliers_zscore,
     "eda_outlier_columns": q_eda_outlier_columns,
@@ -486,7 +581,7 @@ _PIPE = ("(SELECT DISTINCT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 7 =
 _GROUP = "FROM lineitem GROUP BY l_returnflag, l_linestatus"
 _IQR_LI = O.outliers_iqr_sql("lineitem", O.LINEITEM_NUM)
 _STRONG = (f"SELECT col_a, col_b, r, pos_a, pos_b FROM ({_pairs_with_pos('lineitem', O.LINEITEM_NUM)}) "
-           f"WHERE col_a < col_b AND abs(r) > 0.3 ORDER BY pos_a, pos_b LIMIT 5")
+           f"WHERE col_a < col_b AND abs(r) > 0.3 ORDER BY pos_a, pos_b")
 _NUMTYPES = "('tinyint','smallint','int','bigint','float','double')"
 _COLTEXT = ("name || '(' || dtype || ',' || unique_count || 'u' || CASE WHEN null_count > 0 THEN ',' || null_count || 'n' "
             "ELSE '' END || ')'")
@@ -503,24 +598,22 @@ ORACLE = {
                      f"count(*) FILTER (WHERE dtype NOT IN {_NUMTYPES}) AS n_categorical FROM ({_P_LI})"),
     "clean_names": ("SELECT c_custkey AS customer_key, c_name AS name, c_nationkey AS nation_key, c_acctbal AS acct_bal, "
                     "c_mktsegment AS name_1 FROM customer"),
-    "clean_dedup": "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem",
+    "clean_dedup": "SELECT DISTINCT * FROM lineitem",
     "clean_drop_nulls": f"SELECT * FROM {_ML} WHERE l_discount IS NOT NULL",
-    "clean_fill_mean": (f"SELECT l_orderkey, l_linenumber, round(coalesce(l_discount, (SELECT avg(l_discount) FROM {_ML})), 6) "
-                        f"AS l_discount, l_quantity FROM {_ML}"),
-    "clean_fill_median": (f"SELECT l_orderkey, l_linenumber, round(coalesce(l_discount, (SELECT median(l_discount) FROM {_ML})), 6) "
-                          f"AS l_discount, l_quantity FROM {_ML}"),
-    "clean_fill_zero": f"SELECT l_orderkey, l_linenumber, round(coalesce(l_discount, 0.0), 6) AS l_discount, l_quantity FROM {_ML}",
-    "clean_fill_mode": (f"SELECT o_orderkey, coalesce(o_orderpriority, {_mode(_MO, 'o_orderpriority')}) AS o_orderpriority, "
-                        f"coalesce(o_orderstatus, {_mode(_MO, 'o_orderstatus')}) AS o_orderstatus, o_totalprice FROM {_MO}"),
-    "clean_fill_unknown": (f"SELECT o_orderkey, coalesce(o_orderpriority, 'Unknown') AS o_orderpriority, "
-                           f"coalesce(o_orderstatus, 'Unknown') AS o_orderstatus, o_totalprice FROM {_MO}"),
-    "clean_coerce": "SELECT l_orderkey, l_linenumber, l_quantity AS qty_text, l_returnflag FROM lineitem",
+    "clean_fill_mean": (f"SELECT * REPLACE (round(coalesce(l_discount, (SELECT avg(l_discount) FROM {_ML})), 6) AS l_discount) FROM {_ML}"),
+    "clean_fill_median": (f"SELECT * REPLACE (round(coalesce(l_discount, (SELECT median(l_discount) FROM {_ML})), 6) AS l_discount) FROM {_ML}"),
+    "clean_fill_zero": f"SELECT * REPLACE (round(coalesce(l_discount, 0.0), 6) AS l_discount) FROM {_ML}",
+    "clean_fill_mode": (f"SELECT * REPLACE (coalesce(o_orderpriority, {_mode(_MO, 'o_orderpriority')}) AS o_orderpriority, "
+                        f"coalesce(o_orderstatus, {_mode(_MO, 'o_orderstatus')}) AS o_orderstatus) FROM {_MO}"),
+    "clean_fill_unknown": ("SELECT * REPLACE (coalesce(o_orderpriority, 'Unknown') AS o_orderpriority, "
+                           f"coalesce(o_orderstatus, 'Unknown') AS o_orderstatus) FROM {_MO}"),
+    "clean_coerce": "SELECT * FROM lineitem",
     "clean_actions": (
-        f"SELECT 0 AS step, 'fill_null_mode' AS action, 'o_orderpriority' AS \"column\", {_fill_detail('o_orderpriority')} "
+        f"SELECT 0 AS step, 'fill_null_mode' AS action, 'o_orderstatus' AS \"column\", {_fill_detail('o_orderstatus')} "
         f"AS detail, n AS rows_affected "
-        f"FROM (SELECT count(*) - count(o_orderpriority) AS n, {_mode(_MO, 'o_orderpriority')} AS m FROM {_MO}) "
-        f"UNION ALL SELECT 1, 'fill_null_mode', 'o_orderstatus', {_fill_detail('o_orderstatus')}, n "
-        f"FROM (SELECT count(*) - count(o_orderstatus) AS n, {_mode(_MO, 'o_orderstatus')} AS m FROM {_MO})"),
+        f"FROM (SELECT count(*) - count(o_orderstatus) AS n, {_mode(_MO, 'o_orderstatus')} AS m FROM {_MO}) "
+        f"UNION ALL SELECT 1, 'fill_null_mode', 'o_orderpriority', {_fill_detail('o_orderpriority')}, n "
+        f"FROM (SELECT count(*) - count(o_orderpriority) AS n, {_mode(_MO, 'o_orderpriority')} AS m FROM {_MO})"),
     "clean_pipeline": (f"SELECT l_orderkey AS order_key, l_linenumber AS line, round(coalesce(d, (SELECT median(d) FROM {_PIPE})), 6) "
                        f"AS discount, l_quantity AS qty, l_returnflag AS flag FROM {_PIPE}"),
     "eda_numeric": O.numeric_summary_sql("lineitem", O.LINEITEM_NUM),
@@ -528,7 +621,7 @@ ORACLE = {
     "eda_categorical_top": O.top_values_sql("orders", _ORD_CAT),
     "eda_pearson": O.pearson_sql("lineitem", O.LINEITEM_NUM),
     "eda_pearson_nulls": O.pearson_sql(O.DOCLABEL, ["doc_id", "n_chars", "quality", "toxic"]),
-    "eda_spearman": O.pearson_sql(O.avg_rank_table("lineitem", SPEARMAN_COLS), SPEARMAN_COLS),
+    "eda_spearman": O.pearson_sql(O.avg_rank_table("lineitem", O.LINEITEM_NUM), O.LINEITEM_NUM),
     "eda_outliers_iqr": _IQR_LI,
     "eda_outliers_zscore": O.outliers_z_sql("part", ["p_partkey", "p_size", "p_retailprice"]),
     "eda_outlier_columns": f"SELECT count(*) FILTER (WHERE count > 0) AS outlier_columns FROM ({_IQR_LI})",
@@ -606,4 +699,56 @@ ORACLE.update({
         "coalesce(c.count, 0) AS count FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(30)) r CROSS JOIN b "
         "LEFT JOIN c ON r.bin = c.bin"),
 })
+_RANKED_DL = ("(SELECT quality, toxic, " + ", ".join(
+    f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in ("doc_id", "n_chars", "toxic_or_0"))
+    + f" FROM (SELECT *, coalesce(toxic, 0) AS toxic_or_0 FROM {O.DOCLABEL}))")
+_DERIVED = ("(SELECT l_quantity, l_quantity * 2 + l_linenumber AS l_double, l_extendedprice, -l_quantity AS l_minus FROM lineitem)")
+_ROWTEXT = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "text", "lang", "source", "n_chars"))
+
+
+def _pairwise(cols: list[str]) -> str:
+    parts = []
+    for a in cols:
+        for b in cols:
+            parts.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, (SELECT round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 4) FROM {O.DOCLABEL} t) AS r")
+    return O.union(parts)
+
+
+ORACLE.update({
+    "eda_spearman_nulls": O.pearson_sql(_RANKED_DL, ["doc_id", "n_chars", "quality", "toxic", "toxic_or_0"]),
+    "eda_pearson_pairwise": _pairwise(_DL_NUM),
+    "eda_outliers_guards": (
+        "SELECT 'n_nationkey' AS column_name, 0 AS position, count(*) FILTER (abs((n_nationkey - mu) / s) > 1.5) AS count, "
+        "round(count(*) FILTER (abs((n_nationkey - mu) / s) > 1.5) / count(*) * 100.0::DOUBLE, 2) AS pct, "
+        "round(max(mu) - 1.5 * max(s), 4) AS lower, round(max(mu) + 1.5 * max(s), 4) AS upper "
+        "FROM nation, (SELECT avg(n_nationkey) AS mu, stddev_samp(n_nationkey) AS s FROM nation) UNION ALL "
+        "SELECT 'same', 1, 0, 0.0, NULL, NULL UNION ALL SELECT 'few', 2, 0, 0.0, NULL, NULL"),
+    "eda_outlier_columns_skewed": f"SELECT count(*) FILTER (WHERE count > 0) AS outlier_columns FROM ({O.outliers_iqr_sql('documents', ['doc_id', 'n_chars'])})",
+    "profile_decimals": ("SELECT 'c_custkey' AS name, 'bigint' AS dtype, 0 AS null_count, count(DISTINCT c_custkey) AS unique_count FROM customer "
+                         "UNION ALL SELECT 'big', 'decimal(21,0)', 0, count(DISTINCT c_nationkey) FROM customer"),
+    "chart_data": (
+        "SELECT 'price' AS title, label, value FROM (SELECT p_brand AS label, round(avg(p_retailprice), 4) AS value FROM part GROUP BY 1 "
+        "ORDER BY avg(p_retailprice) DESC, label LIMIT 15) UNION ALL SELECT 'count', label, value FROM (SELECT p_brand AS label, "
+        "CAST(count(*) AS DOUBLE) AS value FROM part GROUP BY 1 ORDER BY value DESC, label LIMIT 15) UNION ALL "
+        "SELECT 'size', CAST(r.bin AS VARCHAR), CAST(coalesce(c.n, 0) AS DOUBLE) FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(30)) r "
+        "LEFT JOIN (SELECT CAST(least(floor((p_size - lo) / (hi - lo) * 30), 29) AS INTEGER) AS bin, count(*) AS n FROM part, "
+        "(SELECT CAST(min(p_size) AS DOUBLE) AS lo, CAST(max(p_size) AS DOUBLE) AS hi FROM part) GROUP BY 1) c ON r.bin = c.bin"),
+    "clean_all_null": "SELECT *, 'Unknown' AS note, NULL::DOUBLE AS score FROM customer",
+    "cleaning_line": "SELECT 'fill_null_mode(o_orderstatus), fill_null_mode(o_orderpriority)' AS text",
+    "strong_correlations_derived": (f"SELECT col_a, col_b, r FROM ({_pairs_with_pos(_DERIVED, ['l_quantity', 'l_double', 'l_extendedprice', 'l_minus'])}) "
+                                    f"WHERE col_a < col_b AND abs(r) > 0.3"),
+    "empty_gate_cleaned": "SELECT 'customer' AS name, count(*) = 0 AS empty FROM customer UNION ALL SELECT 'emptied', true",
+    "documents_csv": "SELECT CAST(doc_id AS INTEGER) AS doc_id, text, lang, source, CAST(n_chars AS INTEGER) AS n_chars FROM documents",
+    "documents_json": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "analyze_parts": (
+        f"SELECT 'unique' AS part, name, CAST(unique_count AS VARCHAR) AS value FROM ({_P_PART}) UNION ALL "
+        f"SELECT 'outliers', column_name, CAST(count AS VARCHAR) FROM ({O.outliers_iqr_sql('part', ['p_partkey', 'p_size', 'p_retailprice'])}) "
+        f"UNION ALL SELECT 'digest', 'part', 'Dataset: part (' || count(*) || '×6)' FROM part"),
+    "chart_scatter": ("SELECT l_quantity AS x, l_extendedprice AS y FROM (SELECT * FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL "
+                      "ORDER BY md5(l_orderkey || '|' || l_linenumber), CAST(l_quantity AS VARCHAR), CAST(l_extendedprice AS VARCHAR) LIMIT 5000)"),
+    "export_sample": ("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_orderpriority FROM orders "
+                      "ORDER BY md5(CAST(o_orderkey AS VARCHAR)) LIMIT 10000"),
+    "fingerprint": ("SELECT count(*) AS rows, sha256('struct<doc_id:bigint,text:string,lang:string,source:string,n_chars:bigint>|' || count(*) || '|' || "
+                    f"CAST(sum(CAST(CAST('0x' || substr(md5({_ROWTEXT}), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)) AS fingerprint FROM documents"),
+})
 ORACLE = {k: _q(v) for k, v in ORACLE.items()}

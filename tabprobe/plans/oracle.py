@@ -22,10 +22,9 @@ DOCLABEL_TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "sourc
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 DOCLABEL = "(SELECT * FROM documents LEFT JOIN labels USING (doc_id))"
-MASKED_LINEITEM = ("(SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_discount END "
-                   "AS l_discount, l_quantity FROM lineitem)")
-MASKED_ORDERS = ("(SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority, "
-                 "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders)")
+MASKED_LINEITEM = "(SELECT * REPLACE (CASE WHEN l_orderkey % 7 <> 0 THEN l_discount END AS l_discount) FROM lineitem)"
+MASKED_ORDERS = ("(SELECT * REPLACE (CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS o_orderpriority, "
+                 "CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS o_orderstatus) FROM orders)")
 
 
 def union(parts: list[str]) -> str:

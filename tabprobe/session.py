@@ -56,6 +56,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir is not set; point it at a folder shared by the cluster")
 
 
+_STORED: list[str] = []
+
+
+def _forget_stored(jvm, conf) -> None:
+    """Delete the tables that this driver stored (when it ends in good order)."""
+    for path in _STORED:
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        except Exception:  # the JVM may be gone
+            return
+    _STORED.clear()
+
+
+def table_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for an intermediate table in the shared checkpoint folder; deleted when the driver ends."""
+    import atexit
+    import uuid
+
+    if not _STORED:
+        atexit.register(_forget_stored, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+    _STORED.append(f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}")
+    return _STORED[-1]
+
+
 def materialize(df, name: str = "table"):
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 
@@ -63,26 +88,20 @@ def materialize(df, name: str = "table"):
     work back to the raw input), and later passes read it columnar, reading only
     the columns they use.
     """
-    import uuid
-
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = table_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
-def spread(df):
-    """Round-robin the rows over the cluster's cores when the input has fewer
-    splits than cores (one file with one Parquet row group reads in one task).
-
-    Used only before passes whose per-row work outweighs moving the row (the
-    unpivot-and-count passes). A large input already has many splits and is
-    returned unchanged, so this never adds a shuffle at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+def forget(*tables) -> None:
+    """Delete stored intermediate tables that no later step reads."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()} & set(_STORED):
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            _STORED.remove(path)
 
 
 def free_shuffles(df):

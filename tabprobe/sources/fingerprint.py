@@ -6,30 +6,38 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tabprobe.functions.exprs import as_text, col
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """One row (rows, fingerprint): row count and the sum of a 64-bit hash of every
-    row as a decimal. Order-independent, sensitive to duplicates (a XOR would cancel
-    a repeated row); one pass with map-side partial sums."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).alias("sum_hash")) \
-        .select("rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), F.col("sum_hash").cast("string")), 256)
-                .alias("fingerprint"))
-
-
-def file_fingerprint(spark: SparkSession, path: str, content: bool = True) -> str:
-    """Fingerprint of the files under ``path``: per file the MD5 of its bytes (or,
-    with ``content=False``, of path, length and modification time, which reads no
-    file data), combined order-independently as the count and the sum of a 64-bit
-    hash of (path, md5). Each file is read by one task; the combination is a plain
-    aggregate, so no task gathers the list of files."""
+    """One row (rows, fingerprint): SHA-256 of the schema's text, the row count and the sum of 60 bits of each
+    row's MD5. A row's text marks nulls and states each value's length, so a value that moves to
+    another column shows, as do renamed columns. Independent of row order, sensitive to repeated
+    rows; one pass with map-side sums."""
+    parts = []
+    for f in df.schema.fields:
+        text = F.hex(col(f.name)) if isinstance(f.dataType, T.BinaryType) else as_text(col(f.name), f.dataType)
+        parts.append(F.when(col(f.name).isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)))
+    h = F.conv(F.substring(F.md5(F.concat(*parts) if parts else F.lit("")), 1, 15), 16, 10).cast("decimal(38,0)")
+    total = F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)"))
+    return df.agg(F.count(F.lit(1)).alias("rows"), total.alias("s")).select(
+        "rows", F.sha2(F.concat_ws("|", F.lit(df.schema.simpleString()), F.col("rows").cast("string"), F.col("s").cast("string")), 256)
+        .alias("fingerprint"))
+
+
+def file_fingerprint(spark: SparkSession, path: str, content: bool = False) -> str:
+    """Fingerprint of the files under ``path``, combined order-independently as the count and the sum of a
+    64-bit hash per file. By default from the listing (path, length, modification time; no
+    file data is read); with ``content=True`` from the MD5 of each file's bytes, for files
+    under 2 GiB (Spark's bound for one binary value)."""
     files = spark.read.format("binaryFile").load(path)
     if content:
         per_file = files.select("path", F.md5(F.col("content")).alias("h"))
     else:
         per_file = files.select("path", F.md5(F.concat_ws("|", "path", F.col("length").cast("string"),
-                                                          F.col("modificationTime").cast("string"))).alias("h"))
+                                                          F.unix_micros("modificationTime").cast("string"))).alias("h"))
     row = per_file.agg(F.count(F.lit(1)).alias("n"),
                        F.sum(F.xxhash64("path", "h").cast("decimal(38,0)")).alias("s")).first()
     return hashlib.md5(f"{row['n']}:{row['s']}".encode()).hexdigest()

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-from urllib.parse import urlparse
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,18 +14,12 @@ def _extension(path: str) -> str:
     return base.rsplit(".", 1)[-1].lower() if "." in base else ""
 
 
-def _local(path: str) -> str | None:
-    u = urlparse(path)
-    if u.scheme in ("", "file"):
-        return u.path if u.scheme else path
-    return None
-
-
-def _hadoop_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def _files(spark: SparkSession, path: str):
+    """(file system, matching statuses) by Hadoop's file system, which resolves a path without a
+    scheme the way Spark's readers do."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.globStatus(p))
+    return fs, list(fs.globStatus(p) or [])
 
 
 def detect_format(spark: SparkSession, path: str) -> str:
@@ -37,30 +28,36 @@ def detect_format(spark: SparkSession, path: str) -> str:
     A directory without an extension takes the extension its files share.
     Unknown -> ValueError naming the supported formats; missing -> FileNotFoundError.
     """
-    local = _local(path)
-    exists = (bool(__import__("glob").glob(local)) if any(ch in local for ch in "*?[") else os.path.exists(local)) \
-        if local is not None else _hadoop_exists(spark, path)
-    if not exists:
+    fs, found = _files(spark, path)
+    if not found:
         raise FileNotFoundError(f"Input file not found: {path}")
     ext = _extension(path)
-    if not ext and local is not None and os.path.isdir(local):
-        exts = {_extension(n) for n in os.listdir(local) if not n.startswith((".", "_"))}
+    if ext not in FORMATS and found[0].isDirectory():
+        names = [s.getPath().getName() for s in fs.listStatus(found[0].getPath())]
+        # A compressed part file has two: part-0.csv.gz, part-0.snappy.parquet.
+        exts = {next((e for e in reversed(n.lower().split(".")[1:]) if e in FORMATS), _extension(n))
+                for n in names if not n.startswith((".", "_"))}
         ext = exts.pop() if len(exts) == 1 else ""
     if ext not in FORMATS:
         raise ValueError(f"Unsupported file format '.{ext}'. Supported: {', '.join(FORMATS)}")
     return ext
 
 
-def read_csv(spark: SparkSession, path: str, sampling_ratio: float = 1.0) -> DataFrame:
-    """Header row, types inferred (dates become DateType); ``sampling_ratio`` < 1
-    infers from a sample of a large input instead of a full extra pass."""
-    return spark.read.csv(path, header=True, inferSchema=True, samplingRatio=sampling_ratio)
+def read_csv(spark: SparkSession, path: str, sampling_ratio: float = 1.0, multi_line: bool = True) -> DataFrame:
+    """Header row, types inferred (dates become DateType), cells quoted with ``"`` and a quote inside
+    doubled; quoted cells may hold line ends. ``multi_line=False`` lets Spark split large files, for
+    inputs known to have no line end in a cell. ``sampling_ratio`` < 1 infers types from a sample."""
+    return spark.read.csv(path, header=True, inferSchema=True, samplingRatio=sampling_ratio, multiLine=multi_line, quote='"', escape='"')
 
 
-def read_json(spark: SparkSession, path: str, multi_line: bool = True, columns: list[str] | None = None) -> DataFrame:
-    """An array of records (``multi_line=True``) or JSON lines (``False``, splittable).
+def read_json(spark: SparkSession, path: str, multi_line: bool | None = None, columns: list[str] | None = None) -> DataFrame:
+    """JSON lines (splittable) or arrays of records. Without ``multi_line`` the first character that
+    is not blank tells: ``[`` begins an array. Text that is not JSON lines then raises.
     Spark orders inferred fields alphabetically; ``columns`` restores a stated order."""
-    df = spark.read.json(path, multiLine=multi_line)
+    if multi_line is None:
+        first = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.ltrim("value").alias("v")).first()
+        multi_line = bool(first and first["v"].startswith("["))
+    df = spark.read.json(path, multiLine=multi_line, mode="FAILFAST")
     return df.select(*columns) if columns else df
 
 

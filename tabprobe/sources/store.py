@@ -1,6 +1,6 @@
 """The result store (S7-S9, S13): cleaned table and result tables as Parquet.
 
-Layout: ``{root}/{key}/{stage}/{table}/`` where ``key`` is the input fingerprint plus
+Layout: ``{root}/{key}/{stage}/t{i}/`` where ``key`` is the input fingerprint plus
 a hash of the options, so a cache written by one stage or with other options is
 never taken for another (a profile-only cache cannot stand in for a full run).
 """
@@ -25,27 +25,27 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
-def save(root: str, key: str, tables: dict[str, DataFrame]) -> str:
-    """Write every table; the ``_complete`` marker is written last, so a
-    half-written entry is never read back."""
+def save(root: str, key: str, tables: dict[str, DataFrame], notes: dict | None = None) -> str:
+    """Write every table; the ``_complete`` marker (with the table names and ``notes``, any JSON) is
+    written last, so a half-written entry is never read back."""
     base = f"{root.rstrip('/')}/{key}"
     spark = None
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{base}/{name}")
+    for i, df in enumerate(tables.values()):
+        df.write.mode("overwrite").parquet(f"{base}/t{i}")
         spark = df.sparkSession
     if spark is not None:
-        spark.createDataFrame([(sorted(tables),)], "tables array<string>").coalesce(1) \
-            .write.mode("overwrite").json(f"{base}/_complete")
+        text = json.dumps({"tables": list(tables), "notes": notes or {}})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/_complete")
     return base
 
 
-def load(spark: SparkSession, root: str, key: str) -> dict[str, DataFrame] | None:
-    """The stored tables, or None when the entry is missing or incomplete."""
+def load(spark: SparkSession, root: str, key: str) -> tuple[dict[str, DataFrame], dict] | None:
+    """The stored tables and notes, or None when the entry is missing or incomplete."""
     base = f"{root.rstrip('/')}/{key}"
     if not _exists(spark, f"{base}/_complete"):
         return None
-    names = spark.read.json(f"{base}/_complete").first()["tables"]
-    return {n: spark.read.parquet(f"{base}/{n}") for n in names}
+    entry = json.loads(spark.read.text(f"{base}/_complete").first()["value"])
+    return {n: spark.read.parquet(f"{base}/t{i}") for i, n in enumerate(entry["tables"])}, entry["notes"]
 
 
 def profile_records(prof: DataFrame) -> DataFrame:
