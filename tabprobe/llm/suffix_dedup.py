@@ -1,6 +1,6 @@
 """Removal of passages that repeat across documents, by suffix arrays over shards.
 
-Every 50-byte string has an anchor: the smallest hash among its 16-grams. Equal strings have equal
+Every 50-byte string has an anchor: the smallest hash among its 24-grams. Equal strings have equal
 anchors, so only strings whose anchor occurs in two documents can repeat.
 
 1. One pass packs each document's anchors into blobs by anchor bucket (a batch names an anchor
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from tabprobe.llm import words
 from tabprobe.llm.suffix import equal_windows
 from tabprobe.llm.text import whole
-from tabprobe.session import checkpoint_dir, free_shuffles, materialize
+from tabprobe.session import forget, free_shuffles, materialize, table_path
 
-GRAM = 16
+GRAM = 24
 # Anchors a bucket may hold: some 100 MB while it is sorted.
 BUCKET_ANCHORS = 4_000_000
 # Text that one blob batch and one suffix array take.
@@ -48,11 +48,14 @@ def _anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int):
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, np.zeros(0, np.uint64)
     h = data.astype(np.uint64) + np.uint64(1)
-    power, size = words.BASE, 1
-    while size < GRAM:
+    power, size, grams = words.BASE, 1, []
+    while size <= 16:
+        grams.append((h, power))
         h = h[:-size] * np.uint64(power) + h[size:]
         power, size = power * power % (1 << 64), size * 2
-    h = words.mix(h)
+    # 24 = 16 + 8
+    (eight, by_eight), (sixteen, _) = grams[3], grams[4]
+    h = words.mix(sixteen[:n - GRAM + 1] * np.uint64(by_eight) + eight[16:])
     size = 1
     while size * 2 <= width:
         h = np.minimum(h[:-size], h[size:])
@@ -206,7 +209,8 @@ def _repeated_marks(blobs: DataFrame, buckets: int) -> DataFrame:
     return blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "id bigint, row bigint, marks binary")
 
 
-SEGMENTS = "anchor bigint, s1 bigint, s2 bigint, id bigint, row bigint, start int, n int, segment binary"
+# Within an anchor 64 bits name a segment.
+SEGMENTS = "anchor bigint, name bigint, id bigint, row bigint, start int, n int, segment binary"
 
 
 def _segments(marked: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -235,83 +239,105 @@ def _segments(marked: DataFrame, length: int, buckets: int) -> DataFrame:
                 a = (offsets[text] + start).tolist()
                 b = (offsets[text] + stop + length - 1).tolist()
                 pieces = [raw[x:y] for x, y in zip(a, b, strict=True)]
-                names = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in pieces), np.int64).reshape(-1, 2)
+                names = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=8).digest() for p in pieces), np.int64)
                 for at in range(0, len(pieces), 50_000):
                     part = slice(at, at + 50_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor[part].view(np.int64)), pa.array(names[part, 0].copy()), pa.array(names[part, 1].copy()),
+                        [pa.array(anchor[part].view(np.int64)), pa.array(names[part]),
                          pa.array(ids[row + text[part]]), pa.array(rows[row + text[part]]), pa.array(start[part].astype(np.int32)),
                          pa.array((stop - start)[part].astype(np.int32)), pa.array(pieces[part], pa.binary())],
-                        names=["anchor", "s1", "s2", "id", "row", "start", "n", "segment"])
+                        names=["anchor", "name", "id", "row", "start", "n", "segment"])
 
     return marked.mapInArrow(run, SEGMENTS)
 
 
-RUNS = "s1 bigint, s2 bigint, froms array<int>, tos array<int>, lows array<bigint>"
+RUNS = "anchor bigint, name bigint, froms array<int>, tos array<int>, lows array<bigint>"
 
 
 def _shard_runs(distinct: DataFrame, length: int, shards: int) -> DataFrame:
-    """For each distinct segment, runs of windows and the smallest id that holds each window."""
+    """For each distinct segment, runs of windows and the smallest id that holds each window.
+
+    Anchors come together. One of a single document has nothing to remove, one of a single
+    segment needs no sorting; the others share a suffix array with their neighbours.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         def settle(rows):
-            pieces = [r[4] for r in rows]
+            pieces = [r[3] for r in rows]
             data = np.frombuffer(bytes([SEPARATOR]).join(pieces), np.uint8)
             sizes = np.array([len(p) for p in pieces])
             begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
             order, bounds = equal_windows(data, length)
             owner = np.repeat(np.arange(len(rows)), sizes + 1)[:len(data)]
-            ids = np.array([r[3] for r in rows], np.int64)
+            ids = np.array([r[2] for r in rows], np.int64)
             low = np.minimum.reduceat(ids[owner[order]], bounds)
             least = np.empty(len(data), np.int64)
             least[order] = np.repeat(low, np.diff(np.append(bounds, len(order))))
-            out = []
-            for i, (_, s1, s2, _, _, high) in enumerate(rows):
+            for i, (anchor, name, _, _, high) in enumerate(rows):
                 mine = least[begin[i]:begin[i] + sizes[i] - length + 1]
                 if mine.min() >= high:
                     continue  # no document with this segment comes after another
                 cuts = np.concatenate([[0], np.flatnonzero(mine[1:] != mine[:-1]) + 1])
-                out.append((s1, s2, cuts, np.append(cuts[1:], len(mine)), mine[cuts]))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            return pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32())),
-                 pa.array(columns[3], pa.list_(pa.int32())), pa.array(columns[4], pa.list_(pa.int64()))],
-                names=["s1", "s2", "froms", "tos", "lows"])
-
-        held, size, now = [], 0, None
-        for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("anchor", "s1", "s2", "low", "segment", "high")), strict=True):
-                if r[0] != now and size >= SHARD_BYTES:
-                    yield settle(held)
-                    held, size = [], 0
-                now = r[0]
-                held.append(r)
-                size += len(r[4]) + 1
-        if held:
-            yield settle(held)
+                yield anchor, name, cuts, np.append(cuts[1:], len(mine)), mine[cuts]
+
+        def results():
+            held, size, group = [], 0, []
+            for batch in batches:
+                for r in zip(*(batch.column(c).to_pylist() for c in ("anchor", "name", "low", "segment", "high")), strict=True):
+                    if group and r[0] != group[0][0]:
+                        if min(g[2] for g in group) < max(g[4] for g in group):
+                            if len(group) == 1:
+                                a, name, low, segment, _ = group[0]
+                                yield a, name, [0], [len(segment) - length + 1], [low]
+                            else:
+                                held += group
+                                size += sum(len(g[3]) + 1 for g in group)
+                        group = []
+                        if size >= SHARD_BYTES:
+                            yield from settle(held)
+                            held, size = [], 0
+                    group.append(r)
+            if group and min(g[2] for g in group) < max(g[4] for g in group):
+                held += group
+            if held:
+                yield from settle(held)
+
+        part = []
+        for r in results():
+            part.append(r)
+            if len(part) == 20_000:
+                yield pack(part)
+                part = []
+        if part:
+            yield pack(part)
+
+    def pack(rows):
+        import pyarrow as pa
 
-    return distinct.repartition(shards, "anchor").sortWithinPartitions("anchor", "s1", "s2").mapInArrow(run, RUNS)
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                          names=["anchor", "name", "froms", "tos", "lows"])
+
+    return distinct.repartition(shards, "anchor").sortWithinPartitions("anchor", "name").mapInArrow(run, RUNS)
 
 
 def _grouped_runs(crowded: DataFrame, length: int) -> DataFrame:
     """The same result, string by string, for anchors with very many distinct segments."""
     at = F.explode(F.sequence(F.lit(0), F.octet_length("segment") - length)).alias("at")
-    windows = crowded.select("s1", "s2", "low", "high", "segment", at).select(
-        "s1", "s2", "low", "high", "at", F.expr(f"substring(segment, at + 1, {length})").alias("string"))
+    windows = crowded.select("anchor", "name", "low", "high", "segment", at).select(
+        "anchor", "name", "low", "high", "at", F.expr(f"substring(segment, at + 1, {length})").alias("string"))
     least = windows.groupBy("string").agg(F.min("low").alias("least"))
-    each = windows.join(least, "string").groupBy("s1", "s2", "high").agg(
+    each = windows.join(least, "string").groupBy("anchor", "name", "high").agg(
         F.array_sort(F.collect_list(F.struct("at", "least"))).alias("x"))
-    return (each.select("s1", "s2", "high", F.col("x.at").alias("froms"), F.transform("x.at", lambda a: a + 1).alias("tos"), F.col("x.least").alias("lows"))
-            .where(F.array_min("lows") < F.col("high")).select("s1", "s2", "froms", "tos", "lows"))
+    return (each.select("anchor", "name", "high", F.col("x.at").alias("froms"), F.transform("x.at", lambda a: a + 1).alias("tos"), F.col("x.least").alias("lows"))
+            .where(F.array_min("lows") < F.col("high")).select("anchor", "name", "froms", "tos", "lows"))
 
 
 def _store(df: DataFrame, name: str) -> DataFrame:
     """As materialize, with the compression that overlapping segments repay."""
-    import uuid
-
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = table_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -386,17 +412,17 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     segments = _store(_segments(named.join(marks, ["id", "row"]).select("id", "row", "text", "marks"), length, buckets), "segments")
     free_shuffles(segments)
 
-    distinct = segments.groupBy("s1", "s2").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("anchor").alias("anchor"),
-                                                F.first("segment").alias("segment"))
+    distinct = segments.groupBy("anchor", "name").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("segment").alias("segment"))
     distinct = _store(distinct, "distinct_segments")
+    free_shuffles(distinct)
     crowds = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("anchor"), "crowded")
     alone = distinct.join(crowds, "anchor", "left_anti")
-    crowd = distinct.join(crowds, "anchor")
-    runs = _shard_runs(alone, length, parallel).unionByName(_grouped_runs(crowd, length))
+    runs = _shard_runs(alone, length, parallel).unionByName(_grouped_runs(distinct.join(crowds, "anchor"), length))
     runs = _store(runs, "runs")
+    forget(distinct)
     free_shuffles(runs)
 
-    hits = (segments.select("s1", "s2", "id", "row", "start").join(runs, ["s1", "s2"])
+    hits = (segments.select("anchor", "name", "id", "row", "start").join(runs, ["anchor", "name"])
             .select("id", "row", "start", F.filter(F.arrays_zip("froms", "tos", "lows"), lambda x: x["lows"] < F.col("id")).alias("x"))
             .where(F.size("x") > 0))
     hits = hits.select("id", "row", F.transform("x.froms", lambda a: a + F.col("start")).alias("froms"),
@@ -404,5 +430,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = hits.groupBy("id", "row").agg(F.collect_list(F.struct("froms", "tos")).alias("h"))
     hits = hits.select("id", "row", F.flatten("h.froms").alias("froms"), F.flatten("h.tos").alias("tos"))
     gone = hits.unionByName(copies, allowMissingColumns=True).select("id", "row", F.col("froms").isNull().alias("copy"), "froms", "tos")
+    gone = _store(gone, "gone")
+    forget(segments, runs)
+    free_shuffles(gone)
     joined = base.join(gone, ["id", "row"], "left").select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "froms", "tos")
     return _cut(joined, length).withColumnRenamed("id", id_col)
