@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                .agg(F.min("id").alias("class_id"), F.count("*").alias("copies")).where("copies > 1").select("digest", "class_id"))
     classes = materialize(classes, "classes")  # a table of its own, so that AQE can split a hot digest in the join
     members = materialize(members.join(classes, "digest", "left")
-                          .select("id", "n_shingles", F.coalesce("class_id", "id").alias("node"), F.col("digest").isNull().alias("empty")), "members")
+                          .select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("node"), F.col("digest").isNull().alias("empty")), "members")
     chosen = members.where("node = id and not empty").select("id").distinct()
     nodes = features.where("digest is not null").join(chosen, "id", "left_semi").dropDuplicates(["id"])
     nodes = materialize(nodes.select("id", F.col("n_shingles").alias("n"), "bands", "sig"), "nodes")
