@@ -1,4 +1,3 @@
-import datetime
 import os
 import sys
 import tempfile
@@ -22,26 +21,19 @@ def tmpdir_path():
 
 
 @pytest.fixture()
-def sample_df(spark):
-    rows = [("Alice", 25, 50000.0, "Eng"), ("Bob", 30, None, "Sales"), ("Carol", 35, 70000.0, "Eng"),
-            ("Dan", 28, 55000.0, "HR"), ("Eve", 32, 65000.0, "Sales")]
-    return spark.createDataFrame(rows, "name string, age bigint, salary double, department string")
+def boats_df(spark):
+    """Harbour entries: a text key, two numbers (one with a gap), a class."""
+    rows = [("Kestrel", 9, 410.5, "sloop"), ("Marigold", 14, None, "ketch"), ("Osprey", 21, 980.0, "sloop"),
+            ("Petrel", 11, 455.0, "yawl"), ("Quail", 17, 720.25, "ketch"), ("Tern", 12, 505.0, "sloop")]
+    return spark.createDataFrame(rows, "boat string, length bigint, sail double, rig string")
 
 
 @pytest.fixture()
-def sample_csv(tmpdir_path):
-    path = os.path.join(tmpdir_path, "sample.csv")
-    lines = ["Name,Age,Salary,Department,Start Date",
-             "Alice,30,70000.0,Engineering,2020-01-15",
-             "Bob,25,50000.0,Marketing,2021-03-01",
-             "Charlie,,60000.0,Engineering,2019-07-20",
-             "Diana,35,,Sales,2018-11-11",
-             "Eve,28,55000.0,Marketing,2022-02-28",
-             "Frank,40,90000.0,Engineering,2017-05-05",
-             "Grace,33,65000.0,Sales,2020-09-09",
-             "Heidi,29,52000.0,Marketing,2021-12-12",
-             "Ivan,45,95000.0,Engineering,2016-04-04",
-             "Alicia,30,70000.0,Engineering,2020-01-15"]
+def boats_csv(tmpdir_path):
+    path = os.path.join(tmpdir_path, "boats.csv")
+    lines = ["Boat,Length,Sail Area,Rig,Launched", "Kestrel,9,410.5,sloop,1998-04-02", "Marigold,14,,ketch,2003-09-30",
+             "Osprey,21,980.0,sloop,1987-06-14", "Petrel,,455.0,yawl,2011-01-09", "Quail,17,720.25,ketch,1979-12-24",
+             "Tern,12,505.0,sloop,2015-08-08", "Tern,12,505.0,sloop,2015-08-08"]
     with open(path, "w") as fh:
         fh.write("\n".join(lines) + "\n")
     return path

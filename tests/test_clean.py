@@ -72,3 +72,12 @@ def test_coercion_order(spark):
     assert dict(out.dtypes)["s"] == "string"  # 'Unknown' stops the cast
     weird = spark.createDataFrame([(" 1",), ("1d",)], "s string")
     assert dict(C.coerce_types(weird)[0].dtypes)["s"] == "string"
+
+
+def test_nested_columns_with_nulls(spark):
+    df = spark.sql("SELECT * FROM VALUES (array(1, 2), map('a', 1), named_struct('x', 1)), (array(1, 2), map('a', 1), named_struct('x', 1)), "
+                   "(null, null, null), (array(3), map('b', 2), named_struct('x', 2)) AS v(a, m, s)")
+    out, _ = C.clean(df, drop_duplicates_=False)
+    got = out.selectExpr("to_json(a) AS a", "to_json(m) AS m", "to_json(s) AS s").collect()
+    assert sorted(tuple(r) for r in got) == sorted([("[1,2]", '{"a":1}', '{"x":1}')] * 3 + [("[3]", '{"b":2}', '{"x":2}')])
+    assert C.drop_duplicates(df)[0].count() == 3

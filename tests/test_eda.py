@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tabprobe.operators import eda as E
 
@@ -40,6 +41,32 @@ def test_correlation_null_policy(spark):
     assert prop[("a", "c")] is None and prop[("c", "c")] is None and prop[("a", "b")] is not None
     pair = {(x["col_a"], x["col_b"]): x["r"] for x in E.correlation(df, nulls="pairwise").collect()}
     assert pair[("a", "c")] == 1.0
+    with pytest.raises(ValueError):
+        E.correlation(df, method="spearman", nulls="pairwise")
+
+
+def test_wide_pearson_is_one_pass_and_matches_numpy(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 30)) * 10.0 ** rng.integers(-3, 6, 30) + 1e6
+    x[:, 7] = 0.1
+    cols = [f"c{i}" for i in range(30)]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in cols)).repartition(3)
+    got = {(r["col_a"], r["col_b"]): r["r"] for r in E.correlation(df).collect()}
+    want = np.corrcoef(np.delete(x, 7, axis=1), rowvar=False)
+    keep = [c for c in cols if c != "c7"]
+    assert all(abs(got[a, b] - want[i, j]) < 2e-4 for i, a in enumerate(keep) for j, b in enumerate(keep))
+    assert all(got["c7", c] is None for c in cols)
+
+
+def test_spearman_with_ties_and_hot_values(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    data = pd.DataFrame({"a": np.where(rng.random(300) < 0.6, 0.0, rng.integers(0, 9, 300)), "b": rng.integers(0, 5, 300).astype(float)})
+    data["c"] = data.a * 2 - data.b + rng.normal(size=300)
+    got = {(r["col_a"], r["col_b"]): r["r"] for r in E.correlation(spark.createDataFrame(data), method="spearman").collect()}
+    want = data.rank().corr()
+    assert all(abs(got[a, b] - want.loc[a, b]) < 1e-4 for a in data for b in data)
 
 
 def test_outliers(spark):
@@ -70,7 +97,7 @@ def test_moments_from_profile_order_stats_match(spark):
     df = spark.createDataFrame(rows, "a double, b bigint, c double")
     stats = column_stats(df, skew=True)
     p = profile(df, stats=stats, quartiles=True)
-    shared = E.numeric_moments(df, stats=stats, counts=p.value_counts, order_stats=p.order_stats)
+    shared = E.numeric_moments(df, stats=stats, order_stats=p.order_stats)
     fresh = E.numeric_moments(df)
     for c in ("a", "b", "c"):
         for k in ("median", "q25", "q50", "q75", "skew"):

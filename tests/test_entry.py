@@ -1,6 +1,8 @@
 import importlib.util
 import os
 
+import pytest
+
 
 def _entry():
     path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "__spark_entry__.py")
@@ -17,15 +19,20 @@ def test_entry_runs(spark):
     assert set(mod.oracle_sql()) <= set(mod.queries())
 
 
-def test_some_queries_match_oracle(spark):
+@pytest.mark.parametrize("name", ["query_group_mean", "chart_bar_mean", "eda_outliers_zscore", "clean_fill_median", "chart_scatter",
+                                  "eda_spearman_nulls", "eda_pearson_pairwise", "fingerprint", "documents_csv", "chart_data"])
+def test_queries_match_oracle(spark, name):
     import duckdb
 
+    from tools.oracle_check import TABLES, rows_of
+
     mod = _entry()
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "part"):
+    for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
-    for name in ("query_group_mean", "chart_bar_mean", "eda_outliers_zscore", "clean_fill_median"):
-        got = mod.queries()[name](spark, sf)
-        exp = con.execute(mod.oracle_sql()[name]).fetchall()
-        assert got.count() == len(exp), name
+    df = mod.queries()[name](spark, sf)
+    res = con.execute(mod.oracle_sql()[name])
+    cols = [d[0] for d in res.description]
+    assert sorted(df.columns) == sorted(cols)
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(cols, res.fetchall())

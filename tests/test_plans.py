@@ -9,7 +9,6 @@ import contextlib
 import io
 
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabprobe.functions.values import top_k, value_counts
@@ -44,9 +43,10 @@ def test_group_by_aggregates_map_side(lineitem):
     assert p.index("Exchange hashpartitioning(l_returnflag") < p.index("partial_avg")
 
 
-def test_value_counts_combine_before_shuffle(spark):
-    p = plan(prof.value_count_table(spark.read.parquet(f"{SF}/orders.parquet")))
-    assert "partial_count(1)" in p and "Exchange hashpartitioning(column_name" in p
+def test_distinct_keys_combine_before_shuffle(spark):
+    p = plan(prof.distinct_keys(spark.read.parquet(f"{SF}/orders.parquet")))
+    assert p.count("HashAggregate") == 2 and "Exchange hashpartitioning(position" in p
+    assert "o_orderstatus" not in p[:p.index("Exchange")]  # no cell crosses the shuffle
 
 
 def test_top_k_is_two_phase(spark):
@@ -55,14 +55,8 @@ def test_top_k_is_two_phase(spark):
     assert "WindowGroupLimit" in p and "Partial" in p and "Final" in p
 
 
-def test_mode_lookup_is_two_phase(spark):
-    # The shape clean._mode_values plans: top-1 per column over the value counts.
+def test_mode_lookup(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderstatus", "o_orderpriority")
-    parts = [F.struct(F.lit(i).alias("k"), F.col(c).alias("value")) for i, c in enumerate(orders.columns)]
-    vc = orders.select(F.inline(F.array(*parts))).groupBy("k", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy("k").orderBy(F.desc("cnt"), F.asc("value"))
-    p = plan(vc.withColumn("rn", F.row_number().over(w)).where("rn = 1"))
-    assert "WindowGroupLimit" in p and "Partial" in p
     modes = clean._mode_values(orders, ["o_orderstatus"], {"o_orderstatus": F.lit(True)})
     counts = orders.groupBy("o_orderstatus").count().collect()
     best = min(counts, key=lambda r: (-r["count"], r["o_orderstatus"]))

@@ -1,30 +1,40 @@
+import numpy as np
+
 from tabprobe.operators import profile as P
 
 
-def test_profile_values(sample_df):
-    rows = {r["name"]: r for r in P.profile(sample_df).collect()}
-    assert set(rows) == {"name", "age", "salary", "department"}
-    assert rows["salary"]["null_count"] == 1 and rows["salary"]["null_pct"] == 20.0
-    assert rows["age"]["min"] == 25.0 and rows["age"]["max"] == 35.0
-    assert rows["age"]["median"] == 30.0
-    assert rows["salary"]["median"] == 60000.0  # mean of the two middle values
-    assert rows["salary"]["unique_count"] == 5  # 4 values + null
-    assert rows["department"]["top_values"][0]["value"] in ("Eng", "Sales")
-    assert [t["value"] for t in rows["department"]["top_values"]] == ["Eng", "Sales", "HR"]
-    assert rows["age"]["top_values"] is None
+def test_profile_values(boats_df):
+    rows = {r["name"]: r for r in P.profile(boats_df).collect()}
+    assert set(rows) == {"boat", "length", "sail", "rig"}
+    assert rows["sail"]["null_count"] == 1 and rows["sail"]["null_pct"] == 16.67
+    assert rows["length"]["min"] == 9.0 and rows["length"]["max"] == 21.0
+    assert rows["length"]["median"] == 13.0  # mean of the two middle values
+    assert rows["sail"]["unique_count"] == 6  # 5 values + null
+    assert [(t["value"], t["count"]) for t in rows["rig"]["top_values"]] == [("sloop", 3), ("ketch", 2), ("yawl", 1)]
+    assert rows["length"]["top_values"] is None
 
 
-def test_memory_and_split(sample_df):
-    assert P.memory_estimate(sample_df).first()["estimated_bytes"] > 0
-    prof = P.profile(sample_df)
-    r = P.column_split(prof).first()
+def test_small_answers(boats_df):
+    assert P.memory_estimate(boats_df).first()["estimated_bytes"] > 0
+    r = P.column_split(boats_df).first()
     assert (r["n_numeric"], r["n_categorical"]) == (2, 2)
-    assert {x["name"] for x in P.cardinality(prof).collect()} == {"name", "age", "salary", "department"}
+    full = {r["name"]: r for r in P.profile(boats_df).collect()}
+    assert {x["name"]: x["unique_count"] for x in P.cardinality(boats_df).collect()} == {n: r["unique_count"] for n, r in full.items()}
+    for q in P.quick_profile(boats_df).collect():
+        assert all(q[k] == full[q["name"]][k] for k in ("dtype", "null_count", "unique_count", "mean", "min", "max"))
+
 
+def test_distinct_values_keep_their_precision(spark):
+    df = spark.sql("""SELECT CAST(x AS decimal(20,0)) AS d, timestamp_micros(m) AS t, CAST(t AS binary) AS b, map(k, v) AS m FROM VALUES
+        (12345678901234567890, 1, 'a', 'k', 1), (12345678901234567891, 2, 'b', 'k', 2), (12345678901234567892, 2, 'b', 'k', 1)
+        AS v(x, m, t, k, v)""")
+    got = {r["name"]: r["unique_count"] for r in P.profile(df).collect()}
+    assert got == {"d": 3, "t": 2, "b": 2, "m": 2}
 
-def test_profile_approx(sample_df):
-    rows = {r["name"]: r for r in P.profile(sample_df, exact=False).collect()}
-    assert rows["age"]["unique_count"] == 5
+
+def test_profile_approx(boats_df):
+    rows = {r["name"]: r for r in P.profile(boats_df, exact=False).collect()}
+    assert rows["length"]["unique_count"] == 6
 
 
 def test_empty_table(spark):
@@ -34,8 +44,6 @@ def test_empty_table(spark):
 
 
 def test_wide_table_medians(spark):
-    import numpy as np
-
     rng = np.random.default_rng(5)
     data = rng.integers(-1000, 1000, size=(301, 60)).astype(float)
     data[::7, 3] = np.nan  # NaN values in one column

@@ -3,6 +3,7 @@ import math
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
+import tabprobe.functions.quantiles as Q
 from tabprobe.functions.quantiles import median_ranks, nearest_rank, order_statistics
 
 
@@ -11,22 +12,36 @@ def test_nearest_rank():
     assert median_ranks(4) == (1, 2) and median_ranks(5) == (2, 2)
 
 
-def test_small_bucket_count_needs_several_passes(spark):
-    vals = [float(x) for x in np.random.default_rng(1).normal(size=2000)] + [1e12]
-    df = spark.createDataFrame([(v,) for v in vals], "v double")
-    ranks = [0, 1, 500, 1000, 1999, 2000]
-    got = order_statistics(df, {"v": ranks}, buckets=4)["v"]
+def _passes(spark, vals, ranks, monkeypatch):
+    calls = []
+    run = Q._pass
+    monkeypatch.setattr(Q, "_pass", lambda *a: calls.append(1) or run(*a))
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double").repartition(4)
+    got = order_statistics(df, {"v": ranks})["v"]
+    monkeypatch.setattr(Q, "_pass", run)
     s = sorted(vals)
     assert all(got[k] == s[k] for k in ranks)
+    return len(calls)
+
 
+def test_passes_do_not_follow_the_range_of_values(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SMALL", 64)
+    n = 6_000
+    ranks = [0, 1, n // 4, n // 2, 3 * n // 4, n - 1]
+    counts = [_passes(spark, 10.0 ** np.linspace(-d, d, n), ranks, monkeypatch) for d in (0.5, 150)]
+    hot = np.concatenate([np.zeros(2000), np.arange(2000.0), np.full(2000, 3.5)])
+    counts.append(_passes(spark, hot, ranks, monkeypatch))
+    counts.append(_passes(spark, np.append(np.random.default_rng(1).normal(size=n - 1), 1e300), ranks, monkeypatch))
+    assert max(counts) <= 4, counts
 
-@settings(max_examples=15, deadline=None)
+
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.one_of(st.integers(-50, 50).map(float),
                           st.floats(allow_nan=True, allow_infinity=True, width=64)), min_size=1, max_size=60))
 def test_matches_sorting(spark, vals):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     ranks = list(range(len(vals)))
-    got = order_statistics(df, {"v": ranks}, buckets=8)["v"]
+    got = order_statistics(df, {"v": ranks})["v"]
     # Spark order: -inf < finite < +inf < NaN; -0.0 equals 0.0
     s = sorted(vals, key=lambda x: (1, 0.0) if math.isnan(x) else (0, x))
     for k in ranks:
@@ -34,24 +49,12 @@ def test_matches_sorting(spark, vals):
         assert (math.isnan(a) and math.isnan(b)) or a == b, (k, a, b)
 
 
-def test_driver_and_window_pick_agree(spark, monkeypatch):
-    import tabprobe.functions.quantiles as Q
-    from tabprobe.functions.quantiles import weighted_order_statistics
-    from tabprobe.functions.stats import column_stats
-
+def test_sketched_intervals(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SMALL", 16)
     rng = np.random.default_rng(7)
-    a = [float(x) for x in rng.integers(0, 40, size=900)]
-    b = [float(x) for x in rng.exponential(size=900)]
-    df = spark.createDataFrame(list(zip(a, b)), "a double, b double")
-    ranks = {"a": [0, 224, 449, 450, 899], "b": [3, 450, 898]}
-    local = order_statistics(df, ranks, buckets=16)
-    wc = (spark.createDataFrame([("a", v) for v in a] + [("b", v) for v in b], "column_name string, v double")
-          .groupBy("column_name", "v").count().withColumnRenamed("count", "w"))
-    weighted_local = weighted_order_statistics(wc, ranks, column_stats(df), buckets=16)
-    monkeypatch.setattr(Q, "DRIVER_BUCKET_ROWS", 0)  # force the window path
-    windowed = order_statistics(df, ranks, buckets=16)
-    weighted_windowed = weighted_order_statistics(wc, ranks, column_stats(df), buckets=16)
-    for c, vals in (("a", a), ("b", b)):
-        s = sorted(vals)
-        for k in ranks[c]:
-            assert local[c][k] == windowed[c][k] == weighted_local[c][k] == weighted_windowed[c][k] == s[k]
+    a, b = rng.integers(0, 40, size=9000).astype(float), rng.exponential(size=9000)
+    df = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a double, b double")
+    ranks = {"a": [0, 2224, 4449, 4450, 8999], "b": [3, 4500, 8998]}
+    got = order_statistics(df, ranks)
+    for c, vals in (("a", sorted(a)), ("b", sorted(b))):
+        assert all(got[c][k] == vals[k] for k in ranks[c])

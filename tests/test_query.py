@@ -13,10 +13,15 @@ def test_parse():
         parse_condition("reflect('java.lang.Runtime','getRuntime')")
 
 
-def test_filter(sample_df):
-    assert Q.filter_rows(sample_df, ["age > 28", ("department", "=", "Eng")]).count() == 1
+def test_filter(boats_df):
+    assert Q.filter_rows(boats_df, ["length > 10", ("rig", "=", "sloop")]).count() == 2
     with pytest.raises(ValueError):
-        Q.filter_rows(sample_df, ["nope > 1"])
+        Q.filter_rows(boats_df, ["nope > 1"])
+    assert Q.filter_rows(boats_df, ["rig = sloop and length > 10"]).count() == 2
+    assert Q.filter_rows(boats_df, ["boat = 'Salt and Sand' AND length in (1, 2)"]).count() == 0
+    with pytest.raises(ValueError):
+        Q.filter_rows(boats_df, ["boat = Old Tern"])
+    assert parse_condition("x = 1_000") == ("x", "=", "1_000")
 
 
 def test_aggregate(spark):
@@ -35,6 +40,7 @@ def test_aggregate(spark):
 def test_batch_and_nonnull(spark):
     df = spark.createDataFrame([("a", 1.0, None), ("b", 2.0, 1)], "k string, v double, w int")
     res, warnings = Q.run_batch(df, [{"groupby_columns": ["k"], "aggregations": {"v": "sum"}},
-                                     {"groupby_columns": ["zz"], "aggregations": {"v": "sum"}}])
-    assert res[0] is not None and res[1] is None and warnings
+                                     {"groupby_columns": ["zz"], "aggregations": {"v": "sum"}},
+                                     {"filter_conditions": ["no_such > 1"]}, {"filter_conditions": ["w is not null"]}])
+    assert res[0] is not None and res[1] is None and res[2] is None and res[3].count() == 1 and len(warnings) == 2
     assert Q.drop_null_rows(Q.project(df, ["k", "w"]), ["w"]).count() == 1

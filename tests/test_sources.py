@@ -8,13 +8,48 @@ from tabprobe.sources import fingerprint, readers, store
 from tabprobe.sources.workbook import read_workbooks, workbook_bytes
 
 
-def test_csv(spark, sample_csv):
-    df = readers.load(spark, sample_csv)
-    assert (df.count(), len(df.columns)) == (10, 5)
-    assert df.distinct().count() == 10
-    assert isinstance(df.schema["Start Date"].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+def test_csv(spark, boats_csv):
+    df = readers.load(spark, boats_csv)
+    assert (df.count(), len(df.columns)) == (7, 5)
+    assert df.distinct().count() == 6
+    assert isinstance(df.schema["Launched"].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
     row = readers.shape(df).first()
-    assert (row["rows"], row["cols"]) == (10, 5)
+    assert (row["rows"], row["cols"]) == (7, 5)
+
+
+def test_csv_cells_with_line_ends_and_quotes(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "q.csv")
+    with open(path, "w") as fh:
+        fh.write('id,t\n1,"line one\nline two"\n2,"say ""hi"", ok"\n')
+    assert [tuple(r) for r in readers.load(spark, path).orderBy("id").collect()] == [(1, "line one\nline two"), (2, 'say "hi", ok')]
+
+
+def test_json_lines_by_default(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "lines.json")
+    with open(path, "w") as fh:
+        fh.write("\n".join(json.dumps({"i": i}) for i in range(10)))
+    assert readers.load(spark, path).count() == 10
+    with open(os.path.join(tmpdir_path, "bad.json"), "w") as fh:
+        fh.write('{"i": 1,\n "j"')
+    with pytest.raises(Exception):
+        readers.load(spark, os.path.join(tmpdir_path, "bad.json")).count()
+
+
+def test_directory_without_extension(spark, tmpdir_path):
+    path = "file://" + os.path.join(tmpdir_path, "table")
+    spark.range(4).write.parquet(path)
+    assert readers.detect_format(spark, path) == "parquet" and readers.load(spark, path).count() == 4
+
+
+def test_fingerprint_sees_nulls_names_and_maps(spark):
+    def fp(df):
+        return fingerprint.table_fingerprint(df).first()["fingerprint"]
+
+    a = spark.createDataFrame([(1, None)], "a int, b int")
+    assert fp(a) != fp(spark.createDataFrame([(None, 1)], "a int, b int"))
+    assert fp(a) != fp(a.toDF("a", "c"))
+    maps = spark.sql("SELECT map('k', id) AS m, CAST('x' AS binary) AS b FROM range(3)")
+    assert fp(maps) != fp(maps.limit(2))
 
 
 def test_json_array(spark, tmpdir_path):
@@ -67,13 +102,13 @@ def test_table_fingerprint_order_independent(spark):
     assert fa == fb and fa != fc
 
 
-def test_file_fingerprint(spark, sample_csv, tmpdir_path):
-    fp = fingerprint.file_fingerprint(spark, sample_csv)
-    assert fp == fingerprint.file_fingerprint(spark, sample_csv)
-    with open(sample_csv, "a") as fh:
-        fh.write("Zed,50,1.0,Ops,2020-01-01\n")
-    assert fingerprint.file_fingerprint(spark, sample_csv) != fp
-    assert len(fingerprint.file_fingerprint(spark, sample_csv, content=False)) == 32
+def test_file_fingerprint(spark, boats_csv, tmpdir_path):
+    fp = fingerprint.file_fingerprint(spark, boats_csv)
+    assert fp == fingerprint.file_fingerprint(spark, boats_csv)
+    with open(boats_csv, "a") as fh:
+        fh.write("Wren,8,300.0,yawl,2020-02-02\n")
+    assert fingerprint.file_fingerprint(spark, boats_csv) != fp
+    assert len(fingerprint.file_fingerprint(spark, boats_csv, content=True)) == 32
 
 
 def test_store_roundtrip(spark, tmpdir_path):
@@ -82,5 +117,5 @@ def test_store_roundtrip(spark, tmpdir_path):
     assert store.load(spark, tmpdir_path, key) is None
     store.save(tmpdir_path, key, {"t": df})
     got = store.load(spark, tmpdir_path, key)
-    assert got["t"].collect() == df.collect()
+    assert got[0]["t"].collect() == df.collect() and got[1] == {}
     assert store.cache_key("abc", "profile", {"k": 1}) != key
