@@ -2,8 +2,8 @@
 
 ``binaryFile`` lists the files; ``mapInPandas`` opens one workbook per row with the
 standard library (zip + XML) and emits long cells (path, row, col, value, is_num);
-the header row names the columns, and a group-by on (path, row) with a pivot over
-the known column numbers rebuilds the rows. Columns whose cells are all numbers
+each workbook's header row names its columns, and a group-by on (path, row) with a pivot over
+the names rebuilds the rows. Columns whose cells are all numbers
 become double (or bigint when all are whole numbers).
 """
 
@@ -19,6 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabprobe.functions.exprs import col
+from tabprobe.session import materialize
+
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -92,27 +95,28 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """The active sheet of every workbook under ``path``; first row = header, an
-    empty header cell -> ``column_{i}``; no cells -> an empty table."""
+    empty header cell -> ``column_{i}``; no cells -> an empty table.
+
+    Each workbook is parsed once. Columns meet by their header's name, so workbooks may order them
+    differently or lack some; of a name that one workbook repeats the leftmost column counts.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
-    cells = files.mapInPandas(_cells, CELL_SCHEMA)
-    # The header row of each workbook: (col, name) pairs, bounded by the column count.
-    header = {r["col"]: r["value"] for r in cells.where(F.col("row") == 0).select("col", "value").distinct().collect()}
-    spark_cols = sorted({r["col"] for r in cells.select("col").distinct().collect()})
-    if not spark_cols:
+    cells = materialize(files.mapInPandas(_cells, CELL_SCHEMA), "workbook_cells")
+    header = cells.where("row = 0").select("path", "col", F.col("value").alias("name"))
+    unnamed = F.concat(F.lit(EMPTY_HEADER.format(i="")), F.col("col").cast("string"))
+    body = cells.where("row > 0").join(header, ["path", "col"], "left").withColumn("name", F.coalesce("name", unnamed))
+    # One row per column name reaches the driver.
+    named = header.select("name", "col").unionByName(body.select("name", "col")).groupBy("name").agg(F.min("col").alias("col"))
+    names = [r["name"] for r in named.orderBy("col", "name").collect()]
+    if not names:
         return spark.createDataFrame([], "_empty string").select()
-    names = [header.get(i, EMPTY_HEADER.format(i=i)) for i in range(max(spark_cols) + 1)]
-    body = cells.where(F.col("row") > 0)
-    wide = (body.groupBy("path", "row").pivot("col", list(range(len(names))))
-            .agg(F.first(F.struct("value", "is_num"))))
+    wide = (body.groupBy("path", "row").pivot("name", names)
+            .agg(F.min_by("value", "col")))
     # Types: all-number columns become numbers.
-    kinds = body.groupBy("col").agg(F.bool_and("is_num").alias("num"),
-                                    F.bool_and(F.col("value").rlike(r"^-?[0-9]+$")).alias("whole")).collect()
-    kind = {r["col"]: ("bigint" if r["whole"] else "double") if r["num"] else "string" for r in kinds}
-    out = []
-    for i, n in enumerate(names):
-        v = F.col(f"`{i}`")["value"]
-        out.append((v.cast(kind[i]) if kind.get(i, "string") != "string" else v).alias(n))
-    return wide.orderBy("path", "row").select(*out)
+    kinds = body.groupBy("name").agg(F.bool_and("is_num").alias("num"),
+                                     F.bool_and(F.col("value").rlike(r"^-?[0-9]+$")).alias("whole")).collect()
+    kind = {r["name"]: ("bigint" if r["whole"] else "double") if r["num"] else "string" for r in kinds}
+    return wide.select(*[col(n).cast(kind.get(n, "string")).alias(n) for n in names])
 
 
 # ------------------------------------------------------------------ writer (for round trips)

@@ -82,6 +82,14 @@ def test_workbook_directory(spark, tmpdir_path):
     assert sorted(r["Product"] for r in df.collect()) == ["Doohickey", "Gadget", "Widget"]
 
 
+def test_workbooks_meet_by_header_name(spark, tmpdir_path):
+    for name, header, rows in (("a", ["id", "name"], [[1, "x"]]), ("b", ["name", "id", "extra"], [["y", 2, 0.5]])):
+        with open(os.path.join(tmpdir_path, f"{name}.xlsx"), "wb") as fh:
+            fh.write(workbook_bytes(header, rows))
+    df = read_workbooks(spark, tmpdir_path)
+    assert sorted((r["id"], r["name"], r["extra"]) for r in df.collect()) == [(1, "x", None), (2, "y", 0.5)]
+
+
 def test_bad_format(spark, tmpdir_path):
     path = os.path.join(tmpdir_path, "data.xyz")
     open(path, "w").write("x")
