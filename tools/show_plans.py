@@ -23,7 +23,7 @@ def main() -> None:
     plans = {
         "filter (Q1)": query.filter_rows(li, ["l_quantity > 30", "l_returnflag = 'R'"]).select("l_orderkey", "l_quantity"),
         "group-by (Q5)": query.aggregate(li, ["l_returnflag"], {"l_extendedprice": "mean", "l_quantity": "sum"})[0],
-        "value counts (profile)": prof.value_count_table(table(spark, sf, "orders")),
+        "distinct keys (profile)": prof.distinct_keys(table(spark, sf, "orders")),
         "top-10 per column (P10/E5)": top_k(value_counts(table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"]), 10),
         "bar top-15 (V2)": charts.bar_mean(table(spark, sf, "part"), "p_brand", "p_retailprice"),
     }
