@@ -350,6 +350,17 @@ def q_profile_record(spark, sf):
     return store.profile_records(prof.profile(table(spark, sf, "customer")))
 
 
+def q_profile_record_fields(spark, sf):
+    """The JSON records read back field by field."""
+    r = store.profile_records(prof.profile(table(spark, sf, "customer")))
+
+    def field(n, kind):
+        return F.get_json_object("record", f"$.{n}").cast(kind).alias(n)
+
+    return r.select("name", field("dtype", "string"), field("null_count", "bigint"), field("null_pct", "double"), field("unique_count", "bigint"),
+                    *[field(n, "double") for n in ("mean", "median", "std", "min", "max")])
+
+
 def q_fingerprint(spark, sf):
     return fingerprint.table_fingerprint(table(spark, sf, "documents"))
 
@@ -534,6 +545,7 @@ QUERIES = {
     "shape": q_shape,
     "empty_gate": q_empty_gate,
     "profile_record": q_profile_record,
+    "profile_record_fields": q_profile_record_fields,
     "fingerprint": q_fingerprint,
     "cache_reload": q_cache_reload,
     "analyze": q_analyze,
@@ -715,6 +727,7 @@ def _pairwise(cols: list[str]) -> str:
 
 
 ORACLE.update({
+    "profile_record_fields": f"SELECT * EXCLUDE (position) FROM ({O.profile_sql('customer', O.CUSTOMER_TYPES)})",
     "eda_spearman_nulls": O.pearson_sql(_RANKED_DL, ["doc_id", "n_chars", "quality", "toxic", "toxic_or_0"]),
     "eda_pearson_pairwise": _pairwise(_DL_NUM),
     "eda_outliers_guards": (
