@@ -224,13 +224,13 @@ def _within_clusters(rows: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return small.unionByName(bound).unionByName(shared)
 
 
-def _across(rows: DataFrame, close: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(rows: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of one bucket in different components that can still be similar.
 
     Clusters are the components of hub links whose signatures agree: a crowd of copies is one
     cluster, though the copies edited most may be components of their own.
     """
-    clusters = connected_components(close).select(F.col("u").alias("id"), F.col("root").alias("cluster"))
+    clusters = connected_components(links).select(F.col("u").alias("id"), F.col("root").alias("cluster"))
     rows = _mixed(rows).select("key", "id", "comp", "n").join(clusters, "id", "left")
     rows = materialize(rows.withColumn("cluster", F.coalesce("cluster", "id")), "open_buckets")
     pairs = _across_clusters(rows, nodes, percent).unionByName(_within_clusters(rows, sets, percent))
@@ -285,13 +285,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tries = best.unionByName(second).select(F.greatest("u", "b.v").alias("u"), F.least("u", "b.v").alias("v")).distinct()
     links = materialize(_confirmed(tries, sets, percent), "confirmed")
     first = connected_components(links)
+    stars = first.select("u", F.col("root").alias("v"))  # the same components as links, settled in fewer rounds
 
     labelled = (rows.join(first.select(F.col("u").alias("id"), "root"), "id", "left")
                 .select("key", "id", "n", F.coalesce("root", "id").alias("comp")))
     labelled = materialize(labelled, "labelled")
-    across = materialize(_across(labelled, close.select("u", "v"), nodes, sets, percent), "across")
+    across = materialize(_across(labelled, close.select("u", "v").unionByName(stars), nodes, sets, percent), "across")
     more = _confirmed(_agreeing(across, nodes, threshold), sets, percent)
-    roots = connected_components(links.unionByName(more))
+    roots = connected_components(stars.unionByName(more))
 
     out = members.join(roots.select(F.col("u").alias("node"), "root"), "node", "left")
     comp = F.coalesce("root", "node")
