@@ -1,7 +1,8 @@
 """Benchmark decontamination on templates.
 
 Texts become token runs in which numbers, names and units are typed placeholders. Windows of
-``WINDOW`` tokens hash their template; document windows meet benchmark windows by a hash join.
+``WINDOW`` tokens hash their template, and also their case-folded values, since a copy in another
+letter case has other names; document windows meet benchmark windows by a hash join.
 Windows of one alignment (same document, item and offset) must cover enough tokens of the item,
 and their slots must be consistent: each item value stands for one document value, as in a
 question asked again with other numbers or names.
@@ -20,12 +21,12 @@ from tabprobe.llm.text import whole
 from tabprobe.session import materialize
 
 WINDOW = 8
-# A window with fewer words outside slots hashes its values instead.
+# A window with fewer words outside slots hashes its values alone.
 LEAST_WORDS = 4
 # Tokens of an item that one alignment must cover; shorter items must be covered whole.
 LEAST_COVER = 13
 CONSISTENT = 0.9
-# Benchmark windows that may be broadcast to filter document windows (8 bytes each); more meet them by shuffle alone.
+# Hashes of benchmark windows that may be broadcast to filter document windows (8 bytes each); more meet them by shuffle alone.
 BROADCAST_WINDOWS = 2_000_000
 UNITS = ("km m cm mm kg g mg lb lbs oz ft inch inches mile miles mph kmh l ml h hr hrs hour hours min mins minute minutes s sec "
          "second seconds day days week weeks month months year years percent dollar dollars euro euros usd eur pound pounds "
@@ -35,16 +36,28 @@ NUMBER, NAME, UNIT = 1, 2, 3
 _MARKS = np.array([0, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B], np.uint64)
 
 
+def _folded(data: np.ndarray, offsets: np.ndarray):
+    """(bytes, offsets) of the case-folded texts. Folding keeps every run of ``words.CLASSES``, at most its length changes."""
+    if not len(data) or data.max() < 128:
+        return words.FOLD[data], offsets
+    raw = data.tobytes()
+    texts = [raw[a:b].decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape") for a, b in zip(offsets[:-1], offsets[1:])]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+
+
 def _tokens(data: np.ndarray, offsets: np.ndarray):
-    """(start, end, text number, kind, value hash) of each run of letters and digits.
+    """(case-folded values, text number, kind, value hash) of each run of letters and digits.
 
-    Numbers begin with a digit; names with A-Z or a Latin-1 capital; units follow a number.
+    Values are (bytes, start, end). Numbers begin with a digit; names with A-Z or a Latin-1 capital;
+    units follow a number.
     """
     start, end, text = words.spans(data, offsets, words.CLASSES)
     keep = words.CLASSES[data[start]] == 1 if len(start) else np.zeros(0, bool)
-    start, end, text = start[keep], end[keep], text[keep]
-    folded = words.FOLD[data]
-    h = words.hashes(folded, start, end)
+    start, text = start[keep], text[keep]
+    folded, ends = _folded(data, offsets)
+    low, high, _ = words.spans(folded, ends, words.CLASSES)
+    low, high = low[keep], high[keep]
+    h = words.hashes(folded, low, high)
     first = data[start] if len(start) else np.zeros(0, np.uint8)
     second = data[np.minimum(start + 1, max(len(data) - 1, 0))] if len(start) else first
     kind = np.zeros(len(start), np.int64)
@@ -53,7 +66,7 @@ def _tokens(data: np.ndarray, offsets: np.ndarray):
     if len(start) > 1:
         unit = np.isin(h[1:], _UNIT_HASHES) & (kind[:-1] == NUMBER) & (text[1:] == text[:-1]) & (kind[1:] != NUMBER)
         kind[1:][unit] = UNIT
-    return start, end, text, kind, h
+    return (folded, low, high), text, kind, h
 
 
 def _unit_hashes() -> np.ndarray:
@@ -66,24 +79,29 @@ _UNIT_HASHES = _unit_hashes()
 
 
 def _windows(kind: np.ndarray, h: np.ndarray, text: np.ndarray, size: int):
-    """(first token, hash) of each window of ``size`` tokens within a text."""
+    """(first token, hash) of windows of ``size`` tokens within a text.
+
+    Each window hashes its values; one with a number or unit also hashes them as slots, and one with
+    a name hashes names, numbers and units as slots.
+    """
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    template = np.where(kind == 0, h, _MARKS[kind])
-    literals = np.concatenate([[0], np.cumsum(kind == 0)])
     factor = np.uint64(0xD6E8FEB86659FD93)
-    by_template, by_value = np.full(n, size, np.uint64), np.full(n, size + 1000, np.uint64)
-    for j in range(size):
-        by_template = words.mix(by_template * factor + template[j:j + n])
-    poor = np.flatnonzero(literals[size:] - literals[:-size] < min(LEAST_WORDS, size))
-    if len(poor):
-        acc = by_value[poor]
+    inside = text[:n] == text[size - 1:]
+    number, name = (kind == NUMBER) | (kind == UNIT), kind == NAME
+    out = []
+    for seed, slots, needed in ((0, np.zeros(len(h), bool), None), (1000, number, number), (2000, number | name, name)):
+        use = inside
+        if needed is not None:
+            some, literals = (np.concatenate([[0], np.cumsum(x)]) for x in (needed, ~slots))
+            use = inside & (some[size:] > some[:-size]) & (literals[size:] - literals[:-size] >= min(LEAST_WORDS, size))
+        at = np.flatnonzero(use)
+        token, acc = np.where(slots, _MARKS[kind], h), np.full(len(at), size + seed, np.uint64)
         for j in range(size):
-            acc = words.mix(acc * factor + h[poor + j])
-        by_template[poor] = acc
-    at = np.flatnonzero(text[:n] == text[size - 1:])
-    return at, by_template[at]
+            acc = words.mix(acc * factor + token[at + j])
+        out.append((at, acc))
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
 ROWS = "id bigint, pos int, size int, n_tokens int, h bigint, kinds binary, tokens string"
@@ -106,7 +124,7 @@ def _window_rows(base: DataFrame, sizes: tuple[int, ...], whole_short: bool, wan
         for batch in batches:
             ids = batch.column("id")
             for row, data, offsets in words.chunks(batch.column("text")):
-                start, end, text, kind, h = _tokens(data, offsets)
+                (folded, low, high), text, kind, h = _tokens(data, offsets)
                 counts = np.bincount(text, minlength=len(offsets) - 1)
                 first = np.cumsum(counts) - counts
                 for size in sizes:
@@ -120,8 +138,8 @@ def _window_rows(base: DataFrame, sizes: tuple[int, ...], whole_short: bool, wan
                         at, wh = at[hit], wh[hit]
                     if not len(at):
                         continue
-                    raw = data.tobytes()
-                    strings = [b"\n".join(raw[start[i]:end[i]] for i in range(a, a + size)).decode("utf-8", "replace") for a in at]
+                    raw = folded.tobytes()
+                    strings = [b"\n".join(raw[low[i]:high[i]] for i in range(a, a + size)).decode("utf-8", "replace") for a in at]
                     kinds = kind.astype(np.uint8).tobytes()
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array(row + text[at])), pa.array((at - first[text[at]]).astype(np.int32)),
@@ -151,6 +169,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  item_text_col: str = "text") -> DataFrame:
     """Documents that hold a passage of a benchmark item, numbers, names and units free to differ.
 
+    Letter case is free too. Names are told by their capital, so where a document writes them in another
+    case than the item they must be the same; numbers and units may still differ.
+
     Returns id_col, item_col, ``covered`` (item tokens that the best alignment covers), ``item_tokens``,
     ``slots``, ``consistent`` (slots whose values map one to one): a row per document and item with
     covered >= min(13, item_tokens) and consistent >= 0.9 * slots. Items with equal text count as

@@ -119,6 +119,25 @@ def test_decontamination_slots_must_agree(spark):
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 7)]
 
 
+def found(spark, item, texts):
+    """covered, by number of the text, of the texts that hold the item."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {r["doc_id"]: r["covered"] for r in contaminated(docs, spark.createDataFrame([(7, item)], "item_id bigint, text string")).collect()}
+
+
+TRAIN = "A train leaves Paris at 9 and travels 120 km before it meets Anna near the old stone bridge."
+
+
+def test_decontamination_in_another_letter_case(spark):
+    other = TRAIN.replace("9", "8").replace("120", "75").lower()
+    apart = "nothing to see in these words "
+    assert found(spark, TRAIN, [apart + TRAIN.lower(), TRAIN.upper() + " " + apart, apart + other, apart + TRAIN.title(), "A train leaves Paris at 9"]) == {
+        0: 19, 1: 19, 2: 19, 3: 19}
+    short = "Who wrote the Émile of Élise?"
+    assert found(spark, short, [short.upper(), "so " + short.lower(), "who wrote the emile of elise"]) == {0: 6, 1: 6}
+    assert found(spark, TRAIN.upper(), [TRAIN, TRAIN.lower()]) == {0: 19, 1: 19}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_match_sql(spark, name):
     import duckdb
