@@ -1,11 +1,13 @@
 """Benchmark decontamination on templates.
 
-Texts become token runs in which numbers, names and units are typed placeholders. Windows of
-``WINDOW`` tokens hash their template, and also their case-folded values, since a copy in another
-letter case has other names; document windows meet benchmark windows by a hash join.
-Windows of one alignment (same document, item and offset) must cover enough tokens of the item,
-and their slots must be consistent: each item value stands for one document value, as in a
-question asked again with other numbers or names.
+Texts become token runs in which numbers, names and units are typed placeholders. A whole number
+(``1,200``, ``-3.5``, ``9:30``) is one token, and a run of capitalised words (``New York``) one name slot,
+so values of another shape move nothing. Windows of ``WINDOW`` slots hash their template, and windows
+of tokens their case-folded values, since a copy in another letter case has other names; document
+windows meet benchmark windows by a hash join. Windows of one alignment (same document, item and
+offset, in tokens or in slots) must cover enough tokens of the item, and their slots must be
+consistent: each item value stands for one document value, as in a question asked again with other
+numbers or names.
 """
 
 from __future__ import annotations
@@ -46,27 +48,57 @@ def _folded(data: np.ndarray, offsets: np.ndarray):
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray):
-    """(case-folded values, text number, kind, value hash) of each run of letters and digits.
+    """(text number, kind, value hash, slot number) of each token: a whole number, or a run of letters and digits.
 
-    Values are (bytes, start, end). Numbers begin with a digit; names with A-Z or a Latin-1 capital;
-    units follow a number.
+    Whole numbers are runs that begin with a digit, joined by one ``,`` ``.`` or ``:`` between digits, and a
+    sign that nothing but a blank or bracket precedes. Names begin with A-Z or a Latin-1 capital; units
+    follow a number. A slot is a token, or names with only blanks, one hyphen or apostrophe between them.
     """
     start, end, text = words.spans(data, offsets, words.CLASSES)
-    keep = words.CLASSES[data[start]] == 1 if len(start) else np.zeros(0, bool)
-    start, text = start[keep], text[keep]
+    if not len(start):
+        return text, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keep = words.CLASSES[data[start]] == 1
+    start, end, text = start[keep], end[keep], text[keep]
     folded, ends = _folded(data, offsets)
     low, high, _ = words.spans(folded, ends, words.CLASSES)
     low, high = low[keep], high[keep]
-    h = words.hashes(folded, low, high)
-    first = data[start] if len(start) else np.zeros(0, np.uint8)
-    second = data[np.minimum(start + 1, max(len(data) - 1, 0))] if len(start) else first
+
+    def byte(at):
+        return data[np.clip(at, 0, len(data) - 1)]
+
+    def digit(at):
+        return (byte(at) >= 48) & (byte(at) <= 57)
+
+    minus = (byte(start) == 0xE2) & (byte(start + 1) == 0x88) & (byte(start + 2) == 0x92) & (end - start > 3)  # U+2212
+    number = digit(start) | minus & digit(start + 3)
+    inner = (number[:-1] & digit(end[:-1] - 1) & digit(start[1:]) & (text[1:] == text[:-1]) & (start[1:] - end[:-1] == 1)
+             & np.isin(byte(end[:-1]), list(b",.:")))
+    first = np.flatnonzero(np.concatenate([[True], ~inner]))
+    last = np.concatenate([first[1:], [len(start)]]) - 1
+    start, end, text, low, high, number = start[first], end[last], text[first], low[first], high[last], number[first]
+    begin = offsets[text]
+    sign = number & (start > begin) & np.isin(byte(start - 1), list(b"+-"))
+    sign &= (start - 1 == begin) | words.BLANK[byte(start - 2)] | np.isin(byte(start - 2), list(b"([{"))
+    h = words.hashes(folded, low - sign, high)
     kind = np.zeros(len(start), np.int64)
-    kind[(first >= 65) & (first <= 90) | (first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)] = NAME
-    kind[(first >= 48) & (first <= 57)] = NUMBER
-    if len(start) > 1:
-        unit = np.isin(h[1:], _UNIT_HASHES) & (kind[:-1] == NUMBER) & (text[1:] == text[:-1]) & (kind[1:] != NUMBER)
-        kind[1:][unit] = UNIT
-    return (folded, low, high), text, kind, h
+    lead, second = byte(start), byte(start + 1)
+    kind[(lead >= 65) & (lead <= 90) | (lead == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)] = NAME
+    kind[number] = NUMBER
+    unit = np.isin(h[1:], _UNIT_HASHES) & (kind[:-1] == NUMBER) & (text[1:] == text[:-1]) & (kind[1:] != NUMBER)
+    kind[1:][unit] = UNIT
+    marks = np.concatenate([[0], np.cumsum(words.CLASSES[data] == 2)])
+    near = (marks[start[1:]] == marks[end[:-1]]) | (start[1:] - end[:-1] == 1) & np.isin(byte(end[:-1]), list(b"-'"))
+    run = near & (kind[1:] == NAME) & (kind[:-1] == NAME) & (text[1:] == text[:-1])
+    return text, kind, h, np.cumsum(np.concatenate([[True], ~run])) - 1
+
+
+def _slots(text: np.ndarray, kind: np.ndarray, h: np.ndarray, slot: np.ndarray):
+    """(first token, tokens, text number, kind, value hash) of each slot; a run of names hashes its words."""
+    first = np.flatnonzero(np.diff(slot, prepend=-1))
+    size = np.diff(np.append(first, len(slot)))
+    place = (np.arange(len(slot)) - first[slot]).astype(np.uint64)
+    value = np.add.reduceat(words.mix(h + place * np.uint64(0x9E3779B97F4A7C15)), first) if len(first) else h
+    return first, size, text[first], kind[first], np.where(size > 1, value, h[first])
 
 
 def _unit_hashes() -> np.ndarray:
@@ -78,38 +110,42 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
-def _windows(kind: np.ndarray, h: np.ndarray, text: np.ndarray, size: int):
-    """(first token, hash) of windows of ``size`` tokens within a text.
+_FACTOR = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _windows(kind: np.ndarray, h: np.ndarray, text: np.ndarray, size: int, of_slots: bool):
+    """(first, hash) of windows of ``size`` tokens, or slots, within a text.
 
-    Each window hashes its values; one with a number or unit also hashes them as slots, and one with
-    a name hashes names, numbers and units as slots.
+    Each window of tokens hashes its values; one with a number or unit also hashes them as slots.
+    Windows of slots with a name hash names, numbers and units as slots.
     """
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    factor = np.uint64(0xD6E8FEB86659FD93)
     inside = text[:n] == text[size - 1:]
     number, name = (kind == NUMBER) | (kind == UNIT), kind == NAME
     out = []
-    for seed, slots, needed in ((0, np.zeros(len(h), bool), None), (1000, number, number), (2000, number | name, name)):
+    for seed, open_, needed in ((2000, number | name, name),) if of_slots else ((0, np.zeros(len(h), bool), None), (1000, number, number)):
         use = inside
         if needed is not None:
-            some, literals = (np.concatenate([[0], np.cumsum(x)]) for x in (needed, ~slots))
+            some, literals = (np.concatenate([[0], np.cumsum(x)]) for x in (needed, ~open_))
             use = inside & (some[size:] > some[:-size]) & (literals[size:] - literals[:-size] >= min(LEAST_WORDS, size))
         at = np.flatnonzero(use)
-        token, acc = np.where(slots, _MARKS[kind], h), np.full(len(at), size + seed, np.uint64)
+        token, acc = np.where(open_, _MARKS[kind], h), np.full(len(at), size + seed, np.uint64)
         for j in range(size):
-            acc = words.mix(acc * factor + token[at + j])
+            acc = words.mix(acc * _FACTOR + token[at + j])
         out.append((at, acc))
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
-ROWS = "id bigint, pos int, size int, n_tokens int, h bigint, kinds binary, tokens string"
+ROWS = "id bigint, of_slots boolean, pos int, slot int, size int, n_tokens int, h bigint, kinds binary, hashes binary, parts binary"
 
 
-def _window_rows(base: DataFrame, sizes: tuple[int, ...], whole_short: bool, wanted) -> DataFrame:
-    """A row per window: of ``WINDOW`` tokens, and of each shorter size that items have.
+def _window_rows(base: DataFrame, sizes: tuple[tuple[bool, int], ...], whole_short: bool, wanted) -> DataFrame:
+    """A row per window of tokens or slots: of ``WINDOW``, and of each shorter size that items have.
 
+    ``pos`` and ``slot``: its first token and the slot of that. ``hashes``: 64-bit values of its tokens or
+    slots. ``parts``: for each, its slot's first token, number of tokens and value.
     ``whole_short``: shorter windows only where they are the whole text (the benchmark's side).
     ``wanted``: broadcast sorted hashes to keep, or None for all.
     """
@@ -124,45 +160,62 @@ def _window_rows(base: DataFrame, sizes: tuple[int, ...], whole_short: bool, wan
         for batch in batches:
             ids = batch.column("id")
             for row, data, offsets in words.chunks(batch.column("text")):
-                (folded, low, high), text, kind, h = _tokens(data, offsets)
-                counts = np.bincount(text, minlength=len(offsets) - 1)
-                first = np.cumsum(counts) - counts
-                for size in sizes:
-                    at, wh = _windows(kind, h, text, size)
+                text, kind, h, slot = _tokens(data, offsets)
+                first, length, s_text, s_kind, s_hash = _slots(text, kind, h, slot)
+                counts, s_counts = (np.bincount(t, minlength=len(offsets) - 1) for t in (text, s_text))
+                begin, s_begin = np.cumsum(counts) - counts, np.cumsum(s_counts) - s_counts
+                s_parts = np.column_stack([first - begin[s_text], length, s_hash.view(np.int64)])
+                for of_slots, size in sizes:
+                    mine = (s_kind, s_hash, s_text, s_counts) if of_slots else (kind, h, text, counts)
+                    at, wh = _windows(*mine[:3], size, of_slots)
                     if whole_short and size < WINDOW:
-                        mine = counts[text[at]] == size
-                        at, wh = at[mine], wh[mine]
+                        short = mine[3][mine[2][at]] == size
+                        at, wh = at[short], wh[short]
                     if keep is not None:
                         maybe = np.flatnonzero(seen[wh >> np.uint64(42)])
                         hit = maybe[np.isin(wh[maybe], keep)]
                         at, wh = at[hit], wh[hit]
                     if not len(at):
                         continue
-                    raw = folded.tobytes()
-                    strings = [b"\n".join(raw[low[i]:high[i]] for i in range(a, a + size)).decode("utf-8", "replace") for a in at]
-                    kinds = kind.astype(np.uint8).tobytes()
+                    doc = mine[2][at]
+                    kinds, parts = mine[0].astype(np.uint8), s_parts if of_slots else s_parts[slot]
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(row + text[at])), pa.array((at - first[text[at]]).astype(np.int32)),
-                         pa.array(np.full(len(at), size, np.int32)), pa.array(counts[text[at]].astype(np.int32)), pa.array(wh.view(np.int64)),
-                         pa.array([kinds[a:a + size] for a in at], pa.binary()), pa.array(strings, pa.string())],
-                        names=["id", "pos", "size", "n_tokens", "h", "kinds", "tokens"])
+                        [ids.take(pa.array(row + doc)), pa.array(np.full(len(at), of_slots)),
+                         pa.array(((first[at] if of_slots else at) - begin[doc]).astype(np.int32)),
+                         pa.array(((at if of_slots else slot[at]) - s_begin[doc]).astype(np.int32)),
+                         pa.array(np.full(len(at), size, np.int32)), pa.array(counts[doc].astype(np.int32)), pa.array(wh.view(np.int64)),
+                         *(pa.array([x[a:a + size].tobytes() for a in at], pa.binary()) for x in (kinds, mine[1], parts))],
+                        names=["id", "of_slots", "pos", "slot", "size", "n_tokens", "h", "kinds", "hashes", "parts"])
 
     return base.mapInArrow(run, ROWS)
 
 
-def _aligned(hits: list[dict]) -> tuple[int, int, int]:
-    """(tokens covered, slots, consistent slots) of the windows of one alignment."""
-    values: dict[int, tuple[int, str, str]] = {}
+def _aligned(hits: list[dict]) -> tuple[int, int, int, int]:
+    """(tokens covered, tokens counted, slots, consistent slots) of the windows of one alignment.
+
+    A run of names whose words differ counts as one token.
+    """
+    lengths, same, values = {}, {}, {}
     for hit in hits:
-        for i, (kind, mine, theirs) in enumerate(zip(hit["kinds"], hit["item_tokens"].split("\n"), hit["doc_tokens"].split("\n"), strict=True)):
-            values[hit["item_pos"] + i] = (kind, mine, theirs)
-    pairs = Counter((kind, mine, theirs) for kind, mine, theirs in values.values() if kind)
+        theirs = np.frombuffer(hit["doc_hashes"], np.int64).tolist()
+        for i, (first, length, mine) in enumerate(np.frombuffer(hit["parts"], np.int64).reshape(-1, 3).tolist()):
+            kind = hit["kinds"][i]
+            lengths[first] = length
+            if hit["of_slots"]:
+                same.setdefault(first, set())
+                values.setdefault(first, (kind, mine, theirs[i]))
+            else:  # these words are equal, whatever their case makes of them in the document
+                same.setdefault(first, set()).add(hit["item_pos"] + i)
+                if len(same[first]) == length:
+                    values[first] = (kind, mine, mine if kind == NAME else theirs[i])
+    pairs = Counter(v for v in values.values() if v[0])
     to, of = {}, {}
     for (kind, mine, theirs), n in pairs.items():
-        to[kind, mine] = max(to.get((kind, mine), (0, "")), (n, theirs))
-        of[kind, theirs] = max(of.get((kind, theirs), (0, "")), (n, mine))
+        to[kind, mine] = max(to.get((kind, mine), (0, 0)), (n, theirs))
+        of[kind, theirs] = max(of.get((kind, theirs), (0, 0)), (n, mine))
     good = sum(n for (kind, mine, theirs), n in pairs.items() if to[kind, mine][1] == theirs and of[kind, theirs][1] == mine)
-    return len(values), sum(pairs.values()), good
+    covered = sum(lengths[first] if first in values else len(tokens) for first, tokens in same.items())
+    return covered, sum(max(len(tokens), 1) for tokens in same.values()), sum(pairs.values()), good
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -174,28 +227,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Returns id_col, item_col, ``covered`` (item tokens that the best alignment covers), ``item_tokens``,
     ``slots``, ``consistent`` (slots whose values map one to one): a row per document and item with
-    covered >= min(13, item_tokens) and consistent >= 0.9 * slots. Items with equal text count as
+    covered >= 13 (a run of names whose words differ counts once) or covered = item_tokens, and
+    consistent >= 0.9 * slots. Items with equal text count as
     the one with the smallest id. Rows without an id, null, and tokenless texts match nothing;
     documents that repeat an id count together. Empty tables give an empty table.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("bigint").alias("id"), whole(F.col(item_text_col)).alias("text")).where("id is not null")
     items = items.groupBy("text").agg(F.min("id").alias("id")).select("id", "text")
-    sizes = tuple(range(WINDOW, 0, -1))
+    sizes = tuple((of_slots, n) for of_slots in (False, True) for n in range(WINDOW, 0, -1))
     bench = materialize(_window_rows(items, sizes, True, None), "benchmark_windows")
-    found = bench.groupBy("size").agg(F.count("*").alias("n")).collect()  # at most WINDOW rows
-    used = tuple(sorted((r["size"] for r in found), reverse=True)) or (WINDOW,)
+    found = bench.groupBy("of_slots", "size").agg(F.count("*").alias("n")).collect()  # at most 2 * WINDOW rows
+    used = tuple(sorted(((r["of_slots"], r["size"]) for r in found), reverse=True)) or ((False, WINDOW),)
     wanted = None
     if sum(r["n"] for r in found) <= BROADCAST_WINDOWS:
         hashes = bench.select("h").distinct().toArrow().column("h").to_numpy()
         wanted = spark.sparkContext.broadcast(np.sort(hashes.view(np.uint64)))
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), whole(F.col(text_col)).alias("text")).where("id is not null")
     mine = _window_rows(base, used, False, wanted)
-    theirs = bench.select("h", "size", F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.col("n_tokens").alias("item_tokens_n"),
-                          "kinds", F.col("tokens").alias("item_tokens"))
-    hits = (mine.select("h", "size", "id", "pos", F.col("tokens").alias("doc_tokens")).join(theirs, ["h", "size"])
-            .groupBy("id", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), F.col("item_tokens_n").alias("n"))
-            .agg(F.collect_list(F.struct("item_pos", "kinds", "item_tokens", "doc_tokens")).alias("hits")))
+    theirs = bench.select("h", "of_slots", "size", F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.col("slot").alias("item_slot"),
+                          F.col("n_tokens").alias("n"), "kinds", "parts")
+    met = mine.select("h", "of_slots", "size", "id", "pos", "slot", F.col("hashes").alias("doc_hashes")).join(theirs, ["h", "of_slots", "size"])
+    # A window of tokens also counts in the alignment of slots that it lies in.
+    by_slot = F.struct(F.lit(True).alias("slots"), (F.col("slot") - F.col("item_slot")).alias("shift"))
+    by_token = F.struct(F.lit(False).alias("slots"), (F.col("pos") - F.col("item_pos")).alias("shift"))
+    hits = (met.withColumn("by", F.explode(F.when(F.col("of_slots"), F.array(by_slot)).otherwise(F.array(by_token, by_slot))))
+            .groupBy("id", "item", "n", "by")
+            .agg(F.collect_list(F.struct("of_slots", "item_pos", "kinds", "parts", "doc_hashes")).alias("hits")))
 
     def judge(batches):
         import pyarrow as pa
@@ -203,8 +261,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         for batch in batches:
             rows = []
             for doc, item, n, found_ in zip(*(batch.column(c).to_pylist() for c in ("id", "item", "n", "hits")), strict=True):
-                covered, slots, good = _aligned(found_)
-                if covered >= min(LEAST_COVER, n) and good >= CONSISTENT * slots:
+                covered, counted, slots, good = _aligned(found_)
+                if (counted >= LEAST_COVER or covered == n) and good >= CONSISTENT * slots:
                     rows.append((doc, item, covered, n, slots, good))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],

@@ -138,6 +138,24 @@ def test_decontamination_in_another_letter_case(spark):
     assert found(spark, TRAIN.upper(), [TRAIN, TRAIN.lower()]) == {0: 19, 1: 19}
 
 
+def test_decontamination_values_of_another_shape(spark):
+    def asked(*values):
+        text = TRAIN
+        for old, new in zip(("Paris", "9", "120", "Anna"), values, strict=True):
+            text = text.replace(old, new)
+        return "we ask you this: " + text
+
+    texts = [asked("Paris", "9", "1,200", "Anna"), asked("Rome", "9:30", "3.5", "Paul"), asked("New York", "-7", "1,250.75", "Mary Ann O'Neill"),
+             asked("Rio de Janeiro", "9", "120", "Anna"), asked("New\nYork", "9", "120", "Jean-Luc")]
+    # "de" splits the name of the fourth: the longer alignment begins with its last word
+    assert found(spark, TRAIN, texts) == {0: 19, 1: 19, 2: 19, 3: 16, 4: 19}
+    short = "What is 15 percent of 80 plus 7?"
+    assert found(spark, short, ["so: " + short.replace("15", "1,2.5").replace("80", "-3,400.5"), short.replace("plus", "minus")]) == {0: 8}
+    many = "How far does Anna Smith drive if 3 buses cross 20 bridges and 4 tunnels toward New York at noon?"
+    new = many.replace("Anna Smith", "Zoe").replace("3", "1,300").replace("20", "2.5").replace("4", "7:15").replace("New York", "San Jose City")
+    assert found(spark, many, ["Quiz! " + new, new.upper()]) == {0: 20}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_match_sql(spark, name):
     import duckdb
