@@ -7,7 +7,7 @@ of tokens their case-folded values, since a copy in another letter case has othe
 windows meet benchmark windows by a hash join. Windows of one alignment (same document, item and
 offset, in tokens or in slots) must cover enough tokens of the item, and their slots must be
 consistent: each item value stands for one document value, as in a question asked again with other
-numbers or names.
+numbers or names. Different numbers or units may come to be equal, different names may not.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ LEAST_WORDS = 4
 # Tokens of an item that one alignment must cover; shorter items must be covered whole.
 LEAST_COVER = 13
 CONSISTENT = 0.9
+# Slots that may be inconsistent in an item covered whole, however few it has.
+LEAST_STRAY = 1
 # Hashes of benchmark windows that may be broadcast to filter document windows (8 bytes each); more meet them by shuffle alone.
 BROADCAST_WINDOWS = 2_000_000
 UNITS = ("km m cm mm kg g mg lb lbs oz ft inch inches mile miles mph kmh l ml h hr hrs hour hours min mins minute minutes s sec "
@@ -213,7 +215,8 @@ def _aligned(hits: list[dict]) -> tuple[int, int, int, int]:
     for (kind, mine, theirs), n in pairs.items():
         to[kind, mine] = max(to.get((kind, mine), (0, 0)), (n, theirs))
         of[kind, theirs] = max(of.get((kind, theirs), (0, 0)), (n, mine))
-    good = sum(n for (kind, mine, theirs), n in pairs.items() if to[kind, mine][1] == theirs and of[kind, theirs][1] == mine)
+    good = sum(n for (kind, mine, theirs), n in pairs.items()
+               if to[kind, mine][1] == theirs and (kind != NAME or of[kind, theirs][1] == mine))
     covered = sum(lengths[first] if first in values else len(tokens) for first, tokens in same.items())
     return covered, sum(max(len(tokens), 1) for tokens in same.values()), sum(pairs.values()), good
 
@@ -226,11 +229,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     case than the item they must be the same; numbers and units may still differ.
 
     Returns id_col, item_col, ``covered`` (item tokens that the best alignment covers), ``item_tokens``,
-    ``slots``, ``consistent`` (slots whose values map one to one): a row per document and item with
-    covered >= 13 (a run of names whose words differ counts once) or covered = item_tokens, and
-    consistent >= 0.9 * slots. Items with equal text count as
-    the one with the smallest id. Rows without an id, null, and tokenless texts match nothing;
-    documents that repeat an id count together. Empty tables give an empty table.
+    ``slots``, ``consistent`` (slots whose item value stands for one document value, and of names also
+    the reverse): a row per document and item with covered >= 13 (a run of names whose words differ
+    counts once) or covered = item_tokens, and consistent >= 0.9 * slots, or all slots but one if
+    covered = item_tokens. Items with equal text count as the one with the smallest id. Rows without
+    an id, null, and tokenless texts match nothing; documents that repeat an id count together. Empty
+    tables give an empty table.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("bigint").alias("id"), whole(F.col(item_text_col)).alias("text")).where("id is not null")
@@ -262,7 +266,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             rows = []
             for doc, item, n, found_ in zip(*(batch.column(c).to_pylist() for c in ("id", "item", "n", "hits")), strict=True):
                 covered, counted, slots, good = _aligned(found_)
-                if (counted >= LEAST_COVER or covered == n) and good >= CONSISTENT * slots:
+                agree = good >= CONSISTENT * slots or covered == n and slots - good <= LEAST_STRAY
+                if (counted >= LEAST_COVER or covered == n) and agree:
                     rows.append((doc, item, covered, n, slots, good))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns],

@@ -156,6 +156,15 @@ def test_decontamination_values_of_another_shape(spark):
     assert found(spark, many, ["Quiz! " + new, new.upper()]) == {0: 20}
 
 
+def test_decontamination_with_values_that_coincide(spark):
+    rome = TRAIN.replace("Paris", "Rome").replace("9", "30").replace("120", "30")
+    one = TRAIN.replace("Paris", "Rome").replace("Anna", "Rome")  # two names become one: one slot strays
+    assert found(spark, TRAIN, [rome, one]) == {0: 19, 1: 19}
+    longer = "ask how Anna and her friend Ben ask their uncle Carl for 3 apples and 4 pears on their way home."
+    two = longer.replace("Ben", "Anna").replace("Carl", "Anna")  # two names stray
+    assert found(spark, longer, [longer.replace("Anna", "Zoe").replace("4", "3"), two]) == {0: 21}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_match_sql(spark, name):
     import duckdb
