@@ -10,7 +10,9 @@
    whose common parts suffice. Buckets with more than ``CROWD`` clusters are first split by their
    nodes' other bands. Those pairs pass the same checks, and components are taken again.
 
-A link of similarity s shares no band with probability (1 - s^ROWS)^BANDS: 1e-5 at 0.8.
+With p = s^ROWS, a link of similarity s shares no band with probability (1 - p)^BANDS: 5e-7 at 0.8.
+Two nodes of different clusters meet in a crowded bucket only if they share a second band, so the
+miss that counts is that of fewer than two bands, BANDS * p * (1 - p)^(BANDS - 1) more: 8e-6 at 0.8.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from tabprobe.llm.components import connected_components
 from tabprobe.llm.text import whole
 from tabprobe.session import materialize
 
-BANDS, ROWS = 38, 6
+BANDS, ROWS = 48, 6
 # Signature agreement may fall this many standard deviations short of the threshold.
 SLACK = 4.5
 CROWD = 8

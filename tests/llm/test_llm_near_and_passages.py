@@ -6,6 +6,7 @@ import re
 import numpy as np
 
 import tabprobe.llm.suffix_dedup as S
+from tabprobe.llm import minhash
 from tabprobe.llm.components import connected_components
 from tabprobe.llm.minhash import near_duplicates
 from tabprobe.llm.suffix import common_prefixes, suffix_array
@@ -62,6 +63,14 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in lone) == [(0, 0, True), (0, 0, True), (3, 3, True), (3, 3, True)]
 
 
+def test_links_seldom_share_fewer_than_two_bands():
+    # crowded buckets ask for a second band
+    band = 0.8 ** minhash.ROWS
+    none = (1 - band) ** minhash.BANDS
+    one = minhash.BANDS * band * (1 - band) ** (minhash.BANDS - 1)
+    assert none + one <= 1e-5
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, j) for j in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
