@@ -11,9 +11,11 @@ from tabprobe.llm.chat import format_chats, read_back
 from tabprobe.llm.decontaminate import contaminated
 from tabprobe.llm.exact_dedup import exact_dedup
 from tabprobe.llm.line_dedup import dedup_lines
+from tabprobe.llm.manifest import FIELDS, build_manifest, leaf_digest, proof_digest, proofs, verify
 from tabprobe.llm.minhash import near_duplicates
 from tabprobe.llm.piece_codec import encode_decode
 from tabprobe.llm.quality import quality_scores
+from tabprobe.llm.sql import manifest_sql
 from tabprobe.llm.suffix_dedup import dedup_passages
 from tabprobe.llm.toxicity import toxicity_scores
 from tabprobe.llm.url_filter import HOST_RULES, WORD_RULES, judge_urls
@@ -80,6 +82,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    without_breaks = F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    later = leaf_digest([without_breaks if c == "text" else F.col(c) for c in FIELDS])
+    manifest = build_manifest(_table(spark, sf_dir, "documents"), tampered=later)
+    return verify(proofs(manifest)).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+                                           proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
@@ -91,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -116,6 +128,7 @@ WITH n AS (SELECT doc_id, sha256({_FOLD.format("coalesce(text, '')")}) AS text_s
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM n WINDOW w AS (PARTITION BY text_sha256)""",
+    "op11_merkle_manifest": manifest_sql(),
 }
 
 
