@@ -46,3 +46,44 @@ g0 AS (SELECT f.doc_id, 'all' AS source, f.leaf || sr.h AS leaf, f.acc, f.p, sr.
 SELECT g.doc_id, substr(g.leaf, 1, 64) AS leaf, substr(g.leaf, 65) AS subroot, r.h AS root, sha256(g.p) AS proof_sha256,
        g.acc AS folded_root, g.acc = r.h AS verified
 FROM g{top_levels} g, ({roots}) r"""
+
+
+def license_sql() -> str:
+    """Words with their places; phrases compared word by word; notices by votes of equal word runs."""
+    from tabprobe.llm.license_scan import DRIFT, LEAST_SCORE, NOTICES, PHRASES, gram_rows, template_words
+
+    def literal(v):
+        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+
+    grams = ", ".join("(" + ", ".join(literal(v) for v in (r[0], r[1], r[3], r[6], *r[7:])) + ")" for r in gram_rows(NOTICES))
+    numbers = ", ".join(f"({i}, {[j for j, w in enumerate(template_words(t.text)) if w.isdigit()]}::INTEGER[])" for i, t in enumerate(NOTICES))
+    phrases = ", ".join(f"('{t.label}', {len(template_words(t.text))}, '{' '.join(template_words(t.text))}')" for t in PHRASES)
+    return f"""
+WITH texts AS (SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM texts),
+runs AS (SELECT doc_id, p, w AS w0, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+phrases(label, length, phrase) AS (VALUES {phrases}),
+base AS (
+  SELECT doc_id, p, label FROM runs JOIN phrases
+  ON CASE WHEN length = 2 THEN w0 || ' ' || w1 ELSE w0 || ' ' || w1 || ' ' || w2 END = phrase),
+b AS (SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, list(DISTINCT label) AS ls FROM base GROUP BY doc_id),
+grams(tpl, label, length, tpos, t0, t1, t2) AS (VALUES {grams}),
+numbers(tpl, nums) AS (VALUES {numbers}),
+votes AS (
+  SELECT doc_id, tpl, label, length, p, tpos, p - tpos AS diag FROM runs JOIN grams ON w0 = t0 AND w1 = t1 AND w2 = t2),
+steps AS (
+  SELECT *, CASE WHEN diag - lag(diag) OVER o <= least({DRIFT}, (length - 1) // 2) THEN 0 ELSE 1 END AS new
+  FROM votes WINDOW o AS (PARTITION BY doc_id, tpl ORDER BY diag, tpos)),
+grouped AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, tpl ORDER BY diag, tpos ROWS UNBOUNDED PRECEDING) AS grp FROM steps),
+spans AS (
+  SELECT doc_id, tpl, label, length, grp, list_distinct(flatten(list([tpos, tpos + 1, tpos + 2]))) AS covered, max(p) + 3 - min(p) AS span
+  FROM grouped GROUP BY doc_id, tpl, label, length, grp),
+scored AS (
+  SELECT doc_id, label, len(covered) / greatest(length, span) AS score, list_has_all(covered, nums) AS held
+  FROM spans JOIN numbers USING (tpl)),
+n AS (SELECT doc_id, max(score) AS score, list(DISTINCT label) FILTER (held AND score >= {LEAST_SCORE}) AS ls FROM scored GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(array_to_string(list_sort(b.ls), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(n.ls, [])))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(score, 0.0) END::DOUBLE AS score
+FROM texts LEFT JOIN b USING (doc_id) LEFT JOIN n USING (doc_id)"""
