@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from tabprobe.llm.chat import format_chats, read_back
 from tabprobe.llm.decontaminate import contaminated
 from tabprobe.llm.exact_dedup import exact_dedup
+from tabprobe.llm.lexical import ranked_search
 from tabprobe.llm.license_scan import scan_licenses
 from tabprobe.llm.line_dedup import dedup_lines
 from tabprobe.llm.manifest import FIELDS, build_manifest, leaf_digest, proof_digest, proofs, verify
 from tabprobe.llm.minhash import near_duplicates
 from tabprobe.llm.piece_codec import encode_decode
 from tabprobe.llm.quality import quality_scores
-from tabprobe.llm.sql import license_sql, manifest_sql
+from tabprobe.llm.sql import license_sql, manifest_sql, ranked_sql
 from tabprobe.llm.suffix_dedup import dedup_passages
 from tabprobe.llm.toxicity import toxicity_scores
 from tabprobe.llm.url_filter import HOST_RULES, WORD_RULES, judge_urls
@@ -92,6 +93,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                                            proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_ranked_search": op12_ranked_search,
     "op13_license_scan": op13_license_scan,
 }
 
@@ -135,6 +141,7 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM n WINDOW w AS (PARTITION BY text_sha256)""",
     "op11_merkle_manifest": manifest_sql(),
+    "op12_ranked_search": ranked_sql(),
     "op13_license_scan": license_sql(),
 }
 

@@ -48,6 +48,25 @@ SELECT g.doc_id, substr(g.leaf, 1, 64) AS leaf, substr(g.leaf, 65) AS subroot, r
 FROM g{top_levels} g, ({roots}) r"""
 
 
+def ranked_sql() -> str:
+    """Every document scored for every item."""
+    cut = f"regexp_extract_all({_FOLD.format('text')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH terms AS (SELECT doc_id, unnest({cut}) AS t FROM documents WHERE text IS NOT NULL),
+lengths AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+total AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM lengths),
+asked AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({cut}) AS t FROM benchmark WHERE text IS NOT NULL)),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM terms WHERE t IN (SELECT t FROM asked) GROUP BY doc_id, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, total),
+impacts AS (
+  SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * nd) // l)))) AS impact
+  FROM tf JOIN w USING (t) JOIN lengths USING (doc_id), total),
+scores AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN impacts USING (t) GROUP BY item_id, doc_id),
+ranks AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= 10"""
+
+
 def license_sql() -> str:
     """Words with their places; phrases compared word by word; notices by votes of equal word runs."""
     from tabprobe.llm.license_scan import DRIFT, LEAST_SCORE, NOTICES, PHRASES, gram_rows, template_words
