@@ -1,36 +1,40 @@
-"""Exact order statistics (the value at a given rank) in a number of passes that depends on the
-row count alone.
+"""Exact order statistics (the value at a given rank) by radix histograms over 64-bit keys.
 
 Spark's exact ``percentile``/``median`` keep every distinct value of a group in one buffer, and a
-global aggregate merges them in a single task. Here each pass is one distributed aggregate:
-
-1. a mergeable sketch (``approx_percentile``) gives ``GRID`` evenly spaced quantiles of each open
-   interval; the rank's neighbours on that grid bracket the wanted value, because the sketch's rank
-   error is far below the grid's step;
-2. the next pass counts exactly how many values lie below, at and between the bracket's ends. A
-   rank that falls on an end is solved. Else the interval between the ends, which holds some
-   3 / GRID of the rows, is open, and its own grid is taken in the same pass;
-3. an interval of some ``SMALL`` values is sorted whole instead of sketched, and solved.
-
-Rows shrink by some 600 a pass whatever the values' distribution: 2 passes up to 2 million rows,
-3 up to 10^9, 4 up to 10^12. Values never gather in one task: a group's buffer is the sketch or
-some ``SMALL`` values.
+global aggregate merges them in a single task. Here every value has a 64-bit key in the same order (a long
+is its own key; a double's bits, flipped below zero, with NaN last), and each pass is one aggregate
+for all columns: the keys of each open interval are counted by their next bits, each bucket with its
+least and greatest key. The wanted ranks fall into one bucket each.
+
+* A bucket whose least and greatest key agree is the answer, however many rows share it.
+* Otherwise the keys between them are the open interval of the next pass.
+* An interval of at most ``SMALL`` values has a bucket for each of its keys, and is solved.
+
+The tasks count their own rows first, so a task sends at most ``CELLS`` buckets for all columns
+together, and nothing depends on the number of rows but the number of passes: 2 for some millions, 3
+for billions of rows unless the values are bunched on several scales; never more than 64 bits ask for.
+Only one row per wanted rank reaches the driver. Columns do not multiply the plan: it holds no
+expression per column or interval.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabprobe.functions.exprs import col
 
-GRID = 2000
-ACCURACY = 40_000
+#: Buckets that a task may send in one pass, over all open intervals.
+CELLS = 1 << 20
+MOST_BITS, LEAST_BITS = 16, 6
 SMALL = 4096
 QUARTILES = (0.25, 0.5, 0.75)
-INF = float("inf")
+_FLIP = (1 << 63) - 1
+_NAN_KEY = 0x7FF8 << 48
 
 
 def nearest_rank(n: int, q: float) -> int:
@@ -49,111 +53,153 @@ def finite_stats(df: DataFrame, cols: list[str]) -> dict[str, dict]:
     return column_stats(df.select(*[col(c) for c in cols]))
 
 
-def _solve_special(c: str, k: int, s: dict, out: dict) -> int | None:
-    """Solve a rank that lies outside the column or on infinities or NaN; else its rank among the finite values."""
-    n = s["n"]
-    if k < 0 or k >= n:
-        out[c][k] = None
-    elif k < s["ninf"]:
-        out[c][k] = -INF
-    elif k >= n - s["nan"]:
-        out[c][k] = float("nan")
-    elif k >= n - s["nan"] - s["pinf"]:
-        out[c][k] = INF
-    else:
-        return k - s["ninf"]
-    return None
+def is_long(dt: T.DataType) -> bool:
+    """Integer columns keep their 64 bits; the other numbers are compared as doubles."""
+    return isinstance(dt, T.IntegralType)
+
+
+def double_key(v: float) -> int:
+    if math.isnan(v):
+        return _NAN_KEY
+    bits = struct.unpack("<q", struct.pack("<d", v + 0.0))[0]  # -0.0 counts as 0.0
+    return bits if bits >= 0 else bits ^ _FLIP
 
 
-def _pass(base: DataFrame, keys: dict[str, str], intervals: list[tuple], wanted: list[list[int]], small: bool) -> dict[int, list]:
-    """One aggregate over all intervals (column, lo, hi, a, b): the values strictly between lo and hi
-    are counted below a, at a, between a and b, and at b; None is unbounded.
+def key_value(key: int, long: bool) -> int | float:
+    if long:
+        return key
+    return struct.unpack("<d", struct.pack("<q", key if key >= 0 else key ^ _FLIP))[0]
 
-    For each wanted rank (among the values between lo and hi): the solved value, or the bracket
-    for the next pass. Only these numbers reach the driver, one row an interval.
+
+def _sorted_keys(values):
+    import numpy as np
+
+    if values.dtype == np.int64:
+        keys = values.copy()
+    else:
+        v = values + 0.0
+        keys = v.view(np.int64)
+        keys = np.where(keys < 0, keys ^ np.int64(_FLIP), keys)
+        keys[np.isnan(v)] = _NAN_KEY
+    keys.sort()
+    return keys
+
+
+def _runs(buckets, counts, low, high):
+    """Rows sorted by bucket, summed by bucket."""
+    import numpy as np
+
+    at = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
+    return buckets[at], np.add.reduceat(counts, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
+
+
+def _count_buckets(intervals: list[list[tuple[int, int, int, int, bool]]]):
+    """intervals: for each column, (number, lo, hi, shift, whole); the keys of an interval are counted by
+    (key - lo) >> shift. ``whole``: all keys belong to it, and lo and hi only say where most lie."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        parts: dict[int, list] = {}
+        held = 0
+
+        def merge(number):
+            cells = [np.concatenate(x) for x in zip(*parts[number])]
+            order = np.argsort(cells[0], kind="stable")
+            return _runs(*[x[order] for x in cells])
+
+        for batch in batches:
+            for j, spans in enumerate(intervals):
+                keys = _sorted_keys(pc.drop_null(batch.column(j)).to_numpy(zero_copy_only=False))
+                for number, lo, hi, shift, whole in spans:
+                    k = keys if whole else keys[np.searchsorted(keys, lo):np.searchsorted(keys, hi, "right")]
+                    if not len(k):
+                        continue
+                    # As unsigned numbers: the distance may take all 64 bits.
+                    far = np.clip(k, lo, hi).view(np.uint64) - np.array(lo, np.int64).view(np.uint64)
+                    at = ((far >> np.uint64(shift)) ^ np.uint64(1 << 63)).view(np.int64)  # signed, in the same order
+                    parts.setdefault(number, []).append(_runs(at, np.ones(len(k), np.int64), k, k))
+                    held += len(parts[number][-1][0])
+            if held > 2 * CELLS:
+                parts = {number: [merge(number)] for number in parts}
+                held = sum(len(p[0][0]) for p in parts.values())
+        for number in parts:
+            cells = merge(number)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells[0]), number, np.int32)), *map(pa.array, cells)],
+                                             names=["number", "bucket", "held", "low", "high"])
+
+    return run
+
+
+def _pass(base: DataFrame, names: list[str], intervals: list[dict]) -> list[dict]:
+    """One aggregate over all open intervals: for each wanted rank the bucket that holds it.
+
+    intervals: column, lo, hi, rows, ranks (within the interval), whole. Returns for each rank
+    number, rank, before (rows of the interval in lower buckets), held, low, high.
     """
-    parts, keep = [], None
-    for i, (c, lo, hi, a, b) in enumerate(intervals):
-        v = F.col(keys[c])
-        inside = (v > F.lit(-INF if lo is None else lo)) & (v < F.lit(INF if hi is None else hi))
-        # Per-column range filter first: it can reach the Parquet reader as row-group pruning.
-        keep = inside if keep is None else keep | inside
-        side = F.when(v < F.lit(a), -2).when(v == F.lit(a), -1) if a is not None else F.when(F.lit(False), 0)
-        if b is not None:
-            side = side.when(v == F.lit(b), 1).when(v > F.lit(b), 2)
-        parts.append(F.struct(F.when(inside, F.lit(i)).alias("rid"), side.otherwise(0).alias("side"), v.alias("v")))
-    rows = base.where(keep).select(F.inline(F.array(*parts))).where("rid is not null")
-    between = F.when(F.col("side") == 0, F.col("v"))
-    values = F.sort_array(F.collect_list(between)) if small else \
-        F.approx_percentile(between, [i / GRID for i in range(GRID + 1)], ACCURACY)
-    sums = rows.groupBy("rid").agg(F.count_if(F.col("side") == -2).alias("lt"), F.count_if(F.col("side") == -1).alias("at_a"),
-                                   F.count(between).alias("m"), F.count_if(F.col("side") == 1).alias("at_b"), values.alias("values"))
-    ranks = F.array(*[F.array(*[F.lit(k).cast("bigint") for k in ks]) for ks in wanted])
-
-    def answer(k):
-        r = k - F.col("lt") - F.col("at_a")
-        step = F.floor(r / F.greatest(F.col("m") - 1, F.lit(1)) * GRID).cast("int")
-        place = (F.when(k < F.col("lt"), "under").when(r < 0, "a").when(r < F.col("m"), "between")
-                 .when(r < F.col("m") + F.col("at_b"), "b").otherwise("over"))
-        inner = place == "between"
-        if small:
-            found, low, high = F.when(inner, F.try_element_at("values", (r + 1).cast("int"))), F.lit(None), F.lit(None)
-        else:
-            found = F.lit(None)
-            low = F.when(inner & (step >= 1), F.try_element_at("values", step))
-            high = F.when(inner & (step + 2 <= GRID), F.try_element_at("values", step + 3))
-        return F.struct(place.alias("place"), r.alias("r"), found.cast("double").alias("found"), low.cast("double").alias("low"),
-                        high.cast("double").alias("high"))
-
-    out = sums.select("rid", "lt", "at_a", "m", "at_b", F.transform(F.element_at(ranks, F.col("rid") + 1), answer).alias("x"))
-    return {r["rid"]: [(r, x) for x in r["x"]] for r in out.collect()}
-
-
-def order_statistics(df: DataFrame, ranks: dict[str, list[int]], stats: dict[str, dict] | None = None) -> dict[str, dict[int, float | None]]:
+    spark = base.sparkSession
+    bits = max(LEAST_BITS, min(MOST_BITS, int(math.log2(CELLS / len(intervals)))))
+    small = min(SMALL, CELLS // len(intervals))
+    spans: dict[str, list] = {}
+    for i, x in enumerate(intervals):
+        shift = 0 if x["rows"] <= small else max(0, (x["hi"] - x["lo"]).bit_length() - bits)
+        spans.setdefault(x["column"], []).append((i, x["lo"], x["hi"], shift, x["whole"]))
+    cols = [c for c in names if c in spans]
+    counted = base.select(*[F.col(c) for c in cols]).mapInArrow(
+        _count_buckets([spans[c] for c in cols]), "number int, bucket bigint, held bigint, low bigint, high bigint")
+    cells = counted.groupBy("number", "bucket").agg(F.sum("held").alias("held"), F.min("low").alias("low"), F.max("high").alias("high"))
+    lower = Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cells.withColumn("before", F.coalesce(F.sum("held").over(lower), F.lit(0)))
+    wanted = spark.createDataFrame([(i, r) for i, x in enumerate(intervals) for r in x["ranks"]], "number int, rank bigint")
+    hit = placed.join(F.broadcast(wanted), "number").where("before <= rank and rank < before + held")
+    return [r.asDict() for r in hit.collect()]
+
+
+def order_statistics(df: DataFrame, ranks: dict[str, list[int]], stats: dict[str, dict] | None = None) -> dict[str, dict[int, float | int | None]]:
     """Value at each 0-based rank among the non-null values of each column of ``df``.
 
-    ``ranks`` maps a column name to the ranks wanted; values are compared as doubles
-    in Spark's order (-inf < finite < +inf < NaN). Ranks outside [0, n) give None.
+    ``ranks`` maps a column name to the ranks wanted. Integer columns give integers, exact at any size;
+    other values are compared as doubles in Spark's order (-inf < finite < +inf < NaN).
+    Ranks outside [0, n) give None.
     """
     cols = [c for c in ranks if ranks[c]]
-    out: dict[str, dict[int, float | None]] = {c: {} for c in ranks}
+    out: dict[str, dict[int, float | int | None]] = {c: {} for c in ranks}
     if not cols:
         return out
-    keys = {c: f"_q{i}" for i, c in enumerate(cols)}
-    base = df.select(*[(col(c).cast("double") + F.lit(0.0)).alias(keys[c]) for c in cols])  # -0.0 counts as 0.0
     if stats is None:
         stats = finite_stats(df, cols)
-    # Open targets: [column, rank, (lo, hi, a, b), rank between lo and hi, most values that the next pass may return]
-    left = []
+    long = {c: is_long(df.schema[c].dataType) for c in cols}
+    names = {c: f"_q{i}" for i, c in enumerate(cols)}
+    back = {v: k for k, v in names.items()}
+    base = df.select(*[col(c).cast("bigint" if long[c] else "double").alias(names[c]) for c in cols])
+    open_ = []
     for c in cols:
-        for k in sorted(set(ranks[c])):
-            at = _solve_special(c, k, stats[c], out)
-            if at is not None and stats[c]["fmin"] == stats[c]["fmax"]:
-                out[c][k] = stats[c]["fmin"]
-            elif at is not None:
-                left.append([c, k, (None, None, None, None), at, stats[c]["n"]])
-    while left:
-        again = []
-        for small in (True, False):
-            todo = [t for t in left if (t[4] <= SMALL) == small]
-            groups: dict[tuple, list] = {}
-            for t in todo:
-                groups.setdefault((t[0], *t[2]), []).append(t)
-            if not groups:
-                continue
-            got = _pass(base, keys, list(groups), [[t[3] for t in ts] for ts in groups.values()], small)
-            for rid, ((c, lo, hi, a, b), ts) in enumerate(groups.items()):
-                for t, (row, x) in zip(ts, got[rid], strict=True):
-                    if x["place"] in ("a", "b"):
-                        out[c][t[1]] = a if x["place"] == "a" else b
-                    elif x["found"] is not None:
-                        out[c][t[1]] = x["found"]
-                    elif x["place"] == "between":
-                        again.append([c, t[1], (a if a is not None else lo, b if b is not None else hi, x["low"], x["high"]), x["r"],
-                                      math.ceil(row["m"] * 4 / GRID)])
-                    else:  # the sketch's error bound rules this out; look on that side all the same
-                        under = x["place"] == "under"
-                        again.append([c, t[1], (lo, a, None, None) if under else (b, hi, None, None),
-                                      t[3] if under else x["r"] - row["m"] - row["at_b"], row["lt"] if under else SMALL + 1])
-        left = again
+        s = stats[c]
+        for k in ranks[c]:
+            if not 0 <= k < s["n"]:
+                out[c][k] = None
+        inside = sorted({k for k in ranks[c] if 0 <= k < s["n"]})
+        if not inside:
+            continue
+        ends = [_NAN_KEY] * 2 if s["fmin"] is None else \
+            [max(-_FLIP, min(_FLIP, int(v))) if long[c] else double_key(v) for v in (s["fmin"], s["fmax"])]
+        open_.append({"column": names[c], "lo": ends[0], "hi": ends[1], "rows": s["n"], "whole": True, "ranks": inside,
+                      "asked": {k: [k] for k in inside}})
+    while open_:
+        # Past CELLS / 2 ** LEAST_BITS open intervals a pass takes them in turns.
+        most = CELLS >> LEAST_BITS
+        found, again = [], {}
+        for start in range(0, len(open_), most):
+            part = open_[start:start + most]
+            found += [(part[r["number"]], r) for r in _pass(base, list(back), part)]
+        for x, r in found:
+            for k in x["asked"][r["rank"]]:
+                c = back[x["column"]]
+                if r["low"] == r["high"]:
+                    out[c][k] = key_value(r["low"], long[c])
+                    continue
+                at = again.setdefault((c, r["low"]), {"column": x["column"], "lo": r["low"], "hi": r["high"], "rows": r["held"], "whole": False, "asked": {}})
+                at["asked"].setdefault(r["rank"] - r["before"], []).append(k)
+        open_ = [x | {"ranks": sorted(x["asked"])} for x in again.values()]
     return out

@@ -70,7 +70,7 @@ def numeric_moments(df: DataFrame, cols: list[str] | None = None, stats: dict |
         lo, hi = median_ranks(n)
         s["median"] = (v[lo] + v[hi]) / 2.0
         for q, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75")):
-            s[name] = v[nearest_rank(n, q)]
+            s[name] = float(v[nearest_rank(n, q)])
         sd = s["std"]
         # mean((x-mean)^3) / s^3 with the sample s: Spark's skewness uses the
         # population s, so rescale by ((n-1)/n)^1.5. Undefined for s null or 0.

@@ -49,6 +49,39 @@ def test_matches_sorting(spark, vals):
         assert (math.isnan(a) and math.isnan(b)) or a == b, (k, a, b)
 
 
+def test_longs_keep_all_bits(spark):
+    rng = np.random.default_rng(11)
+    vals = [int(x) for x in rng.integers(-(2 ** 63), 2 ** 63 - 1, size=2000)] + [2 ** 53 + i for i in range(40)] + [-(2 ** 63), 2 ** 63 - 1]
+    df = spark.createDataFrame([(v, v % 7) for v in vals], "v bigint, w int")
+    ranks = [0, 1, len(vals) // 3, len(vals) // 2, len(vals) - 1, len(vals)]
+    got = order_statistics(df, {"v": ranks, "w": ranks})
+    for c, s in (("v", sorted(vals)), ("w", sorted(v % 7 for v in vals))):
+        assert [got[c][k] for k in ranks] == [s[k] if k < len(s) else None for k in ranks]
+
+
+def test_many_columns_take_few_passes(spark, monkeypatch):
+    calls = []
+    run = Q._pass
+    monkeypatch.setattr(Q, "_pass", lambda *a: calls.append(len(a[2])) or run(*a))
+    monkeypatch.setattr(Q, "SMALL", 32)
+    rng = np.random.default_rng(12)
+    data = rng.normal(size=(400, 200)) * 10.0 ** rng.integers(-9, 9, size=200)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in data], ", ".join(f"c{i} double" for i in range(200)))
+    got = order_statistics(df, {f"c{i}": list(median_ranks(400)) for i in range(200)})
+    for i in (0, 99, 199):
+        s = sorted(data[:, i])
+        assert [got[f"c{i}"][k] for k in (199, 200)] == [s[199], s[200]]
+    assert len(calls) <= 3 and calls[0] == 200
+
+
+def test_all_values_alike_or_not_finite(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(1.5, nan, inf, None), (1.5, nan, -inf, None), (1.5, nan, nan, None)], "a double, b double, c double, d double")
+    got = order_statistics(df, {"a": [0, 2], "b": [1], "c": [0, 1, 2], "d": [0]})
+    assert got["a"] == {0: 1.5, 2: 1.5} and math.isnan(got["b"][1]) and got["d"] == {0: None}
+    assert (got["c"][0], got["c"][1]) == (-inf, inf) and math.isnan(got["c"][2])
+
+
 def test_sketched_intervals(spark, monkeypatch):
     monkeypatch.setattr(Q, "SMALL", 16)
     rng = np.random.default_rng(7)
