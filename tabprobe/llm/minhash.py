@@ -8,7 +8,8 @@
 4. Buckets that still hold several components pair nodes across components only. A crowd of copies
    is one cluster of agreeing signatures; in it, only nodes pair that share an uncommon shingle or
    whose common parts suffice. Buckets with more than ``CROWD`` clusters are first split by their
-   nodes' other bands. Those pairs pass the same checks, and components are taken again.
+   nodes' other bands. The join itself compares two bits of each minimum, so that it emits only pairs that
+   are likely links; they pass the same checks, and components are taken again.
 
 With p = s^ROWS, a link of similarity s shares no band with probability (1 - p)^BANDS: 5e-7 at 0.8.
 Two nodes of different clusters meet in a crowded bucket only if they share a second band, so the
@@ -64,10 +65,13 @@ def _signatures(values: np.ndarray, offsets: np.ndarray):
         for j in range(ROWS):
             acc = words.mix(acc * np.uint64(0xD6E8FEB86659FD93) + minima[:, band * ROWS + j])
         keys[:, band] = acc
-    return keys, (minima >> np.uint64(24)).astype(np.uint8)
+    low = (minima >> np.uint64(24)).astype(np.uint8)
+    return keys, low, np.packbits(np.unpackbits(low & 3, axis=1).reshape(len(low), -1, 8)[:, :, 6:].reshape(len(low), -1), axis=1)
 
 
-FEATURES = "id bigint, n_shingles bigint, digest binary, bands array<bigint>, sig binary"
+#: Two bits of each minimum, thirty-two minima in a column: plain columns, which a join can compare cheaply.
+SMALL_SIG = [f"m{i}" for i in range(BANDS * ROWS // 32)]
+FEATURES = "id bigint, n_shingles bigint, digest binary, bands array<bigint>, sig binary, " + ", ".join(f"{m} bigint" for m in SMALL_SIG)
 
 
 def _features(docs: DataFrame, k: int) -> DataFrame:
@@ -84,15 +88,16 @@ def _features(docs: DataFrame, k: int) -> DataFrame:
                 digests = [hashlib.blake2b(values[offsets[i]:offsets[i + 1]].tobytes(), digest_size=16).digest() if sizes[i] else None
                            for i in range(n)]
                 full = np.flatnonzero(sizes)
-                bands, sigs = [None] * n, [None] * n
+                bands, sigs, small = [None] * n, [None] * n, np.zeros((n, len(SMALL_SIG)), np.int64)
                 if len(full):
-                    keys, low = _signatures(values, offsets)
+                    keys, low, two_bits = _signatures(values, offsets)
+                    small[full] = two_bits.view(np.int64)
                     for at, i in enumerate(full):
                         bands[i], sigs[i] = keys[at].view(np.int64), low[at].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(row, n), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                     pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                    names=["id", "n_shingles", "digest", "bands", "sig"])
+                     pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), *map(pa.array, small.T)],
+                    names=["id", "n_shingles", "digest", "bands", "sig", *SMALL_SIG])
 
     return docs.mapInArrow(run, FEATURES)
 
@@ -112,10 +117,25 @@ def _full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, shingles binary")
 
 
+def _least_agreeing(threshold: float, kept_bits: int) -> float:
+    """How many minima of similar sets agree at least, compared by so many bits of each."""
+    rows, same = BANDS * ROWS, threshold + (1 - threshold) / 2 ** kept_bits
+    return rows * same - SLACK * (rows * same * (1 - same)) ** 0.5
+
+
+def _alike(percent: int):
+    """Join condition: enough of the sides' minima agree, by two bits of each."""
+    apart = F.lit(0)
+    for m in SMALL_SIG:
+        x = F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))
+        apart = apart + F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return apart <= BANDS * ROWS - _least_agreeing(percent / 100, 2)
+
+
 def _agreeing(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     """Pairs (u, v) whose signatures agree as those of similar sets would, with ``agree`` counted."""
     rows = BANDS * ROWS
-    least = rows * threshold - SLACK * (rows * threshold * (1 - threshold)) ** 0.5
+    least = _least_agreeing(threshold, 8)
     ships = (pairs.join(sigs.select(F.col("id").alias("u"), F.col("sig").alias("su")), "u")
              .join(sigs.select(F.col("id").alias("v"), F.col("sig").alias("sv")), "v").select("u", "v", "su", "sv"))
 
@@ -178,9 +198,7 @@ def _fits(percent: int, most) :
 
 
 def _sides(rows: DataFrame, on: list[str], *more: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(rows.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "n", *more)]) for s in "ab")
-
-
+    return tuple(rows.select(*on, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "comp", "n", *SMALL_SIG, *more)]) for s in "ab")
 
 
 def _across_clusters(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -188,14 +206,18 @@ def _across_clusters(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFra
     counts = materialize(rows.groupBy("key").agg(F.count_distinct("cluster").alias("n_clusters")).where("n_clusters > 1"), "cluster_counts")
     mixed = rows.join(counts, "key")
     columns = ["key", "id", "comp", "n", "cluster"]
-    crowded = (mixed.where(F.col("n_clusters") > CROWD).select(*columns).join(nodes.select("id", "bands"), "id")
-               .select(F.explode("bands").alias("other"), *columns).where("other <> key")
-               .select(F.xxhash64("key", "other").alias("key"), *columns[1:]))
-    a, b = _sides(mixed.where(F.col("n_clusters") <= CROWD).select(*columns).unionByName(crowded), ["key"], "cluster")
-    return a.join(b, "key").where(F.expr("id_a < id_b and comp_a <> comp_b and cluster_a <> cluster_b") & _fits(percent, F.least("n_a", "n_b"))).select("id_a", "id_b")
-
-
-def _within_clusters(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    # Two nodes that share a bucket of few clusters meet there; so a crowded one needs another crowded one only.
+    twice = (mixed.where(F.col("n_clusters") > CROWD).groupBy(*columns[1:]).agg(F.array_sort(F.collect_set("key")).alias("keys"))
+             .select(*columns[1:], F.posexplode("keys").alias("at", "key"), "keys")
+             .select(*columns[1:], "key", F.explode(F.slice("keys", F.col("at") + 2, F.size("keys"))).alias("other"))
+             .select(F.xxhash64("key", "other").alias("key"), *columns[1:]))
+    met = mixed.where(F.col("n_clusters") <= CROWD).select(*columns).unionByName(twice).join(nodes.select("id", *SMALL_SIG), "id")
+    a, b = _sides(met, ["key"], "cluster")
+    return (a.join(b, "key").where(F.expr("id_a < id_b and comp_a <> comp_b and cluster_a <> cluster_b")
+                                   & _fits(percent, F.least("n_a", "n_b")) & _alike(percent)).select("id_a", "id_b"))
+
+
+def _within_clusters(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of one cluster in different components.
 
     Small clusters pair all. In a large one (a crowd of copies, each edited a little), shingles that
@@ -205,9 +227,10 @@ def _within_clusters(rows: DataFrame, sets: DataFrame, percent: int) -> DataFram
     """
     members = rows.select("cluster", "id", "comp", "n").distinct()
     sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.count_distinct("comp").alias("comps")).where("comps > 1")
-    members = materialize(members.join(materialize(sizes, "cluster_sizes"), "cluster"), "cluster_members")
+    members = materialize(members.join(materialize(sizes, "cluster_sizes"), "cluster").join(nodes.select("id", *SMALL_SIG), "id"), "cluster_members")
+    across = F.expr("id_a < id_b and comp_a <> comp_b")
     a, b = _sides(members.where(F.col("size") <= CROWD), ["cluster"])
-    small = a.join(b, "cluster").where(F.expr("id_a < id_b and comp_a <> comp_b") & _fits(percent, F.least("n_a", "n_b"))).select("id_a", "id_b")
+    small = a.join(b, "cluster").where(across & _fits(percent, F.least("n_a", "n_b")) & _alike(percent)).select("id_a", "id_b")
 
     large = members.where(F.col("size") > CROWD)
     each = sets.join(large.select("id"), "id", "left_semi").mapInArrow(_explode_set, "h bigint, id bigint")
@@ -216,13 +239,13 @@ def _within_clusters(rows: DataFrame, sets: DataFrame, percent: int) -> DataFram
     common = counts.where("2 * c > size").select("cluster", "h")
     part = each.join(common, ["cluster", "h"]).groupBy("id").agg(F.count("*").alias("common"))
     large = materialize(large.join(part, "id", "left").withColumn("common", F.coalesce("common", F.lit(0)))
-                        .select("cluster", "id", "comp", "n", "common"), "common_parts")
+                        .select("cluster", "id", "comp", "n", *SMALL_SIG, "common"), "common_parts")
     a, b = _sides(large.where(F.col("common") * 100 >= F.col("n") * percent), ["cluster"], "common")
-    bound = a.join(b, "cluster").where(F.expr("id_a < id_b and comp_a <> comp_b") & _fits(percent, F.least("common_a", "common_b"))).select("id_a", "id_b")
+    bound = a.join(b, "cluster").where(across & _fits(percent, F.least("common_a", "common_b")) & _alike(percent)).select("id_a", "id_b")
     uncommon = counts.where("2 * c <= size").select("cluster", "h")
-    edits = each.select("cluster", "h", "id").join(uncommon, ["cluster", "h"]).join(large.select("id", "comp", "n"), "id")
+    edits = each.select("cluster", "h", "id").join(uncommon, ["cluster", "h"]).join(large.select("id", "comp", "n", *SMALL_SIG), "id")
     a, b = _sides(materialize(edits, "edits"), ["cluster", "h"])
-    shared = a.join(b, ["cluster", "h"]).where(F.expr("id_a < id_b and comp_a <> comp_b") & _fits(percent, F.least("n_a", "n_b"))).select("id_a", "id_b")
+    shared = a.join(b, ["cluster", "h"]).where(across & _fits(percent, F.least("n_a", "n_b")) & _alike(percent)).select("id_a", "id_b")
     return small.unionByName(bound).unionByName(shared)
 
 
@@ -235,7 +258,7 @@ def _across(rows: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataFrame
     clusters = connected_components(links).select(F.col("u").alias("id"), F.col("root").alias("cluster"))
     rows = _mixed(rows).select("key", "id", "comp", "n").join(clusters, "id", "left")
     rows = materialize(rows.withColumn("cluster", F.coalesce("cluster", "id")), "open_buckets")
-    pairs = _across_clusters(rows, nodes, percent).unionByName(_within_clusters(rows, sets, percent))
+    pairs = _across_clusters(rows, nodes, percent).unionByName(_within_clusters(rows, nodes, sets, percent))
     return pairs.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")).distinct()
 
 
@@ -271,7 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                           .select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("node"), F.col("digest").isNull().alias("empty")), "members")
     chosen = members.where("node = id and not empty").select("id").distinct()
     nodes = features.where("digest is not null").join(chosen, "id", "left_semi").dropDuplicates(["id"])
-    nodes = materialize(nodes.select("id", F.col("n_shingles").alias("n"), "bands", "sig"), "nodes")
+    nodes = materialize(nodes.select("id", F.col("n_shingles").alias("n"), "bands", "sig", *SMALL_SIG), "nodes")
     rows = nodes.select("id", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     rows = materialize(rows.join(shared, "key", "left_semi"), "buckets")
