@@ -30,7 +30,8 @@ from tabprobe.session import materialize
 BANDS, ROWS = 48, 6
 # Signature agreement may fall this many standard deviations short of the threshold.
 SLACK = 4.5
-CROWD = 8
+# A bucket of more clusters is split; a cluster of more nodes pairs by uncommon shingles.
+CROWD, LARGE = 64, 8
 SEED = 20_231
 
 
@@ -229,10 +230,10 @@ def _within_clusters(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent
     sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.count_distinct("comp").alias("comps")).where("comps > 1")
     members = materialize(members.join(materialize(sizes, "cluster_sizes"), "cluster").join(nodes.select("id", *SMALL_SIG), "id"), "cluster_members")
     across = F.expr("id_a < id_b and comp_a <> comp_b")
-    a, b = _sides(members.where(F.col("size") <= CROWD), ["cluster"])
+    a, b = _sides(members.where(F.col("size") <= LARGE), ["cluster"])
     small = a.join(b, "cluster").where(across & _fits(percent, F.least("n_a", "n_b")) & _alike(percent)).select("id_a", "id_b")
 
-    large = members.where(F.col("size") > CROWD)
+    large = members.where(F.col("size") > LARGE)
     each = sets.join(large.select("id"), "id", "left_semi").mapInArrow(_explode_set, "h bigint, id bigint")
     each = materialize(each.join(large.select("id", "cluster", "size"), "id"), "cluster_shingles")
     counts = materialize(each.groupBy("cluster", "h").agg(F.count("*").alias("c"), F.first("size").alias("size")).where("c > 1"), "shared_shingles")
