@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ from tabprobe.functions.exprs import as_text, col, is_numeric
 from tabprobe.functions.names import unique_names
 from tabprobe.functions.quantiles import median_ranks, order_statistics
 from tabprobe.functions.stats import agg_row
+from tabprobe.functions.values import top_values
 from tabprobe.session import materialize
 
 ACTION_SCHEMA = "step int, action string, column string, detail string, rows_affected bigint"
@@ -70,7 +71,11 @@ def normalize_columns(df: DataFrame) -> tuple[DataFrame, Action | None]:
 # ---------------------------------------------------------------- C3
 
 
-def _dedup(df: DataFrame) -> DataFrame:
+#: Repeated digests (16 bytes each) that may be sent to every task; beyond, whole rows are shuffled.
+BROADCAST_DIGESTS = 1_000_000
+
+
+def _whole_row_distinct(df: DataFrame) -> DataFrame:
     maps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)]
     if not maps:
         return df.dropDuplicates()
@@ -81,9 +86,36 @@ def _dedup(df: DataFrame) -> DataFrame:
     return tmp.dropDuplicates([f"__k{i}" for i in range(len(df.columns))]).select(*[col(c) for c in df.columns])
 
 
+def _dedup(df: DataFrame) -> DataFrame:
+    """Whole-row distinct, digest first: rows are counted by a 128-bit digest, and only rows of repeated
+    digests are shuffled and compared whole. A row whose digest is its own stays where it is.
+
+    Equal rows have equal digests (-0.0 counts as 0.0, NaN as one value), so nothing rests on digests
+    of different rows being different. Nested columns may hide floats and go the whole-row way, as do tables
+    with more than ``BROADCAST_DIGESTS`` repeated digests, where most of the rows would move anyhow.
+    """
+    fields = df.schema.fields
+    if not fields or any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in fields):
+        return _whole_row_distinct(df)
+    parts = []
+    for f in fields:
+        c = col(f.name)
+        parts += [c.isNull(), c + F.lit(0).cast(f.dataType) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c]
+    k1, k2 = F.xxhash64(*parts).alias("__k1"), F.xxhash64(F.lit(7), *parts).alias("__k2")
+    repeated = materialize(df.select(k1, k2).groupBy("__k1", "__k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated_digests")
+    n = repeated.count()
+    if n == 0:
+        return df
+    if n > BROADCAST_DIGESTS:
+        return _whole_row_distinct(df)
+    keyed, names = df.select("*", k1, k2), [col(c) for c in df.columns]
+    alone = keyed.join(F.broadcast(repeated), ["__k1", "__k2"], "left_anti").select(*names)
+    copies = keyed.join(F.broadcast(repeated), ["__k1", "__k2"], "left_semi").select(*names)
+    return alone.union(_whole_row_distinct(copies))
+
+
 def drop_duplicates(df: DataFrame) -> tuple[DataFrame, Action | None]:
-    """Whole-row distinct (partial aggregation removes repeats before the shuffle), run once: the
-    result is stored in the checkpoint folder."""
+    """Whole-row distinct, run once: the result is stored in the checkpoint folder."""
     before = df.count()
     out = materialize(_dedup(df), "deduplicated")
     dropped = before - out.count()
@@ -98,22 +130,12 @@ def drop_duplicates(df: DataFrame) -> tuple[DataFrame, Action | None]:
 def _mode_values(df: DataFrame, cols: list[str], keep: dict[str, Column]) -> dict[str, object]:
     """Most frequent non-null value per column (ties: lowest value), typed.
 
-    One value-count shuffle over all columns; the top-1 per column is a two-phase
-    WindowGroupLimit, so no task holds all values of a column.
+    One count over all columns by key (``top_values``); only the winning texts reach the driver.
     """
     if not cols:
         return {}
     types = {f.name: f.dataType for f in df.schema.fields}
-    parts = [F.struct(F.lit(i).alias("k"), F.when(keep[c], as_text(col(c), types[c])).alias("value"))
-             for i, c in enumerate(cols)]
-    vc = (df.select(F.inline(F.array(*parts))).where(F.col("value").isNotNull())
-          .groupBy("k", "value").agg(F.count(F.lit(1)).alias("cnt")))
-    w = Window.partitionBy("k").orderBy(F.desc("cnt"), F.asc("value"))
-    top = vc.withColumn("rn", F.row_number().over(w)).where("rn = 1").collect()
-    out = {}
-    for r in top:
-        c = cols[r["k"]]
-        out[c] = r["value"]
+    out = {r["column_name"]: r["value"] for r in top_values(df, cols, 1, keep).collect()}
     # Render back in the column's own type.
     typed = {}
     for c, v in out.items():

@@ -15,7 +15,7 @@ from tabprobe.functions.exprs import col, is_numeric, safe_round
 from tabprobe.functions.quantiles import QUARTILES, median_ranks, nearest_rank, order_statistics
 from tabprobe.functions.ranks import average_ranks
 from tabprobe.functions.stats import agg_row, column_stats
-from tabprobe.functions.values import distinct_counts, top_k, value_counts
+from tabprobe.functions.values import top_values
 from tabprobe.session import materialize
 
 SUMMARY_SCHEMA = T.StructType([
@@ -101,13 +101,15 @@ def categorical_summary(df: DataFrame, top_n: int = 10) -> tuple[DataFrame, Data
     """(column_name, unique_count) of non-null values, and the top values
     (column_name, rank, value, count) per non-numeric column."""
     cols = [f.name for f in df.schema.fields if not is_numeric(f.dataType)]
-    vc = value_counts(df, cols)
-    uniq = distinct_counts(vc).withColumnRenamed("n_distinct", "unique_count")
-    if cols:  # a column whose values are all null still has a row with 0
-        names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
-        uniq = names.join(uniq, "column_name", "left").select(
-            "column_name", F.coalesce("unique_count", F.lit(0)).cast("long").alias("unique_count"))
-    return uniq, top_k(vc, top_n).select("column_name", "rank", "value", "count")
+    spark, schema = df.sparkSession, "column_name string, unique_count bigint"
+    if not cols:
+        return spark.createDataFrame([], schema), top_values(df, [], top_n)
+    from tabprobe.operators.profile import distinct_counts
+
+    distinct = distinct_counts(df.select(*[col(c) for c in cols]))
+    # A column whose values are all null still has a row with 0.
+    uniq = spark.createDataFrame([(c, distinct.get(c, 0)) for c in cols], schema)
+    return uniq, top_values(df, cols, top_n)
 
 
 def _cross_sums(data: DataFrame, cols: list[str], shift: list[float]) -> list[list[list[float]]]:

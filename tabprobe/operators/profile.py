@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tabprobe.functions.exprs import as_text, col, fixed_width, is_fractional, is_numeric, safe_round, type_name
 from tabprobe.functions.quantiles import QUARTILES, median_ranks, nearest_rank, order_statistics
 from tabprobe.functions.stats import column_stats
-from tabprobe.functions.values import top_k, top_values_array, value_counts
+from tabprobe.functions.values import top_values, top_values_array
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("position", T.IntegerType()),
@@ -105,7 +105,7 @@ def profile(df: DataFrame, top_n: int = 10, exact: bool = True, stats: dict | No
     base = spark.createDataFrame(rows, PROFILE_SCHEMA)
     top_type = "array<struct<value:string,count:bigint>>"
     if tops and cat_cols:
-        listed = top_values_array(top_k(value_counts(df, cat_cols), top_n))
+        listed = top_values_array(top_values(df, cat_cols, top_n))
         out = base.alias("b").join(listed.alias("t"), F.col("b.name") == F.col("t.column_name"), "left")
     else:
         out = base.withColumn("top_values", F.lit(None).cast(top_type)).alias("b")

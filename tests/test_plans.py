@@ -11,7 +11,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from tabprobe.functions.values import top_k, value_counts
+from tabprobe.functions import values
 from tabprobe.operators import charts, clean, profile as prof, query
 
 SF = "/root/testdata/sf0.001"
@@ -49,10 +49,16 @@ def test_distinct_keys_combine_before_shuffle(spark):
     assert "o_orderstatus" not in p[:p.index("Exchange")]  # no cell crosses the shuffle
 
 
-def test_top_k_is_two_phase(spark):
-    orders = spark.read.parquet(f"{SF}/orders.parquet")
-    p = plan(top_k(value_counts(orders, ["o_orderstatus", "o_orderpriority"]), 10))
+def test_top_values_shuffle_keys_and_heads_only(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(values, "materialize", lambda df, name="": plans.append(plan(df)) or df)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    values.top_values(docs, ["text", "lang"], 10)
+    p = plans[0]
     assert "WindowGroupLimit" in p and "Partial" in p and "Final" in p
+    exchanges = [line for line in p.splitlines() if "Exchange" in line]
+    assert exchanges and all("text" not in line and "value" not in line for line in exchanges)
+    assert "substring(" in p and "keys=[position" in p
 
 
 def test_mode_lookup(spark):
