@@ -408,7 +408,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     named = base.where("id is not null")
     marks = _repeated_marks(_anchor_blobs(named.select("id", "row", "text"), length, buckets), buckets)
-    marks = marks.groupBy("id", "row").agg(F.collect_list("marks").alias("marks")).join(copies, ["id", "row"], "left_anti")
+    # Stored, or else the optimizer takes the anti join below the aggregate, where a document has a row for each bucket.
+    marks = _store(marks.groupBy("id", "row").agg(F.collect_list("marks").alias("marks")), "marks").join(copies, ["id", "row"], "left_anti")
     segments = _store(_segments(named.join(marks, ["id", "row"]).select("id", "row", "text", "marks"), length, buckets), "segments")
     free_shuffles(segments)
 
