@@ -185,8 +185,8 @@ def q_eda_pearson_pairwise(spark, sf):
 
 def q_eda_outliers_guards(spark, sf):
     # A constant column and one with fewer than four values: no bounds, count 0.
-    n = table(spark, sf, "nation").select("n_nationkey", F.lit(7).alias("same"), F.when(F.col("n_nationkey") < 3, F.col("n_nationkey")).alias("few"))
-    return eda.outliers(n, method="zscore", threshold=1.5)
+    c = table(spark, sf, "customer").select("c_custkey", F.lit(7).alias("same"), F.when(F.col("c_custkey") < 3, F.col("c_custkey")).alias("few"))
+    return eda.outliers(c, method="zscore", threshold=1.5)
 
 
 def q_profile_decimals(spark, sf):
@@ -731,10 +731,10 @@ ORACLE.update({
     "eda_spearman_nulls": O.pearson_sql(_RANKED_DL, ["doc_id", "n_chars", "quality", "toxic", "toxic_or_0"]),
     "eda_pearson_pairwise": _pairwise(_DL_NUM),
     "eda_outliers_guards": (
-        "SELECT 'n_nationkey' AS column_name, 0 AS position, count(*) FILTER (abs((n_nationkey - mu) / s) > 1.5) AS count, "
-        "round(count(*) FILTER (abs((n_nationkey - mu) / s) > 1.5) / count(*) * 100.0::DOUBLE, 2) AS pct, "
+        "SELECT 'c_custkey' AS column_name, 0 AS position, count(*) FILTER (abs((c_custkey - mu) / s) > 1.5) AS count, "
+        "round(count(*) FILTER (abs((c_custkey - mu) / s) > 1.5) / count(*) * 100.0::DOUBLE, 2) AS pct, "
         "round(max(mu) - 1.5 * max(s), 4) AS lower, round(max(mu) + 1.5 * max(s), 4) AS upper "
-        "FROM nation, (SELECT avg(n_nationkey) AS mu, stddev_samp(n_nationkey) AS s FROM nation) UNION ALL "
+        "FROM customer, (SELECT avg(c_custkey) AS mu, stddev_samp(c_custkey) AS s FROM customer) UNION ALL "
         "SELECT 'same', 1, 0, 0.0, NULL, NULL UNION ALL SELECT 'few', 2, 0, 0.0, NULL, NULL"),
     "eda_outlier_columns_skewed": f"SELECT count(*) FILTER (WHERE count > 0) AS outlier_columns FROM ({O.outliers_iqr_sql('documents', ['doc_id', 'n_chars'])})",
     "profile_decimals": ("SELECT 'c_custkey' AS name, 'bigint' AS dtype, 0 AS null_count, count(DISTINCT c_custkey) AS unique_count FROM customer "
