@@ -253,7 +253,7 @@ def _within_clusters(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent
 def _across(rows: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of one bucket in different components that can still be similar.
 
-    Clusters are the components of hub links whose signatures agree: a crowd of copies is one
+    Clusters are the components of the nodes' best hub links whose signatures agree: a crowd of copies is one
     cluster, though the copies edited most may be components of their own.
     """
     clusters = connected_components(links).select(F.col("u").alias("id"), F.col("root").alias("cluster"))
@@ -308,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A node's two closest hubs, by partial aggregation: the best, and the best of the rest.
     best = close.groupBy("u").agg(F.max(F.struct("agree", "v")).alias("b"))
     second = (close.join(best, "u").where("v <> b.v").groupBy("u").agg(F.max(F.struct("agree", "v")).alias("b")))
-    tries = best.unionByName(second).select(F.greatest("u", "b.v").alias("u"), F.least("u", "b.v").alias("v")).distinct()
+    tries = materialize(best.unionByName(second).select(F.greatest("u", "b.v").alias("u"), F.least("u", "b.v").alias("v")).distinct(), "tries")
     links = materialize(_confirmed(tries, sets, percent), "confirmed")
     first = connected_components(links)
     stars = first.select("u", F.col("root").alias("v"))  # the same components as links, settled in fewer rounds
@@ -316,7 +316,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = (rows.join(first.select(F.col("u").alias("id"), "root"), "id", "left")
                 .select("key", "id", "n", F.coalesce("root", "id").alias("comp")))
     labelled = materialize(labelled, "labelled")
-    across = materialize(_across(labelled, close.select("u", "v").unionByName(stars), nodes, sets, percent), "across")
+    across = materialize(_across(labelled, tries.unionByName(stars), nodes, sets, percent), "across")
     more = _confirmed(_agreeing(across, nodes, threshold), sets, percent)
     roots = connected_components(stars.unionByName(more))
 
