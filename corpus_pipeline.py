@@ -56,7 +56,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("decontaminate", decontaminate), ("encode", encode)]
 
-# No stage but exact dedup can be said in SQL; the tests hold run() against brute force.
+# No stage but exact dedup can be said in SQL. tests/llm check kept ids, copies and benchmark passages, not whole results by brute force.
 ORACLE_SQL = None
 
 
