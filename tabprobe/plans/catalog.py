@@ -16,7 +16,7 @@ from tabprobe.functions.stats import column_stats
 from tabprobe.operators import charts, clean as cleaning, digest as dg, eda, profile as prof, query
 from tabprobe.plans import oracle as O
 from tabprobe.session import checkpoint_dir
-from tabprobe.sources import fingerprint, readers, store
+from tabprobe.sources import fingerprint, partials, readers, store
 from tabprobe.sources.workbook import read_workbooks, write_workbooks
 
 
@@ -361,6 +361,14 @@ def q_profile_record_fields(spark, sf):
                     *[field(n, "double") for n in ("mean", "median", "std", "min", "max")])
 
 
+def q_profile_record_tops(spark, sf):
+    """The top values that the JSON records hold, read back."""
+    r = store.profile_records(prof.profile(table(spark, sf, "orders")))
+    tops = F.from_json(F.get_json_object("record", "$.top_values"), "array<struct<value:string,count:bigint>>")
+    return (r.where(tops.isNotNull()).select(F.col("name").alias("column_name"), F.posexplode(tops).alias("pos", "tv"))
+            .select("column_name", (F.col("pos") + 1).cast("int").alias("rank"), F.col("tv.value").alias("value"), F.col("tv.count").alias("count")))
+
+
 def q_fingerprint(spark, sf):
     return fingerprint.table_fingerprint(table(spark, sf, "documents"))
 
@@ -442,6 +450,40 @@ def q_cache_reload(spark, sf):
     return again.tables["numeric_summary"]
 
 
+def q_refresh_added(spark, sf):
+    """Orders in two batches of files: statistics of the first, then of both, which scans only the second.
+    The approximate distinct counts are compared with exact ones."""
+    orders = table(spark, sf, "orders")
+    path, root = scratch_dir(spark, "orders") + "/orders.parquet", scratch_dir(spark, "partials")
+    orders.where("o_orderpriority < '3'").write.parquet(path)
+    partials.refresh(spark, path, root)
+    orders.where("o_orderpriority >= '3' or o_orderpriority is null").write.mode("append").parquet(path)
+    both = partials.refresh(spark, path, root)
+    exact = spark.createDataFrame(list(prof.distinct_counts(orders).items()), "name string, unique_count bigint")
+    near = F.abs(F.col("approx_unique") - F.col("unique_count")) <= F.col("unique_count") * 0.05
+    return both.join(F.broadcast(exact), "name", "left").select(
+        "position", "name", "dtype", "n_rows", "null_count", "mean", "std", "min", "max", "unique_count", near.alias("approx_within_5pct"))
+
+
+def q_fingerprint_files(spark, sf):
+    """Content fingerprints of the documents as JSON lines: the same at splits of 1 MB as at Spark's own, and another
+    after one more row."""
+    path = scratch_dir(spark, "documents-json") + "/documents"
+    docs = table(spark, sf, "documents")
+    docs.write.json(path)
+    whole = fingerprint.file_fingerprint(spark, path, content=True)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(1 << 20))
+    try:
+        split = fingerprint.file_fingerprint(spark, path, content=True)
+    finally:
+        spark.conf.set(key, before)
+    spark.createDataFrame([("{}",)], "value string").write.mode("append").text(path)
+    added = fingerprint.file_fingerprint(spark, path, content=True)
+    return docs.agg(F.count("*").alias("rows")).select("rows", F.lit(whole == split).alias("same"), F.lit(added != whole).alias("changed"))
+
+
 def q_analyze(spark, sf):
     from tabprobe.plans.analyze import analyze
 
@@ -546,9 +588,12 @@ QUERIES = {
     "empty_gate": q_empty_gate,
     "profile_record": q_profile_record,
     "profile_record_fields": q_profile_record_fields,
+    "profile_record_tops": q_profile_record_tops,
     "fingerprint": q_fingerprint,
     "cache_reload": q_cache_reload,
     "analyze": q_analyze,
+    "refresh_added": q_refresh_added,
+    "fingerprint_files": q_fingerprint_files,
     "profile_events": q_profile_events,
     "profile_top_events": q_profile_top_events,
     "eda_numeric_nulls": q_eda_numeric_nulls,
@@ -727,6 +772,9 @@ def _pairwise(cols: list[str]) -> str:
 
 
 ORACLE.update({
+    "refresh_added": f"SELECT * EXCLUDE (null_pct, median), (SELECT count(*) FROM orders) AS n_rows, true AS approx_within_5pct FROM ({O.profile_sql('orders', O.ORDERS_TYPES)})",
+    "profile_record_tops": O.top_values_sql("orders", _ORD_CAT),
+    "fingerprint_files": "SELECT count(*) AS rows, true AS same, true AS changed FROM documents",
     "profile_record_fields": f"SELECT * EXCLUDE (position) FROM ({O.profile_sql('customer', O.CUSTOMER_TYPES)})",
     "eda_spearman_nulls": O.pearson_sql(_RANKED_DL, ["doc_id", "n_chars", "quality", "toxic", "toxic_or_0"]),
     "eda_pearson_pairwise": _pairwise(_DL_NUM),

@@ -27,14 +27,80 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
         .alias("fingerprint"))
 
 
+# Content sums: a polynomial in POINT modulo the prime 2^61 - 1 (POINT is any fixed number below it).
+PRIME = (1 << 61) - 1
+POINT = 0x1A9F2C7D5E3B8461
+
+
+def _split_sums(batches):
+    """(file, size, block, length, total) of each split: with its lines at offsets o from its first line,
+    the sum of hash(line) * POINT^o. One split is held as two numbers."""
+    import pyarrow as pa
+
+    out, now, length, total, power, powers = [], None, 0, 0, 1, {}
+    for batch in batches:
+        for file, size, block, line in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if (file, size, block) != now:
+                if now is not None:
+                    out.append((*now, length, str(total)))
+                now, length, total, power = (file, size, block), 0, 0, 1
+            n = len(line) + 1
+            total = (total + int.from_bytes(hashlib.blake2b(line, digest_size=8).digest(), "big") * power) % PRIME
+            if n not in powers:
+                if len(powers) >= 100_000:
+                    powers.clear()
+                powers[n] = pow(POINT, n, PRIME)
+            power = power * powers[n] % PRIME
+            length += n
+    if now is not None:
+        out.append((*now, length, str(total)))
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)],
+                                     names=["file", "size", "block", "length", "total"])
+
+
+def _file_sums(batches):
+    """One file's splits in order of their place, each shifted by the lengths before it."""
+    import pandas as pd
+
+    now, size, length, total = None, 0, 0, 0
+    out = []
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            if r.file != now:
+                if now is not None:
+                    out.append((now, f"{size}:{length}:{total}"))
+                now, size, length, total = r.file, r.size, 0, 0
+            total = (total + int(r.total) * pow(POINT, length, PRIME)) % PRIME
+            length += r.length
+    if now is not None:
+        out.append((now, f"{size}:{length}:{total}"))
+    yield pd.DataFrame(out, columns=["path", "h"])
+
+
+def content_sums(spark: SparkSession, path: str) -> DataFrame:
+    """(path, h): a checksum of each file's bytes in order, for files of any size.
+
+    Files are read as lines that end at ``\\n``, in as many splits as Spark likes; a split's lines
+    sum up to one number, and the splits of a file are put together by their offsets, so the result
+    does not depend on the splits. Nothing but one line is held at a time (a line under 2 GiB). Of
+    compressed files the text inside counts. Empty files count as absent: Spark's readers leave them out.
+    """
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")]
+    lines = spark.read.text(path, lineSep="\n").select(*meta, F.col("_metadata.file_block_start").alias("block"),
+                                                      F.col("value").cast("binary").alias("line"))
+    splits = lines.mapInArrow(_split_sums, "file string, size bigint, block bigint, length bigint, total string")
+    return splits.repartition("file").sortWithinPartitions("file", "block").mapInPandas(_file_sums, "path string, h string")
+
+
 def file_fingerprint(spark: SparkSession, path: str, content: bool = False) -> str:
     """Fingerprint of the files under ``path``, combined order-independently as the count and the sum of a
     64-bit hash per file. By default from the listing (path, length, modification time; no
-    file data is read); with ``content=True`` from the MD5 of each file's bytes, for files
-    under 2 GiB (Spark's bound for one binary value)."""
+    file data is read); with ``content=True`` from a checksum of each file's bytes (``content_sums``), for
+    files of any size. Empty files count as absent."""
     files = spark.read.format("binaryFile").load(path)
     if content:
-        per_file = files.select("path", F.md5(F.col("content")).alias("h"))
+        per_file = content_sums(spark, path)
     else:
         per_file = files.select("path", F.md5(F.concat_ws("|", "path", F.col("length").cast("string"),
                                                           F.unix_micros("modificationTime").cast("string"))).alias("h"))

@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tabprobe.functions.exprs import col
+from tabprobe.session import table_path
+
+# Fixed value: rows that column types are inferred from.
+INFER_ROWS = 10_000
 # The supported input formats, in the order the error message lists them
 FORMATS = ("csv", "xlsx", "json", "parquet")
 
@@ -43,11 +49,42 @@ def detect_format(spark: SparkSession, path: str) -> str:
     return ext
 
 
-def read_csv(spark: SparkSession, path: str, sampling_ratio: float = 1.0, multi_line: bool = True) -> DataFrame:
+def _cells_hold_line_ends(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell may hold a line end. Quoted cells begin closed, so the first line that ends inside
+    one has an odd number of quotes; with none such, every line is whole rows. One splittable pass over the
+    text that stops at the first find. A stray quote in an unquoted cell counts as a find too."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def _first_types(spark: SparkSession, texts: DataFrame, rows: int) -> T.StructType:
+    """Column types that the first ``rows`` rows of all-text columns show."""
+    line = F.to_csv(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(texts.columns)]), {"quoteAll": "true", "escape": '"'})
+    path = table_path(spark, "csv_head")
+    texts.limit(rows).select(line.alias("value")).write.text(path)
+    found = spark.read.csv(path, inferSchema=True, multiLine=True, quote='"', escape='"').schema.fields
+    kinds = [f.dataType for f in found] if len(found) == len(texts.columns) else [T.StringType()] * len(texts.columns)
+    return T.StructType([T.StructField(c, t) for c, t in zip(texts.columns, kinds, strict=True)])
+
+
+def read_csv(spark: SparkSession, path: str, infer_rows: int | None = INFER_ROWS, multi_line: bool | None = None) -> DataFrame:
     """Header row, types inferred (dates become DateType), cells quoted with ``"`` and a quote inside
-    doubled; quoted cells may hold line ends. ``multi_line=False`` lets Spark split large files, for
-    inputs known to have no line end in a cell. ``sampling_ratio`` < 1 infers types from a sample."""
-    return spark.read.csv(path, header=True, inferSchema=True, samplingRatio=sampling_ratio, multiLine=multi_line, quote='"', escape='"')
+    doubled; quoted cells may hold line ends.
+
+    Types come from the first ``infer_rows`` rows; a later cell that does not fit its column raises when
+    it is read, so no value is lost silently. ``infer_rows=None`` reads all rows for the types.
+    Without ``multi_line`` the input is looked through for line ends in cells: without any, Spark splits
+    its files, else each file is one task.
+    """
+    if multi_line is None:
+        multi_line = _cells_hold_line_ends(spark, path)
+    reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"')
+    if infer_rows is None:
+        return reader.csv(path, inferSchema=True)
+    texts = reader.csv(path)
+    if not texts.columns:
+        return texts
+    return reader.schema(_first_types(spark, texts, infer_rows)).csv(path, mode="FAILFAST")
 
 
 def read_json(spark: SparkSession, path: str, multi_line: bool | None = None, columns: list[str] | None = None) -> DataFrame:

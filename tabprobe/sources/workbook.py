@@ -1,10 +1,11 @@
 """Workbook directories (S4): every ``.xlsx`` file of a directory as one table.
 
 ``binaryFile`` lists the files; ``mapInPandas`` opens one workbook per row with the
-standard library (zip + XML) and emits long cells (path, row, col, value, is_num);
+standard library (zip + XML) and emits long cells (path, row, col, value, kind);
 each workbook's header row names its columns, and a group-by on (path, row) with a pivot over
 the names rebuilds the rows. Columns whose cells are all numbers
-become double (or bigint when all are whole numbers).
+become double (or bigint when all are whole numbers); numbers that their cell's style shows as dates
+become dates, or timestamps when one of the column has a time of day.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import io
 import re
 import zipfile
 import xml.etree.ElementTree as ET
+from datetime import datetime, timedelta
 from typing import Iterator
 
 import pandas as pd
@@ -27,7 +29,10 @@ _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _CELL = re.compile(r"([A-Z]+)([0-9]+)")
 
-CELL_SCHEMA = "path string, row long, col int, value string, is_num boolean"
+# Kinds: n number, d date or time, s anything else.
+CELL_SCHEMA = "path string, row long, col int, value string, kind string"
+# The number formats that the file format itself defines as dates and times of day.
+DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 # Fixed value: the name of a column whose header cell is empty (i = column number).
 EMPTY_HEADER = "column_{i}"
 
@@ -55,14 +60,44 @@ def _active_sheet(z: zipfile.ZipFile) -> str:
     return "xl/worksheets/sheet1.xml"
 
 
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a number as a date or time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ET.fromstring(z.read("xl/styles.xml"))
+    dates = set(DATE_FORMATS)
+    for f in root.findall("m:numFmts/m:numFmt", _NS):
+        # Literals in quotes, escaped characters and [colours] say nothing about the value.
+        code = re.sub(r'"[^"]*"|\\.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', "", f.get("formatCode", "").lower())
+        if re.search("[ymdhs]", code) and "general" not in code:
+            dates.add(int(f.get("numFmtId")))
+    return {i for i, xf in enumerate(root.findall("m:cellXfs/m:xf", _NS)) if int(xf.get("numFmtId", 0)) in dates}
+
+
+def _instant(number: float, from_1904: bool) -> str | None:
+    """A day number as ISO text, to the second; day 60 of the 1900 calendar does not exist, so days before it
+    are one later."""
+    if from_1904:
+        base = datetime(1904, 1, 1)
+    else:
+        base = datetime(1899, 12, 31) if number < 60 else datetime(1899, 12, 30)
+    try:
+        return (base + timedelta(seconds=round(number * 86_400))).isoformat(sep=" ")
+    except OverflowError:
+        return None
+
+
 def workbook_cells(path: str, content: bytes) -> list[tuple]:
-    """(path, row, col, value, is_num) for every non-empty cell of the active sheet."""
+    """(path, row, col, value, kind) for every non-empty cell of the active sheet."""
     z = zipfile.ZipFile(io.BytesIO(content))
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
         for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
             shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
     sheet = ET.fromstring(z.read(_active_sheet(z)))
+    dated = _date_styles(z)
+    props = ET.fromstring(z.read("xl/workbook.xml")).find("m:workbookPr", _NS)
+    from_1904 = props is not None and props.get("date1904") in ("1", "true")
     out = []
     for r_i, row in enumerate(sheet.iter(f"{{{_NS['m']}}}row")):
         r_num = int(row.get("r")) - 1 if row.get("r") else r_i
@@ -70,6 +105,7 @@ def workbook_cells(path: str, content: bytes) -> list[tuple]:
             ref = cell.get("r")
             c_num = _col_index(_CELL.match(ref).group(1)) if ref else c_i
             t = cell.get("t", "n")
+            kind = "n" if t == "n" else "s"
             if t == "inlineStr":
                 node = cell.find("m:is", _NS)
                 value = "".join(x.text or "" for x in node.iter(f"{{{_NS['m']}}}t")) if node is not None else None
@@ -80,8 +116,13 @@ def workbook_cells(path: str, content: bytes) -> list[tuple]:
                     value = shared[int(value)]
                 elif value is not None and t == "b":
                     value = "True" if value == "1" else "False"
+                elif value is not None and t == "d":
+                    value, kind = value.replace("T", " ").removesuffix("Z"), "d"
+                elif value is not None and t == "n" and int(cell.get("s", 0)) in dated:
+                    instant = _instant(float(value), from_1904)
+                    value, kind = (instant, "d") if instant is not None else (value, kind)
             if value is not None:
-                out.append((path, r_num, c_num, value, t == "n"))
+                out.append((path, r_num, c_num, value, kind))
     return out
 
 
@@ -90,7 +131,7 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for path, content in zip(pdf["path"], pdf["content"]):
             rows.extend(workbook_cells(path, bytes(content)))
-        yield pd.DataFrame(rows, columns=["path", "row", "col", "value", "is_num"])
+        yield pd.DataFrame(rows, columns=["path", "row", "col", "value", "kind"])
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
@@ -112,10 +153,12 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "_empty string").select()
     wide = (body.groupBy("path", "row").pivot("name", names)
             .agg(F.min_by("value", "col")))
-    # Types: all-number columns become numbers.
-    kinds = body.groupBy("name").agg(F.bool_and("is_num").alias("num"),
-                                     F.bool_and(F.col("value").rlike(r"^-?[0-9]+$")).alias("whole")).collect()
-    kind = {r["name"]: ("bigint" if r["whole"] else "double") if r["num"] else "string" for r in kinds}
+    # Types: all-number columns become numbers, all-date columns dates.
+    kinds = body.groupBy("name").agg(F.bool_and(F.col("kind") == "n").alias("num"), F.bool_and(F.col("kind") == "d").alias("dated"),
+                                     F.bool_and(F.col("value").rlike(r"^-?[0-9]+$")).alias("whole"),
+                                     F.bool_and(F.col("value").rlike(r"^[0-9-]+( 00:00:00)?$")).alias("days")).collect()
+    kind = {r["name"]: ("bigint" if r["whole"] else "double") if r["num"] else ("date" if r["days"] else "timestamp_ntz") if r["dated"] else "string"
+            for r in kinds}
     return wide.select(*[col(n).cast(kind.get(n, "string")).alias(n) for n in names])
 
 
