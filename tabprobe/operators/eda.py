@@ -18,6 +18,9 @@ from tabprobe.functions.stats import agg_row, column_stats
 from tabprobe.functions.values import top_values
 from tabprobe.session import materialize
 
+# Columns whose cross sums a task holds at once: four matrices of doubles, 32 MB.
+WIDTH = 1024
+
 SUMMARY_SCHEMA = T.StructType([
     T.StructField("column_name", T.StringType()),
     T.StructField("position", T.IntegerType()),
@@ -112,18 +115,39 @@ def categorical_summary(df: DataFrame, top_n: int = 10) -> tuple[DataFrame, Data
     return uniq, top_values(df, cols, top_n)
 
 
-def _cross_sums(data: DataFrame, cols: list[str], shift: list[float]) -> list[list[list[float]]]:
+def _column_groups(k: int) -> list[list[int]]:
+    """Groups of at most ``WIDTH`` columns of which one holds any two columns."""
+    if k <= WIDTH:
+        return [list(range(k))]
+    half = WIDTH // 2
+    blocks = [list(range(at, min(at + half, k))) for at in range(0, k, half)]
+    return [p + q for n, p in enumerate(blocks) for q in blocks[n + 1:]]
+
+
+def _cross_sums(data: DataFrame, cols: list[str], shift: list[float]):
     """Four k x k matrices over the rows where both columns are present, of values less ``shift``:
     rows, sums of the first column, sums of its squares, sums of products.
 
-    One pass: each task adds up its batches as matrix products and emits the matrices once, and
-    they are summed cell by cell with map-side aggregation. 4 k^2 numbers reach the driver.
+    One pass for each group of columns (one group up to ``WIDTH`` columns): a task adds up its batches as
+    matrix products and emits the matrices once, and they are summed cell by cell with map-side
+    aggregation. The passes read only their columns. 4 k^2 numbers reach the driver, as many as the
+    result has in order.
     """
+    import numpy as np
+
+    out = np.zeros((4, len(cols), len(cols)))
+    for group in _column_groups(len(cols)):
+        out[np.ix_(range(4), group, group)] = _group_sums(data, [cols[i] for i in group], [shift[i] for i in group])
+    return out
+
+
+def _group_sums(data: DataFrame, cols: list[str], shift: list[float]):
+    import numpy as np
+
     k = len(cols)
     values = data.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         total = np.zeros((4, k, k))
@@ -136,11 +160,25 @@ def _cross_sums(data: DataFrame, cols: list[str], shift: list[float]) -> list[li
                 total += np.stack([w.T @ w, x.T @ w, (x * x).T @ w, x.T @ x])
         yield pa.RecordBatch.from_arrays([pa.array(range(4 * k * k), pa.int32()), pa.array(total.ravel())], names=["cell", "v"])
 
-    sums = values.mapInArrow(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
-    flat = [0.0] * (4 * k * k)
-    for r in sums:
-        flat[r["cell"]] = r["v"]
-    return [[flat[(m * k + i) * k:(m * k + i + 1) * k] for i in range(k)] for m in range(4)]
+    sums = values.mapInArrow(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
+    flat = np.zeros(4 * k * k)
+    flat[sums.column("cell").to_numpy()] = sums.column("v").to_numpy()
+    return flat.reshape(4, k, k)
+
+
+def _coefficients(n, s, ss, xy):
+    """Correlations from the cross sums; NaN where a column is constant on a pair's rows (no more than
+    rounding is left) or the pair has none."""
+    import numpy as np
+
+    with np.errstate(all="ignore"):
+        var = ss / n - (s / n) ** 2
+        cov = xy / n - s / n * (s / n).T
+        varies = var > 1e-13 * (ss / n)
+        r = np.clip(cov / np.sqrt(var * var.T), -1.0, 1.0)
+    r[~(varies & varies.T)] = np.nan
+    np.fill_diagonal(r, 1.0)
+    return r
 
 
 def correlation(
@@ -156,7 +194,7 @@ def correlation(
     with any null gives null in its whole row and column; ``"pairwise"``: rows where either side is null are
     skipped for that pair. ``method="spearman"`` correlates average ranks; ranks of a pair's complete rows
     differ from pair to pair, so spearman with pairwise nulls is refused. One statistics pass and one pass
-    for the cross sums, whatever the number of columns.
+    for the cross sums of up to ``WIDTH`` columns; wider tables take one for each pair of half as wide blocks.
     """
     cols = _numeric_cols(df, cols)
     spark = df.sparkSession
@@ -176,16 +214,8 @@ def correlation(
             shift = [(stats[c]["n"] + 1) / 2.0 for c in usable]
         else:
             shift = [m if m is not None and abs(m) < float("inf") else 0.0 for m in (stats[c]["mean"] for c in usable)]
-        n, s, ss, xy = _cross_sums(data, usable, shift)
-        for i, a in enumerate(usable):
-            rs[a, a] = 1.0
-            for j in range(i + 1, len(usable)):
-                m = n[i][j]
-                va, vb = (ss[p][q] / m - (s[p][q] / m) ** 2 if m else 0.0 for p, q in ((i, j), (j, i)))
-                cov = xy[i][j] / m - s[i][j] / m * s[j][i] / m if m else 0.0
-                # A column may be constant on the rows of a pair: no more than rounding is left.
-                flat = any(not v > 1e-13 * (ss[p][q] / m if m else 0.0) for v, p, q in ((va, i, j), (vb, j, i)))
-                rs[a, usable[j]] = rs[usable[j], a] = None if flat else max(-1.0, min(1.0, cov / (va * vb) ** 0.5))
+        r = _coefficients(*_cross_sums(data, usable, shift)).tolist()
+        rs = {(a, b): r[i][j] for i, a in enumerate(usable) for j, b in enumerate(usable)}
     rows = [(a, b, rs.get((a, b))) for a in cols for b in cols]
     return spark.createDataFrame(rows, schema).select("col_a", "col_b", safe_round(F.col("r")).alias("r"))
 

@@ -45,6 +45,20 @@ def test_correlation_null_policy(spark):
         E.correlation(df, method="spearman", nulls="pairwise")
 
 
+@pytest.mark.parametrize("nulls", ["propagate", "pairwise"])
+def test_pearson_in_column_blocks(spark, monkeypatch, nulls):
+    assert all(any({i, j} <= set(g) for g in E._column_groups(2500)) for i in (0, 511, 512, 1999) for j in (0, 700, 1024, 2499))
+    assert max(map(len, E._column_groups(2500))) == E.WIDTH and len(E._column_groups(1024)) == 1
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60, 11)).cumsum(axis=1)
+    rows = [[None if (i + j) % 9 == 0 and j % 3 == 0 else float(v) for j, v in enumerate(r)] for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(11)))
+    whole = E.correlation(df, nulls=nulls).collect()
+    monkeypatch.setattr(E, "WIDTH", 4)
+    assert E.correlation(df, nulls=nulls).collect() == whole and len(whole) == 121
+    assert sum(r["r"] is not None for r in whole) == (121 if nulls == "pairwise" else 49)
+
+
 def test_wide_pearson_is_one_pass_and_matches_numpy(spark):
     rng = np.random.default_rng(11)
     x = rng.normal(size=(400, 30)) * 10.0 ** rng.integers(-3, 6, 30) + 1e6
