@@ -77,6 +77,11 @@ def induce(s: np.ndarray, sigma: int, small: np.ndarray, seeds: np.ndarray) -> n
     return np.concatenate([x for c in range(sigma) for x in (larger[c], smaller[c])])
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one little-endian number (a view; zeros follow the end)."""
+    return np.ndarray(len(data), np.dtype("<u8"), np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
 def _names(s: np.ndarray, ordered: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, int]:
     """Ranks of the leftmost S-type substrings, in text order: equal substrings share one."""
     stop = np.append(starts[1:] + 1, len(s) + 1)  # the last one ends beyond the text
@@ -84,13 +89,14 @@ def _names(s: np.ndarray, ordered: np.ndarray, starts: np.ndarray) -> tuple[np.n
     length[starts] = stop - starts
     a, b = ordered[:-1], ordered[1:]
     same = (length[a] == length[b]) & (a + length[a] <= len(s)) & (b + length[b] <= len(s))
-    alive, k = np.flatnonzero(same), 0
+    alive, k, word = np.flatnonzero(same), 0, _eights(s)
     while len(alive):
-        equal = s[a[alive] + k] == s[b[alive] + k]
-        same[alive[~equal]] = False
-        k += 1
-        alive = alive[equal]
-        alive = alive[length[a[alive]] > k]
+        left = length[a[alive]] - k
+        apart = word[a[alive] + k] ^ word[b[alive] + k]
+        apart <<= (8 * np.maximum(8 - left, 0)).astype(np.uint64)  # only bytes within the substrings count
+        same[alive[apart != 0]] = False
+        k += 8
+        alive = alive[(apart == 0) & (left > 8)]
     rank = np.concatenate([[0], np.cumsum(~same)])
     name = np.zeros(len(s), np.int64)
     name[ordered] = rank
@@ -98,18 +104,29 @@ def _names(s: np.ndarray, ordered: np.ndarray, starts: np.ndarray) -> tuple[np.n
 
 
 def _by_doubling(name: np.ndarray, reach: int | None) -> np.ndarray:
-    """Order of the suffixes of ``name`` (at least by ``reach`` symbols), doubling the ranked length."""
-    rank, k = name, 1
-    while int(rank.max()) + 1 < len(rank) and (reach is None or k < reach) and k < len(rank):
-        follow = np.zeros(len(rank), np.int64)
-        follow[:-k] = rank[k:] + 1
-        rank = np.unique(rank * (len(rank) + 1) + follow, return_inverse=True)[1]
-        k *= 2
-    return np.argsort(rank, kind="stable")
+    """Order of the suffixes of ``name`` (at least by ``reach`` symbols): as many ranks as 63 bits hold are
+    sorted at a time, so that each round multiplies the ranked length by two at least."""
+    rank, count, k = name, int(name.max()) + 1, 1
+    order = None
+    while count < len(rank) and (reach is None or k < reach) and k < len(rank):
+        bits = count.bit_length()
+        key = rank + 1
+        times = max(2, 63 // bits)
+        for j in range(1, times):
+            key = key << bits
+            if j * k < len(rank):
+                key[:-j * k] += rank[j * k:] + 1  # nothing, beyond the end, comes first
+        order = np.argsort(key)
+        key = key[order]
+        ranked = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        rank = np.empty_like(ranked)
+        rank[order] = ranked
+        count, k = int(ranked[-1]) + 1, k * times
+    return np.argsort(rank, kind="stable") if order is None else order
 
 
 def suffix_array(s: np.ndarray, sigma: int, depth: int | None = None) -> np.ndarray:
-    """Positions of ``s`` (symbols 0..sigma-1) in suffix order; with ``depth``, by the first ``depth`` symbols at least.
+    """Positions of ``s`` (symbols 0..sigma-1, 256 at most) in suffix order; with ``depth``, by the first ``depth`` symbols at least.
 
     Leftmost S-type substrings are sorted by induction, named, and their order is found on the
     string of names: recursively, or by doubling once names are too many for buckets.
@@ -117,6 +134,7 @@ def suffix_array(s: np.ndarray, sigma: int, depth: int | None = None) -> np.ndar
     n = len(s)
     if n == 0:
         return np.zeros(0, np.int64)
+    s = s.astype(np.uint8, copy=False)
     small = classify(s)
     starts = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(starts) == 0:
@@ -141,10 +159,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    word = np.zeros(n, np.uint64)
-    for i in range(8):
-        word |= padded[i:i + n].astype(np.uint64) << np.uint64(8 * i)
+    word = _eights(data)
     alive = np.flatnonzero((before >= 0) & (np.arange(n) + cap <= n) & (before + cap <= n))
     for at in sorted({*range(0, cap - 8, 8), cap - 8}):
         alive = alive[word[alive + at] == word[before[alive] + at]]

@@ -35,6 +35,8 @@ BUCKET_ANCHORS = 4_000_000
 # Text that one blob batch and one suffix array take.
 BATCH_BYTES = 16 << 20
 SHARD_BYTES = 2 << 20
+# Text hashed at a time: its 64-bit columns stay in a core's cache.
+HASHED_BYTES = 1 << 18
 # Distinct segments of one anchor beyond which its strings are grouped one by one.
 CROWDED = 10_000
 SEPARATOR = 0xFF  # in no UTF-8 text
@@ -134,7 +136,7 @@ def _anchor_blobs(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         all_ids, all_rows = [], []
         for batch in batches:
             ids, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "row"))
-            for row, data, offsets in words.chunks(batch.column("text")):
+            for row, data, offsets in words.chunks(batch.column("text"), HASHED_BYTES):
                 text, _, _, anchor = _anchor_runs(data, offsets, length)
                 bucket = anchor % np.uint64(buckets)
                 mark = (bucket << np.uint64(32)) | (anchor // np.uint64(buckets) & np.uint64(0xFFFFFFFF))
@@ -224,7 +226,7 @@ def _segments(marked: DataFrame, length: int, buckets: int) -> DataFrame:
         for batch in batches:
             ids, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "row"))
             marks = batch.column("marks").to_pylist()
-            for row, data, offsets in words.chunks(batch.column("text")):
+            for row, data, offsets in words.chunks(batch.column("text"), HASHED_BYTES):
                 text, start, stop, anchor = _anchor_runs(data, offsets, length)
                 bucket = anchor % np.uint64(buckets)
                 mark = (bucket << np.uint64(32)) | (anchor // np.uint64(buckets) & np.uint64(0xFFFFFFFF))
@@ -271,47 +273,67 @@ def _shard_runs(distinct: DataFrame, length: int, shards: int) -> DataFrame:
             begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
             order, bounds = equal_windows(data, length)
             owner = np.repeat(np.arange(len(rows)), sizes + 1)[:len(data)]
-            ids = np.array([r[2] for r in rows], np.int64)
+            ids, high = np.array([r[2] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
             low = np.minimum.reduceat(ids[owner[order]], bounds)
             least = np.empty(len(data), np.int64)
             least[order] = np.repeat(low, np.diff(np.append(bounds, len(order))))
-            for i, (anchor, name, _, _, high) in enumerate(rows):
-                mine = least[begin[i]:begin[i] + sizes[i] - length + 1]
-                if mine.min() >= high:
-                    continue  # no document with this segment comes after another
-                cuts = np.concatenate([[0], np.flatnonzero(mine[1:] != mine[:-1]) + 1])
-                yield anchor, name, cuts, np.append(cuts[1:], len(mine)), mine[cuts]
+            # Windows of all segments, one after another; a segment's follow from its first one on.
+            n = sizes - length + 1
+            first = np.cumsum(n) - n
+            of = np.repeat(np.arange(len(rows)), n)
+            at = np.arange(len(of)) - first[of]
+            least = least[begin[of] + at]
+            # Where no document with the segment comes after another's string, nothing goes.
+            wanted = np.minimum.reduceat(least, first) < high
+            cut = np.ones(len(of), bool)
+            cut[1:] = (least[1:] != least[:-1]) | (at[1:] == 0)
+            cut = np.flatnonzero(cut & wanted[of])
+            if not len(cut):
+                return
+            froms = at[cut]
+            last = np.append(of[cut][1:] != of[cut][:-1], True)
+            tos = np.where(last, n[of[cut]], np.append(froms[1:], 0))
+            counts = np.bincount(of[cut], minlength=len(rows))[wanted]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            chosen = np.flatnonzero(wanted)
+            named = [pa.array([rows[i][c] for i in chosen], pa.int64()) for c in (0, 1)]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v, k)) for v, k in ((froms, pa.int32()), (tos, pa.int32()), (least[cut], pa.int64()))]
+            yield pa.RecordBatch.from_arrays(named + lists, names=["anchor", "name", "froms", "tos", "lows"])
 
         def results():
-            held, size, group = [], 0, []
+            held, size, group, single = [], 0, [], []
+
+            def close():
+                nonlocal held, size
+                if min(g[2] for g in group) >= max(g[4] for g in group):
+                    return
+                if len(group) == 1:
+                    a, name, low, segment, _ = group[0]
+                    single.append((a, name, [0], [len(segment) - length + 1], [low]))
+                else:
+                    held += group
+                    size += sum(len(g[3]) + 1 for g in group)
+
             for batch in batches:
                 for r in zip(*(batch.column(c).to_pylist() for c in ("anchor", "name", "low", "segment", "high")), strict=True):
                     if group and r[0] != group[0][0]:
-                        if min(g[2] for g in group) < max(g[4] for g in group):
-                            if len(group) == 1:
-                                a, name, low, segment, _ = group[0]
-                                yield a, name, [0], [len(segment) - length + 1], [low]
-                            else:
-                                held += group
-                                size += sum(len(g[3]) + 1 for g in group)
+                        close()
                         group = []
                         if size >= SHARD_BYTES:
                             yield from settle(held)
                             held, size = [], 0
+                        if len(single) == 20_000:
+                            yield pack(single)
+                            single.clear()
                     group.append(r)
-            if group and min(g[2] for g in group) < max(g[4] for g in group):
-                held += group
+            if group:
+                close()
             if held:
                 yield from settle(held)
+            if single:
+                yield pack(single)
 
-        part = []
-        for r in results():
-            part.append(r)
-            if len(part) == 20_000:
-                yield pack(part)
-                part = []
-        if part:
-            yield pack(part)
+        yield from results()
 
     def pack(rows):
         import pyarrow as pa
