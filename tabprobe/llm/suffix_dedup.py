@@ -5,7 +5,7 @@ anchors, so only strings whose anchor occurs in two documents can repeat.
 
 1. One pass packs each document's anchors into blobs by anchor bucket (a batch names an anchor
    twice at most; those that a batch holds in two documents are marked at once). A bucket's task finds the
-   anchors of two documents and returns them to their documents.
+   anchors of two documents and returns them to their documents, packed by parts of these.
 2. A second pass cuts, around marked anchors, the segments whose strings share one anchor.
    Equal segments become one by map-side aggregation: a passage that a third of all documents
    hold is one row a task. Of documents that are equal as a whole only the smallest id is cut.
@@ -35,6 +35,9 @@ BUCKET_ANCHORS = 4_000_000
 # Text that one blob batch and one suffix array take.
 BATCH_BYTES = 16 << 20
 SHARD_BYTES = 2 << 20
+# Marks that a task holds at a time (24 bytes each), and text whose marks make one part.
+HELD_MARKS = 2_000_000
+PART_BYTES = 1 << 30
 # Text hashed at a time: its 64-bit columns stay in a core's cache.
 HASHED_BYTES = 1 << 18
 # Distinct segments of one anchor beyond which its strings are grouped one by one.
@@ -154,18 +157,21 @@ def _anchor_blobs(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, blob binary, id bigint, row bigint, marks binary")
 
 
-def _repeated_marks(blobs: DataFrame, buckets: int) -> DataFrame:
-    """(id, row, marks) of the anchors that two documents hold: a task per bucket."""
+def _repeated_marks(blobs: DataFrame, buckets: int, parts: int) -> DataFrame:
+    """(id, row, marks) of the anchors that two documents hold: a task per bucket finds them.
+
+    Marks return packed by part (a hash of the document), so that rows follow buckets and parts, not the
+    documents of each bucket; a part's task puts together those of one document.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["id", "row", "marks"]
+        held, size = [], 0
 
         def settle(bucket, blobs_):
-            ids, rows, marks, base = [], [], [], []
+            ids, rows, marks, owners = [], [], [], []
             total = 0
-            owners = []
             for blob in blobs_:
                 n, docs = np.frombuffer(blob, np.int64, 2)
                 at = 16
@@ -182,33 +188,76 @@ def _repeated_marks(blobs: DataFrame, buckets: int) -> DataFrame:
             low, high = np.minimum.reduceat(ids[owner], first), np.maximum.reduceat(ids[owner], first)
             many = np.repeat(low < high, np.diff(np.append(first, len(mark))))
             mark, owner = mark[many], owner[many]
-            back = np.argsort(owner, kind="stable")
-            mark, owner = mark[back].astype(np.uint64) | np.uint64(bucket << 32), owner[back]
-            cuts = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1, [len(owner)]]) if len(owner) else [0]
-            for at in range(0, len(cuts) - 1, 20_000):
-                part = cuts[at:at + 20_001]
-                who = owner[part[:-1]]
+            return ids[owner], rows[owner], mark.astype(np.uint64) | np.uint64(bucket << 32)
+
+        def packed():
+            """What is held, a row a part: ids, rows and marks, one after another."""
+            ids, rows, mark = (np.concatenate(x) for x in zip(*held, strict=True))
+            part = (words.mix(ids.astype(np.uint64) * np.uint64(words.BASE) + rows.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            ids, rows, mark, part = ids[order], rows[order], mark[order], part[order]
+            cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else [0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(part[a]) for a in cuts[:-1]], pa.int32()),
+                 pa.array([ids[a:b].tobytes() + rows[a:b].tobytes() + mark[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())],
+                names=["part", "blob"])
+
+        def found():
+            now, blobs_ = None, []
+            for batch in batches:
+                through = batch.filter(batch.column("marks").is_valid())
+                if through.num_rows:
+                    marks = [np.frombuffer(m, np.uint64) for m in through.column("marks").to_pylist()]
+                    sizes = [len(m) for m in marks]
+                    yield (*(np.repeat(through.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("id", "row")), np.concatenate(marks))
+                for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                    if blob is None:
+                        continue
+                    if bucket != now:
+                        if blobs_:
+                            yield settle(now, blobs_)
+                        now, blobs_ = bucket, []
+                    blobs_.append(blob)
+            if blobs_:
+                yield settle(now, blobs_)
+
+        for x in found():
+            held.append(x)
+            size += len(x[0])
+            if size >= HELD_MARKS:
+                yield from packed()
+                held, size = [], 0
+        if held:
+            yield from packed()
+
+    def gather(batches):
+        import pyarrow as pa
+
+        def rows_of(blobs_):
+            each = [np.frombuffer(b, np.uint64).reshape(3, -1) for b in blobs_]
+            ids, rows, mark = np.concatenate(each, axis=1)
+            order = np.lexsort((mark, rows, ids))
+            ids, rows, mark = ids[order], rows[order], mark[order]
+            cuts = np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])) + 1, [len(ids)]])
+            for at in range(0, len(cuts) - 1, 2_000):
+                some = cuts[at:at + 2_001]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[who]), pa.array(rows[who]),
-                     pa.array([mark[a:b].tobytes() for a, b in zip(part[:-1], part[1:], strict=True)], pa.binary())], names=names)
+                    [pa.array(ids[some[:-1]].view(np.int64)), pa.array(rows[some[:-1]].view(np.int64)),
+                     pa.array([mark[a:b].tobytes() for a, b in zip(some[:-1], some[1:], strict=True)], pa.binary())], names=["id", "row", "marks"])
 
-        now, blobs_ = None, []
+        blobs_, size = [], 0
         for batch in batches:
-            through = batch.filter(batch.column("marks").is_valid())
-            if through.num_rows:
-                yield pa.RecordBatch.from_arrays([through.column(c) for c in names], names=names)
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                if blob is None:
-                    continue
-                if bucket != now:
-                    if blobs_:
-                        yield from settle(now, blobs_)
-                    now, blobs_ = bucket, []
+            for blob in batch.column("blob").to_pylist():
                 blobs_.append(blob)
+                size += len(blob) // 24
+                if size >= HELD_MARKS:
+                    yield from rows_of(blobs_)
+                    blobs_, size = [], 0
         if blobs_:
-            yield from settle(now, blobs_)
+            yield from rows_of(blobs_)
 
-    return blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "id bigint, row bigint, marks binary")
+    found = blobs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "part int, blob binary")
+    return found.repartition(parts, "part").mapInArrow(gather, "id bigint, row bigint, marks binary")
 
 
 # Within an anchor 64 bits name a segment.
@@ -429,9 +478,12 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(parallel, math.ceil(total * 0.06 / BUCKET_ANCHORS))
 
     named = base.where("id is not null")
-    marks = _repeated_marks(_anchor_blobs(named.select("id", "row", "text"), length, buckets), buckets)
+    parts = max(parallel, math.ceil(total / PART_BYTES))
+    marks = _repeated_marks(_anchor_blobs(named.select("id", "row", "text"), length, buckets), buckets, parts)
     # Stored, or else the optimizer takes the anti join below the aggregate, where a document has a row for each bucket.
-    marks = _store(marks.groupBy("id", "row").agg(F.collect_list("marks").alias("marks")), "marks").join(copies, ["id", "row"], "left_anti")
+    marks = _store(marks.groupBy("id", "row").agg(F.collect_list("marks").alias("marks")), "marks")
+    free_shuffles(marks)
+    marks = marks.join(copies, ["id", "row"], "left_anti")
     segments = _store(_segments(named.join(marks, ["id", "row"]).select("id", "row", "text", "marks"), length, buckets), "segments")
     free_shuffles(segments)
 
