@@ -17,7 +17,7 @@ from tabprobe.llm.manifest import FIELDS, build_manifest, leaf_digest, proof_dig
 from tabprobe.llm.minhash import near_duplicates
 from tabprobe.llm.piece_codec import encode_decode
 from tabprobe.llm.quality import quality_scores
-from tabprobe.llm.sql import license_sql, manifest_sql, ranked_sql
+from tabprobe.llm.sql import license_sql, manifest_sql, near_sql, passages_sql, ranked_sql
 from tabprobe.llm.suffix_dedup import dedup_passages
 from tabprobe.llm.toxicity import toxicity_scores
 from tabprobe.llm.url_filter import HOST_RULES, WORD_RULES, judge_urls
@@ -135,6 +135,8 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op3_suffix_dedup": passages_sql(),
+    "op6_near_dedup": near_sql(),
     "op9_exact_dedup": f"""
 WITH n AS (SELECT doc_id, sha256({_FOLD.format("coalesce(text, '')")}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

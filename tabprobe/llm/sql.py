@@ -1,10 +1,55 @@
-"""DuckDB SQL for the manifest, lexical search and license queries."""
+"""DuckDB SQL for the passage, near-duplicate, manifest, lexical search and license queries."""
 
 from __future__ import annotations
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def passages_sql(length: int = 50, piece: int = 1_000) -> str:
+    """Every string of ``length`` bytes with the smallest id that holds it; texts as hexadecimal digits, in pieces that overlap."""
+    return f"""
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+pieces AS (
+  SELECT doc_id, unnest(range(0, n - {length - 1}, {piece})) AS base, n, x FROM texts WHERE n >= {length}),
+cut AS (SELECT doc_id, base, substr(x, 2 * base + 1, {2 * (piece + length - 1)}) AS y, least({piece}, n - {length - 1} - base) AS c FROM pieces),
+starts AS (SELECT doc_id, base, y, unnest(range(0, c)) AS j FROM cut),
+strings AS (SELECT doc_id, base + j AS pos, md5_number(substr(y, 2 * j + 1, {2 * length})) AS h FROM starts),
+first AS (SELECT h, min(doc_id) AS low FROM strings GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT doc_id, pos FROM strings JOIN first USING (h) WHERE low < doc_id),
+steps AS (
+  SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= {length} THEN 0 ELSE 1 END AS new FROM hits),
+runs AS (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM steps),
+spans AS (SELECT doc_id, min(pos) AS a, max(pos) + {length} AS b FROM runs GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+parts AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+         string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+  FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN last IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM texts LEFT JOIN parts USING (doc_id)"""
+
+
+def near_sql(percent: int = 80) -> str:
+    """Two-word shingles of every document, every pair that shares one, and what each document reaches over the links."""
+    return f"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+pairs_of AS (
+  SELECT doc_id, CASE WHEN len(ws) = 1 THEN ws ELSE list_distinct(list_transform(list_zip(ws[:-2], ws[2:]), lambda x: x[1] || ' ' || x[2])) END AS s
+  FROM texts),
+sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM pairs_of),
+shingles AS (SELECT doc_id, hash(s) AS h, n FROM (SELECT doc_id, unnest(s) AS s FROM pairs_of) JOIN sizes USING (doc_id)),
+common AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, a.n AS nu, b.n AS nv, count(*) AS c FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id < b.doc_id
+  AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT u, v FROM common WHERE 100 * c >= {percent} * (nu + nv - c)),
+both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM texts UNION SELECT a, v FROM reach JOIN both_ways ON b = u),
+roots AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN roots USING (doc_id)"""
+
+
 def manifest_sql(tree_levels: int = 12, top_levels: int = 6) -> str:
     """Level by level from the leaves up; each leaf is folded with its siblings level by level."""
     enc = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')".format
