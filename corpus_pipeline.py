@@ -11,7 +11,7 @@ pass through empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabprobe.llm.decontaminate import contaminated
@@ -21,7 +21,7 @@ from tabprobe.llm.piece_codec import encode_decode
 from tabprobe.llm.quality import score_quality, train_quality
 from tabprobe.llm.queries import piece_model
 from tabprobe.llm.text import lower_ascii, whole
-from tabprobe.session import materialize
+from tabprobe.session import free_shuffles, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # Stands for a null id: it loses to any other.
@@ -44,22 +44,24 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     digest = F.sha2(lower_ascii(whole(F.col("text"))), 256).alias("digest")
     copies = materialize(exact_dedup(docs).where("group_size > 1")
                          .select(least, F.col("text_sha256").alias("digest"), "kept").distinct(), "copies")
-    rows = docs.select(*COLUMNS, least, digest)
-    single = rows.join(copies, ["id", "digest"], "left_anti").select(*COLUMNS)
-    chosen = (rows.join(copies.where("kept"), ["id", "digest"]).groupBy("id", "digest")
-              .agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*"))
-    return single.unionByName(chosen)
+    free_shuffles(copies)
+    # One join and a window on its key: texts cross the network once.
+    judged = docs.select(*COLUMNS, least, digest).join(copies, ["id", "digest"], "left").where("kept is null or kept")
+    at = F.row_number().over(Window.partitionBy("id", "digest").orderBy(*COLUMNS))
+    return judged.withColumn("at", at).where("kept is null or at = 1").select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
-    gone = near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id")
+    # Stored, so that Spark knows how few they are before it plans how texts meet them.
+    gone = free_shuffles(materialize(near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id"), "near_copies"))
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    gone = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    gone = free_shuffles(materialize(found, "contaminated"))
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

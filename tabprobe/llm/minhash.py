@@ -19,13 +19,13 @@ miss that counts is that of fewer than two bands, BANDS * p * (1 - p)^(BANDS - 1
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprobe.llm import words
 from tabprobe.llm.components import connected_components
 from tabprobe.llm.text import whole
-from tabprobe.session import materialize
+from tabprobe.session import forget, free_shuffles, materialize
 
 BANDS, ROWS = 48, 6
 # Signature agreement may fall this many standard deviations short of the threshold.
@@ -222,9 +222,11 @@ def _within_clusters(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent
     """Pairs of nodes of one cluster in different components.
 
     Small clusters pair all. In a large one (a crowd of copies, each edited a little), shingles that
-    most of its nodes have are its common text. Two nodes that share no other shingle have at most
-    the smaller of their common parts in common; that bound, or a shared uncommon shingle, makes a
-    pair. So pairs grow with the edits that copies share, not with the square of the cluster.
+    most of its nodes have are its common text, and ``lacks`` is what a node has not of it. Two nodes have
+    ``all`` shingles less what either lacks in common, and the uncommon ones they share. If ``all`` less what
+    each lacks is enough, they are similar, and the more so is each to the node that is least ``off``: both
+    link to that one instead. Of other nodes only those pair that are similar by the common text alone,
+    or can be, sharing an uncommon shingle. So pairs grow with the links, not with the square of the cluster.
     """
     members = rows.select("cluster", "id", "comp", "n").distinct()
     sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.count_distinct("comp").alias("comps")).where("comps > 1")
@@ -237,17 +239,36 @@ def _within_clusters(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent
     each = sets.join(large.select("id"), "id", "left_semi").mapInArrow(_explode_set, "h bigint, id bigint")
     each = materialize(each.join(large.select("id", "cluster", "size"), "id"), "cluster_shingles")
     counts = materialize(each.groupBy("cluster", "h").agg(F.count("*").alias("c"), F.first("size").alias("size")).where("c > 1"), "shared_shingles")
-    common = counts.where("2 * c > size").select("cluster", "h")
-    part = each.join(common, ["cluster", "h"]).groupBy("id").agg(F.count("*").alias("common"))
-    large = materialize(large.join(part, "id", "left").withColumn("common", F.coalesce("common", F.lit(0)))
-                        .select("cluster", "id", "comp", "n", *SMALL_SIG, "common"), "common_parts")
-    a, b = _sides(large.where(F.col("common") * 100 >= F.col("n") * percent), ["cluster"], "common")
-    bound = a.join(b, "cluster").where(across & _fits(percent, F.least("common_a", "common_b")) & _alike(percent)).select("id_a", "id_b")
+    common = counts.where("2 * c > size").select("cluster", "h", F.row_number().over(Window.partitionBy("cluster").orderBy("h")).alias("at"))
+    part = each.join(common, ["cluster", "h"]).groupBy("id").agg(F.count("*").alias("common"), F.collect_list("at").alias("has"))
+    whole_part = common.groupBy("cluster").agg(F.count("*").alias("all"))
+    large = (large.join(part, "id", "left").join(whole_part, "cluster", "left")
+             .withColumn("common", F.coalesce("common", F.lit(0))).withColumn("all", F.coalesce("all", F.lit(0)))
+             .withColumn("lacks", F.when(F.col("all") > F.col("common"), F.array_except(F.sequence(F.lit(1), F.col("all").cast("int")), F.coalesce("has", F.array().cast("array<int>"))))
+                         .otherwise(F.array().cast("array<int>")))
+             .withColumn("off", (F.col("all") - F.col("common")) * (100 + percent) + F.col("n") * percent))
+    large = materialize(large.select("cluster", "id", "comp", "n", *SMALL_SIG, "common", "all", "lacks", "off"), "common_parts")
+    middle = large.groupBy("cluster").agg(F.min(F.struct("off", "id", "comp")).alias("mid"))
+    # A table of its own, so that AQE can split a large cluster in the joins.
+    middle = materialize(middle.select("cluster", F.col("mid.off").alias("mid_off"), F.col("mid.id").alias("mid"), F.col("mid.comp").alias("mid_comp")), "middles")
+    large = large.join(middle, "cluster").withColumn("meets", F.col("off") + F.col("mid_off") <= F.col("all") * (100 + percent))
+    large = materialize(large.withColumn("near", F.expr("meets or comp = mid_comp")), "off_common")
+    star = (large.where("meets and comp <> mid_comp").select(F.least("id", "mid").alias("id_a"), F.greatest("id", "mid").alias("id_b")))
+    # What two nodes have of the common text: its size, less what either lacks.
+    both = F.col("common_a") + F.col("common_b") - F.col("all_a") + F.size(F.array_intersect("lacks_a", "lacks_b"))
+    apart = F.expr("comp_a <> comp_b and not near_a and (near_b or id_a < id_b)")
+    a, b = _sides(large.where(F.col("common") * 100 >= F.col("n") * percent), ["cluster"], "common", "all", "lacks", "near")
+    bound = (a.where("not near_a").join(b, "cluster")
+             .where(apart & _fits(percent, F.least("common_a", "common_b")) & _alike(percent) & _fits(percent, both))
+             .select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")))
     uncommon = counts.where("2 * c <= size").select("cluster", "h")
-    edits = each.select("cluster", "h", "id").join(uncommon, ["cluster", "h"]).join(large.select("id", "comp", "n", *SMALL_SIG), "id")
-    a, b = _sides(materialize(edits, "edits"), ["cluster", "h"])
-    shared = a.join(b, ["cluster", "h"]).where(across & _fits(percent, F.least("n_a", "n_b")) & _alike(percent)).select("id_a", "id_b")
-    return small.unionByName(bound).unionByName(shared)
+    edits = each.select("cluster", "h", "id").join(uncommon, ["cluster", "h"]).join(large.drop("cluster", "size"), "id")
+    a, b = _sides(materialize(edits, "edits"), ["cluster", "h"], "common", "all", "lacks", "near")
+    most = both + F.least(F.col("n_a") - F.col("common_a"), F.col("n_b") - F.col("common_b"))
+    shared = (a.where("not near_a").join(b, ["cluster", "h"])
+              .where(apart & _fits(percent, F.least("n_a", "n_b")) & _alike(percent) & _fits(percent, most))
+              .select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")))
+    return small.unionByName(star).unionByName(bound).unionByName(shared)
 
 
 def _across(rows: DataFrame, links: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -296,19 +317,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = members.where("node = id and not empty").select("id").distinct()
     nodes = features.where("digest is not null").join(chosen, "id", "left_semi").dropDuplicates(["id"])
     nodes = materialize(nodes.select("id", F.col("n_shingles").alias("n"), "bands", "sig", *SMALL_SIG), "nodes")
+    forget(features)
+    free_shuffles(nodes)
     rows = nodes.select("id", "n", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     rows = materialize(rows.join(shared, "key", "left_semi"), "buckets")
     paired = rows.select("id").distinct()
     sets = materialize(_full_sets(base.join(paired, "id", "left_semi"), k).dropDuplicates(["id"]), "sets")
+    free_shuffles(sets)
 
     threshold = percent / 100
     close = _agreeing(_hub_links(rows), nodes, threshold)
     close = materialize(close, "close")
-    # A node's two closest hubs, by partial aggregation: the best, and the best of the rest.
-    best = close.groupBy("u").agg(F.max(F.struct("agree", "v")).alias("b"))
-    second = (close.join(best, "u").where("v <> b.v").groupBy("u").agg(F.max(F.struct("agree", "v")).alias("b")))
-    tries = materialize(best.unionByName(second).select(F.greatest("u", "b.v").alias("u"), F.least("u", "b.v").alias("v")).distinct(), "tries")
+    # A node's two closest hubs, of 2 * BANDS at the most.
+    best = Window.partitionBy("u").orderBy(F.desc("agree"), F.desc("v"))
+    closest = close.withColumn("at", F.row_number().over(best)).where("at <= 2")
+    tries = materialize(closest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "tries")
+    free_shuffles(tries)
     links = materialize(_confirmed(tries, sets, percent), "confirmed")
     first = connected_components(links)
     stars = first.select("u", F.col("root").alias("v"))  # the same components as links, settled in fewer rounds
@@ -317,8 +342,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 .select("key", "id", "n", F.coalesce("root", "id").alias("comp")))
     labelled = materialize(labelled, "labelled")
     across = materialize(_across(labelled, tries.unionByName(stars), nodes, sets, percent), "across")
+    free_shuffles(across)
     more = _confirmed(_agreeing(across, nodes, threshold), sets, percent)
     roots = connected_components(stars.unionByName(more))
+    forget(nodes, rows, sets, close, labelled)
+    free_shuffles(roots)
 
     out = members.join(roots.select(F.col("u").alias("node"), "root"), "node", "left")
     comp = F.coalesce("root", "node")

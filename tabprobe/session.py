@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -98,7 +99,8 @@ def forget(*tables) -> None:
     """Delete stored intermediate tables that no later step reads."""
     for df in tables:
         sc = df.sparkSession.sparkContext
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()} & set(_STORED):
+        # A local folder is stored as file:/x and listed as file:///x.
+        for path in {re.sub("^file:/+", "file:/", f.rsplit("/", 1)[0]) for f in df.inputFiles()} & set(_STORED):
             p = sc._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
             _STORED.remove(path)

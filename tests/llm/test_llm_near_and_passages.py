@@ -1,5 +1,6 @@
 """MinHash near-duplicates, components, suffix arrays and passage removal against brute force."""
 
+import os
 import random
 import re
 
@@ -11,6 +12,7 @@ from tabprobe.llm.components import connected_components
 from tabprobe.llm.minhash import near_duplicates
 from tabprobe.llm.suffix import common_prefixes, suffix_array
 from tabprobe.llm.words import BLANK, chunks, hashes, spans
+from tabprobe.session import forget, materialize
 
 
 def table(spark, rows):
@@ -58,6 +60,32 @@ def test_near_duplicates_against_brute_force(spark):
         want = brute_components(rows, k)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(table(spark, rows), k=k).collect()}
         assert got == want
+
+
+def test_crowd_of_edited_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies edited too much to be similar stay apart without pairing each with each."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(60)] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    made, within = [], minhash._within_clusters
+    monkeypatch.setattr(minhash, "_within_clusters", lambda *a: made.append(within(*a)) or made[0])
+    monkeypatch.setattr(minhash, "forget", lambda *t: None)
+    found = near_duplicates(table(spark, rows), k=5)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == brute_components(rows, 5)
+    assert made[0].count() < len(rows)
+
+
+def test_forget_deletes_stored_tables(spark):
+    kept, gone = materialize(spark.range(5), "kept"), materialize(spark.range(7), "gone")
+    path = gone.inputFiles()[0].removeprefix("file:")
+    assert os.path.exists(path)
+    forget(gone)
+    assert not os.path.exists(path) and kept.count() == 5
     assert near_duplicates(table(spark, [])).count() == 0
     lone = near_duplicates(table(spark, [(None, "a b"), (None, "a b"), (3, "a b"), (3, "a b")]), k=2).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in lone) == [(0, 0, True), (0, 0, True), (3, 3, True), (3, 3, True)]

@@ -55,6 +55,22 @@ def test_exact_stage(spark):
     assert pairs(cp.exact(spark, documents(spark, []), SF)) == Counter()
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stages_move_texts_once_at_most(spark):
+    docs = documents(spark, ODD)
+    near = plan(cp.near(spark, docs, SF))
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert plan(cp.exact(spark, docs, SF)).count("SortMergeJoin") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert "BroadcastHashJoin" in near and "SortMergeJoin" not in near
+
+
 def brute_near(rows):
     kept = brute_components([(i, t) for i, t in rows if i is not None], 5)
     return Counter((i, t) for i, t in rows if i is None or kept[i][1] == i)
