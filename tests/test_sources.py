@@ -1,11 +1,12 @@
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import types as T
 
-from tabprobe.sources import fingerprint, readers, store
-from tabprobe.sources.workbook import read_workbooks, workbook_bytes
+from tabprobe.sources import fingerprint, readers, store, workbook
+from tabprobe.sources.workbook import read_workbooks, workbook_bytes, write_workbooks
 
 
 def test_csv(spark, boats_csv):
@@ -90,6 +91,17 @@ def test_workbooks_meet_by_header_name(spark, tmpdir_path):
     assert sorted((r["id"], r["name"], r["extra"]) for r in df.collect()) == [(1, "x", None), (2, "y", 0.5)]
 
 
+def test_workbooks_hold_a_bounded_number_of_cells(spark, tmpdir_path, monkeypatch):
+    rows = [(i, f"name {i}", None if i % 3 else i / 4) for i in range(60_000)]
+    write_workbooks(spark.createDataFrame(rows, "id bigint, name string, price double").coalesce(1), tmpdir_path)
+    assert len([f for f in os.listdir(tmpdir_path) if f.endswith(".xlsx")]) == 2
+    assert sorted(tuple(r) for r in read_workbooks(spark, tmpdir_path).collect()) == rows
+    data = workbook_bytes(["id"], [[i] for i in range(1000)])
+    monkeypatch.setattr(workbook, "CELLS", 300)
+    parts = list(workbook._cells(iter([pd.DataFrame({"path": ["a", "b"], "content": [data, data]})])))
+    assert max(map(len, parts)) <= 300 and sum(map(len, parts)) == 2002
+
+
 def test_bad_format(spark, tmpdir_path):
     path = os.path.join(tmpdir_path, "data.xyz")
     open(path, "w").write("x")
