@@ -220,20 +220,32 @@ def correlation(
     return spark.createDataFrame(rows, schema).select("col_a", "col_b", safe_round(F.col("r")).alias("r"))
 
 
+#: Cells of a shuffle partition, and rows from which a value is hot.
+CELLS, HOT = 1_000_000, 100_000
+
+
 def _with_ranks(data: DataFrame, cols: list[str]) -> DataFrame:
     """Each column's values replaced by their average ranks (columns without nulls).
 
     The rows get a number and are stored once; one long table (column, value, row) meets the rank
-    table in one join, whose hot values AQE splits, and one regrouping by row puts the ranks side by
-    side: two narrow shuffles for any number of columns.
+    table in one join, and one regrouping by row puts the ranks side by side: two narrow shuffles for any
+    number of columns, in parts of some ``CELLS`` cells. Values of ``HOT`` rows or more, of which there are
+    at most cells / ``HOT``, are broadcast and not shuffled by value.
     """
-    ranks = average_ranks(data, cols)
     numbered = materialize(data.select(*[col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
                            .withColumn("row", F.monotonically_increasing_id()), "numbered")
+    shuffle = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(shuffle, -(-numbered.count() * len(cols) // CELLS))
+    ranks = average_ranks(numbered.select(*[F.col(f"v{i}").alias(c) for i, c in enumerate(cols)]), cols, parts)
+    on = ["column_name", "value"]
     cells = numbered.select("row", F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"v{i}").alias("value"))
                                                       for i, c in enumerate(cols)])))
-    met = cells.join(ranks.select("column_name", "value", "avg_rank"), ["column_name", "value"])
-    side = met.groupBy("row").agg(*[F.max(F.when(F.col("column_name") == c, F.col("avg_rank"))).alias(c) for c in cols])
+    hot = F.broadcast(ranks.where(F.col("cnt") >= HOT).select(*on, "avg_rank"))
+    rare = (cells.join(hot, on, "left_anti").repartition(parts, *on)
+            .join(ranks.where(F.col("cnt") < HOT).select(*on, "avg_rank").repartition(parts, *on).hint("merge"), on))
+    met = cells.join(hot, on).select("row", "column_name", "avg_rank").unionByName(rare.select("row", "column_name", "avg_rank"))
+    side = (met.repartition(parts, "row").groupBy("row")
+            .agg(*[F.max(F.when(F.col("column_name") == c, F.col("avg_rank"))).alias(c) for c in cols]))
     return side.select(*[col(c) for c in cols])
 
 

@@ -126,3 +126,19 @@ def test_zscore_outliers_without_order_statistics(spark):
             E.outliers(df, method="zscore", threshold=2.0, moments=E.numeric_moments(df)).collect()}
     assert quick == full
     assert quick["a"]["count"] == 1 and quick["flat"]["count"] == 0 and quick["flat"]["lower"] is None
+
+
+def test_spearman_hot_values_and_small_parts(spark, monkeypatch):
+    """Values of many rows are not shuffled by value; the others meet their ranks in parts that grow in number."""
+    pd = pytest.importorskip("pandas")
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": rng.integers(0, 3, 4000).astype(float), "b": rng.normal(size=4000), "c": rng.integers(0, 900, 4000).astype(float)})
+    pdf.loc[:1500, "c"] = 7.0
+    asked, ranked = [], E.average_ranks
+    monkeypatch.setattr(E, "HOT", 500)
+    monkeypatch.setattr(E, "CELLS", 1000)
+    monkeypatch.setattr(E, "average_ranks", lambda df, cols, parts: asked.append(parts) or ranked(df, cols, parts))
+    got = {(r["col_a"], r["col_b"]): r["r"] for r in E.correlation(spark.createDataFrame(pdf), method="spearman").collect()}
+    want = pdf.corr(method="spearman")
+    assert asked == [12]
+    assert all(abs(got[a, b] - want.loc[a, b]) < 1e-4 for a in pdf for b in pdf)
